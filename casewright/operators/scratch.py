@@ -6,6 +6,7 @@ back: a lost executor then costs a re-read, not a re-run, and the optimizer sees
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +54,8 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._casewright_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def sweep(self) -> None:
+        """Let Spark's cleaner delete shuffle files that no live DataFrame refers to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
