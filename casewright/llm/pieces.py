@@ -71,13 +71,14 @@ class PieceCoder:
         return [(memo, x) for x in fresh if len(x) > _MEMO_PIECE]
 
 
-def in_small_lots(texts: list[str], chars: int = 1_000_000) -> Iterator[slice]:
-    """Consecutive slices of ``texts`` with about ``chars`` characters each, at least one text."""
+def in_small_lots(texts: list, chars: int = 1_000_000, sizes: bool = False) -> Iterator[slice]:
+    """Consecutive slices of ``texts`` (or of their sizes) of about ``chars`` each, at least one text."""
     start = held = 0
     for k, x in enumerate(texts):
-        if held and held + len(x) > chars:
+        n = x if sizes else len(x)
+        if held and held + n > chars:
             yield slice(start, k)
             start, held = k, 0
-        held += len(x)
+        held += n
     if start < len(texts):
         yield slice(start, len(texts))
