@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bytebpe, packing, simhash, suffixes
+from . import bytebpe, packing, quality, secret_scan, simhash, suffixes
 
 
 def _tokenizer(name: str) -> str:
@@ -20,6 +20,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,6 +39,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"].isin(*secret_scan.BASE_KINDS))
+    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(spans).alias("spans"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,8 +54,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
