@@ -21,6 +21,8 @@ NAV_SEPARATORS, NAV_WORDS_PER_SEPARATOR = 4, 3
 WORDS_PER_SYMBOL_RUN = 2
 #: ... as shouting if it ends in several exclamation or question marks and holds so many such runs, ...
 MIN_SHOUTS = 3
+#: ... as stutter with so many words that repeat the word before, and more than one in four, ...
+MIN_STUTTERS, WORDS_PER_STUTTER = 3, 4
 #: ... and as unpunctuated with at least so many words and no sentence sign among them.
 LONG_LINE = 30
 #: A document that loses more than this share of its word characters is rejected.
@@ -43,7 +45,7 @@ def words_of(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether one line is navigation, symbol junk, shouting, boilerplate or an unpunctuated run.
+    """Whether one line is navigation, symbol junk, shouting, stutter, boilerplate or an unpunctuated run.
 
     Blank lines and ordinary short lines (titles, single words) pass.
     """
@@ -54,9 +56,11 @@ def line_fails(line: Column) -> Column:
     navigation = (separators >= NAV_SEPARATORS) & (separators * NAV_WORDS_PER_SEPARATOR >= n_words)
     junk = (symbols >= 3) & (symbols * WORDS_PER_SYMBOL_RUN > n_words)
     shouting = (shouts >= MIN_SHOUTS) & (shouts * 4 > n_words)
+    stutters = F.regexp_count(line, F.lit(r"(?<!\S)(\S++)(?=\s\1(?!\S))"))
+    stutter = (stutters >= MIN_STUTTERS) & (stutters * WORDS_PER_STUTTER > n_words)
     boilerplate = line.rlike(_BOILERPLATE) & (n_words <= 40)
     unpunctuated = ~line.rlike(_SENTENCE) & (n_words >= LONG_LINE)
-    return navigation | junk | shouting | boilerplate | unpunctuated
+    return navigation | junk | shouting | stutter | boilerplate | unpunctuated
 
 
 def repeated_words(words: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from . import bytebpe, packing, quality, secret_scan, simhash, suffixes
@@ -42,9 +42,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda x: x["kind"].isin(*secret_scan.BASE_KINDS))
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *counts, F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(spans).alias("spans"))
+    return found.select("doc_id", *map(number, secret_scan.BASE_KINDS), F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(spans).alias("spans"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
