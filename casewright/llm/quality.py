@@ -50,13 +50,13 @@ def line_fails(line: Column) -> Column:
     Blank lines and ordinary short lines (titles, single words) pass.
     """
     n_words = F.regexp_count(line, F.lit(f"{WORD}+"))
-    separators = F.regexp_count(line, F.lit(r"(?:^|\s)[|»›·•>](?=\s|$)"))
+    separators = F.regexp_count(line, F.lit(r"(?<!\S)[|»›·•>](?!\S)"))
     symbols = F.regexp_count(line, F.lit(f"{SYMBOL}+"))
     shouts = F.regexp_count(line, F.lit(r"[!?]{2,}"))
     navigation = (separators >= NAV_SEPARATORS) & (separators * NAV_WORDS_PER_SEPARATOR >= n_words)
     junk = (symbols >= 3) & (symbols * WORDS_PER_SYMBOL_RUN > n_words)
     shouting = (shouts >= MIN_SHOUTS) & (shouts * 4 > n_words)
-    stutters = F.regexp_count(line, F.lit(r"(?<!\S)(\S++)(?=\s\1(?!\S))"))
+    stutters = F.regexp_count(line, F.lit(r"(?<!\S)(\S++)(?=\s+\1(?!\S))"))
     stutter = (stutters >= MIN_STUTTERS) & (stutters * WORDS_PER_STUTTER > n_words)
     boilerplate = line.rlike(_BOILERPLATE) & (n_words <= 40)
     unpunctuated = ~line.rlike(_SENTENCE) & (n_words >= LONG_LINE)
