@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bytebpe, packing, quality, secret_scan, simhash, suffixes, url_filter
+from . import bytebpe, embeddings, packing, quality, secret_scan, simhash, suffixes, url_filter
 
 
 def _tokenizer(name: str) -> str:
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_embeddings": op5_embeddings,
     "op6_packing": op6_packing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secrets": op9_secrets,
