@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bytebpe, embeddings, packing, quality, secret_scan, simhash, suffixes, url_filter
+from . import bytebpe, embeddings, packing, pii, quality, secret_scan, simhash, suffixes, url_filter
 
 
 def _tokenizer(name: str) -> str:
@@ -38,6 +38,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("base")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(number, pii.BASE), F.sha2(pii.shown(base), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_embeddings": op5_embeddings,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
