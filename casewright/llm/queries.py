@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bytebpe, embeddings, packing, pii, quality, secret_scan, simhash, suffixes, url_filter
+from . import bytebpe, embeddings, licenses, packing, pii, quality, secret_scan, simhash, suffixes, url_filter
 
 
 def _tokenizer(name: str) -> str:
@@ -20,6 +20,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.QUERY_RULES))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # the table has no file names: source and language are the directories, the id is the name
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_embeddings": op5_embeddings,
