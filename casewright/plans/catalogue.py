@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import reporting
+
+_FAMILIES = (reporting,)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _family in _FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLE_SQL |= _family.ORACLE_SQL
