@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reporting
+from . import reporting, scoring
 
-_FAMILIES = (reporting,)
+_FAMILIES = (reporting, scoring)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _family in _FAMILIES:

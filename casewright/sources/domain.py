@@ -53,14 +53,14 @@ def hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connections(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles (customers) and the nodes (suppliers) they are connected with."""
+    """Profiles (customers) and the nodes (parts of first order lines) they are connected with."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("profile_id"), F.col("l_suppkey").alias("node")).distinct()
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("profile_id"), F.col("l_partkey").alias("node")).distinct()
 
 
 def handles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("profile_id"), F.col("p_name").alias("handle"))
+    return table(spark, d, "part").groupBy(F.col("p_name").alias("handle")).agg(F.min("p_partkey").alias("profile_id"))
 
 
 def avatars(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +74,33 @@ def avatars(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("profile_id"), packed(lambda i: (e[i] > 0).cast("int")).alias("phash"), packed(lambda i: (e[i] > e[(i + 1) % 64]).cast("int")).alias("dhash"))
 
 
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    """Risk inputs of each case, spread over their ranges by the case number."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        k.alias("case_id"), F.when(k % 6 != 0, (k % 10) / 10.0).alias("classifier_score"), F.when(k % 10 >= 6, "escalate").otherwise("allow").alias("decision"), (k % 25).alias("message_count"),
+        (k % 4).alias("flagged_count"), (k % 5 + 1).cast("int").alias("platform_count"), (k % 7 == 0).alias("is_tor"), (k % 5 == 0).alias("is_vpn"), F.when(k % 11 != 0, k % 120).cast("int").alias("account_age_days"),
+        F.when(k % 13 != 0, k * 3 % 400).cast("int").alias("friend_count"), (k % 4 == 0).alias("late_night_activity"), (k % 3).cast("int").alias("game_history_flags"), (k % 5 - 1).cast("int").alias("prior_case_flags"),
+        F.when(k % 3 == 0, k % 4).cast("int").alias("graph_lead_platforms"), (k % 3 == 1).alias("graph_has_contradictions"),
+    )
+
+
+def profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation profiles of customers: handle of every tenth, connections, hours, avatars, messages."""
+    linked = connections(spark, d)
+    degree = linked.groupBy("node").agg(F.count("*").alias("degree"))
+    own = linked.join(degree, "node").groupBy("profile_id").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("connections"), F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "degree"))).alias("connection_degrees"))
+    awake = hours(spark, d).groupBy("profile_id").agg(F.array_sort(F.collect_list("hour")).alias("active_hours"))
+    said = messages(spark, d).groupBy("profile_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "text"))), lambda m: m["text"]).alias("messages"))
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("profile_id"), F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("platform"))
+    named = handles(spark, d).select(F.col("profile_id"), F.col("handle").alias("username"))
+    pictures = avatars(spark, d).withColumnsRenamed({"phash": "avatar_phash", "dhash": "avatar_dhash"})
+    out = base
+    for part in (named, own, awake, said, pictures):
+        out = out.join(part, "profile_id", "left")
+    return out
+
+
 def _nibble(bit, k: int) -> str:
     return f"substr('0123456789abcdef', 8*{bit(4 * k)} + 4*{bit(4 * k + 1)} + 2*{bit(4 * k + 2)} + {bit(4 * k + 3)} + 1, 1)"
 
@@ -90,8 +117,9 @@ SQL = {
     "custody": "SELECT event_id AS log_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, user_id AS case_id, props AS notes FROM events",
     "messages": "SELECT conv_id AS profile_id, turn AS message_index, text FROM conversations",
     "hours": "SELECT DISTINCT user_id AS profile_id, hour(ts) AS hour FROM events",
-    "connections": "SELECT DISTINCT o_custkey AS profile_id, l_suppkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
-    "handles": "SELECT p_partkey AS profile_id, p_name AS handle FROM part",
+    "connections": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1",
+    "handles": "SELECT min(p_partkey) AS profile_id, p_name AS handle FROM part GROUP BY p_name",
+    "signals": "SELECT c_custkey AS case_id, CASE WHEN c_custkey % 6 <> 0 THEN (c_custkey % 10) / 10.0::DOUBLE END AS classifier_score, CASE WHEN c_custkey % 10 >= 6 THEN 'escalate' ELSE 'allow' END AS decision, c_custkey % 25 AS message_count, c_custkey % 4 AS flagged_count, c_custkey % 5 + 1 AS platform_count, c_custkey % 7 = 0 AS is_tor, c_custkey % 5 = 0 AS is_vpn, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 120 END AS account_age_days, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey * 3 % 400 END AS friend_count, c_custkey % 4 = 0 AS late_night_activity, c_custkey % 3 AS game_history_flags, c_custkey % 5 - 1 AS prior_case_flags, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END AS graph_lead_platforms, c_custkey % 3 = 1 AS graph_has_contradictions FROM customer",
     "avatars": f"SELECT vec_id AS profile_id, {_P} AS phash, {_D} AS dhash FROM embeddings WHERE len(embedding) = 64",
 }
 
