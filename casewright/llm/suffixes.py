@@ -7,9 +7,11 @@ dealt over buckets of the gram hash, each a sorted run in one binary.
 
 A new batch gets its own array. One scan per bucket merges it with the arrays of all existing levels:
 suffixes with equal gram and block stand next to each other, and all but the earliest are repeats as a
-whole. Suffixes that share a gram in different blocks match in part at most; their windows are compared
-one by one at the end, each by its hash, so a frequent gram spreads over all tasks. In the same scan
-levels of equal size merge with the batch into one level of the next size, like a binary counter.
+whole. Suffixes that share a gram in different blocks match in part at most; the bytes of these blocks
+meet again in their bucket at the end, where windows are compared one by one. Blocks of a gram with very
+many of them are dealt out window by window instead, by hash, so that a frequent gram spreads over all
+tasks. In the same scan levels of equal size merge with the batch into one level of the next size, like
+a binary counter.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from .pieces import in_small_lots
 #: Gram hash, block hash, document, position of the suffix, distances back to its first and last window.
 ENTRY = ("<u8", "<u8", "<i8", "<u4", "<u1", "<u1")
 #: Two window hashes, document, position.
-PLACE = ("<u8", "<u4", "<i8", "<u4")
+PLACE = ("<u8", "<u8", "<i8", "<u4")
+#: Document, first window and number of bytes of a block; the bytes follow.
+BLOCK = ("<i8", "<u4", "<u2")
+#: Grams with more different blocks than this are compared window by window.
+CROWD = 1 << 15
 _ENTRY_BYTES = sum(np.dtype(k).itemsize for k in ENTRY)
 _FOUND = "kind int, bucket int, doc long, lo int, hi int, run binary"
-_RUN, _REPEAT, _PARTIAL = 0, 1, 2
+_RUN, _REPEAT, _PARTIAL, _CROWDED = 0, 1, 2, 3
 #: Entries gathered in a task before they are sorted and written as one run for each bucket.
 _LOT = 1 << 20
 
@@ -74,18 +80,18 @@ def _stretches(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return doc[at], lo[at], (reach - base)[np.r_[at[1:], len(doc)] - 1]
 
 
-def _batch(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+def _batch(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, bucket: int | None = None) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()), pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(n, pa.binary())],
+        [pa.array(np.full(n, kind, np.int32)), pa.array([bucket] * n, pa.int32()), pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(n, pa.binary())],
         schema=_SCHEMA,
     )
 
 
-def _runs(buckets: list[int], runs: list[bytes]) -> pa.RecordBatch:
+def _runs(buckets: list[int], runs: list[bytes], kind: int = _RUN) -> pa.RecordBatch:
     n = len(buckets)
     return pa.RecordBatch.from_arrays(
-        [pa.array([_RUN] * n, pa.int32()), pa.array(buckets, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(runs, pa.binary())], schema=_SCHEMA
+        [pa.array([kind] * n, pa.int32()), pa.array(buckets, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(runs, pa.binary())], schema=_SCHEMA
     )
 
 
@@ -145,7 +151,7 @@ def _suffix_runs(buckets: int):
     return run
 
 
-def _merge_scan(buckets: int):
+def _merge_scan(crowd: int):
     """One bucket of the new batch against all levels. Role 0 levels are only read, role 1 levels and
     the batch (role 2) form the new level."""
 
@@ -162,11 +168,13 @@ def _merge_scan(buckets: int):
         group = np.cumsum(new) - 1
         # blocks of one gram match in part at most; nothing to compare if none of them is new
         open_gram = (np.bincount(group) > 1) & (np.bincount(group, role == 2) > 0)
-        some = [x[open_gram[group]] for x in entries]
-        pos = some[3].astype(np.int64)
-        kept = [x[role > 0] for x in entries]
-        out = [_batch(_REPEAT, *_covered(again)), _batch(_PARTIAL, some[2], pos - some[4], pos - some[5] + 1)]
-        out.append(_runs([rows.column("bucket")[0].as_py()], [_packed(kept, ENTRY)]) if len(kept[0]) else _runs([], []))
+        crowded = np.bincount(group)[group] > crowd
+        kept, bucket = [x[role > 0] for x in entries], rows.column("bucket")[0].as_py()
+        out = [_batch(_REPEAT, *_covered(again))]
+        for kind, chosen in ((_PARTIAL, open_gram[group] & ~crowded), (_CROWDED, open_gram[group] & crowded)):
+            doc, pos, back, fore = (x[chosen] for x in entries[2:])
+            out.append(_batch(kind, doc, pos.astype(np.int64) - back, pos.astype(np.int64) - fore + 1, bucket))
+        out.append(_runs([bucket], [_packed(kept, ENTRY)]) if len(kept[0]) else _runs([], []))
         return pa.Table.from_batches(out)
 
     return run
@@ -179,8 +187,8 @@ class SuffixFamily:
     stretches that repeat, and of window starts still to be compared, the latter in old and new documents.
     """
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int):
-        self.spark, self.scratch, self.buckets = spark, scratch, buckets
+    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, crowd: int = CROWD):
+        self.spark, self.scratch, self.buckets, self.crowd = spark, scratch, buckets, crowd
         self.levels: dict[int, DataFrame] = {}
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -190,8 +198,8 @@ class SuffixFamily:
         entries = runs.where(F.col("kind") == _RUN).select("bucket", F.lit(2).alias("role"), "run")
         for k, level in self.levels.items():
             entries = entries.unionByName(level.where(F.col("kind") == _RUN).select("bucket", F.lit(int(k < size)).alias("role"), "run"))
-        merged = self.scratch.keep(entries.groupBy("bucket").applyInArrow(_merge_scan(self.buckets), _FOUND), f"level{size}")
-        found = runs.unionByName(merged).where(F.col("kind") != _RUN).select("kind", "doc", "lo", "hi")
+        merged = self.scratch.keep(entries.groupBy("bucket").applyInArrow(_merge_scan(self.crowd), _FOUND), f"level{size}")
+        found = runs.unionByName(merged).where(F.col("kind") != _RUN).select("kind", "bucket", "doc", "lo", "hi")
         found = self.scratch.keep(found, "found")
         self.scratch.drop(runs, *(self.levels.pop(k) for k in range(size)))
         self.levels[size] = merged
@@ -203,33 +211,59 @@ class SuffixFamily:
         self.levels = {}
 
 
+def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, data, ranges) to runs of the blocks' bytes, for each bucket of the ranges."""
+    for batch in batches:
+        held: dict[int, tuple[list[tuple[int, int, int]], list[bytes]]] = {}
+        for doc, data, ranges in zip(*(batch.column(k) for k in range(3)), strict=True):
+            data, doc = data.as_buffer(), doc.as_py()
+            for x in ranges.as_py():
+                rows, parts = held.setdefault(x["bucket"], ([], []))
+                part = data[x["lo"] : x["hi"] + grams.WINDOW - 1].to_pybytes()
+                rows.append((doc, x["lo"], len(part)))
+                parts.append(part)
+        runs = []
+        for rows, parts in held.values():
+            columns = [np.array(x, k) for x, k in zip(zip(*rows, strict=True), BLOCK, strict=True)]
+            runs.append(len(rows).to_bytes(8, "little") + _packed(columns, BLOCK) + b"".join(parts))
+        yield _runs(list(held), runs)
+
+
+def _compared_blocks(rows: pa.Table) -> pa.Table:
+    """One bucket of blocks: every window that an earlier block holds as well."""
+    places, parts = [], []
+    width = sum(np.dtype(k).itemsize for k in BLOCK)
+    for run in rows.column("run").to_pylist():
+        n = int.from_bytes(run[:8], "little")
+        places.append(_unpacked(run[8 : 8 + n * width], BLOCK))
+        parts.append(run[8 + n * width :])
+    doc, lo, size = (np.concatenate(x) for x in zip(*places, strict=True))
+    size = size.astype(np.int64)
+    begin, windows = np.cumsum(size) - size, size - (grams.WINDOW - 1)
+    h32, h64 = grams.gram_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    block = np.repeat(np.arange(len(size)), windows)
+    step = np.arange(len(block)) - np.repeat(np.cumsum(windows) - windows, windows)
+    one, two = grams.window_hashes(h32, h64, begin[block] + step)
+    _, again = _split_places([one, two, doc[block], (lo[block] + step).astype("<u4")])
+    return pa.Table.from_batches([_batch(_REPEAT, *_stretches(again[2], again[3], again[3].astype(np.int64) + grams.WINDOW))])
+
+
 def _window_runs(buckets: int):
-    """(doc, data, ranges of window starts) to runs of window hashes, repeats in the task settled."""
+    """(doc, data, ranges) to runs of the hashes of their windows, repeats in the task settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            ranges = batch.column(2).to_pylist()
-            for lot in in_small_lots([x.as_buffer().size for x in texts], sizes=True):
-                parts = []
-                own = ranges[lot]
-                for segment in grams.segments(texts.slice(lot.start, lot.stop - lot.start).to_pylist()):
-                    wanted = []
-                    for owner, begin, offset, n in zip(segment.owners, segment.begin, segment.offsets, segment.windows, strict=True):
-                        lo = np.array([x["lo"] for x in own[owner]]) - offset
-                        hi = np.array([x["hi"] for x in own[owner]]) - offset
-                        mark = np.zeros(n + 1, np.int32)
-                        np.add.at(mark, np.clip(lo, 0, n), 1)
-                        np.add.at(mark, np.clip(hi, 0, n), -1)
-                        wanted.append(np.flatnonzero(np.cumsum(mark[:-1])) + begin)
-                    at = np.concatenate(wanted)
-                    one, two = grams.window_hashes(segment.h32, segment.h64, at)
-                    owner, pos = segment.locate(at)
-                    parts.append([one, (two >> np.uint64(32)).astype("<u4"), docs[lot][owner].astype("<i8"), pos.astype("<u4")])
-                if parts:
-                    kept, again = _split_places([np.concatenate(x) for x in zip(*parts, strict=True)])
-                    yield _batch(_REPEAT, *_stretches(again[2], again[3], again[3].astype(np.int64) + grams.WINDOW))
-                    yield _dealt(kept, PLACE, buckets)
+            parts = []
+            for doc, data, ranges in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data, doc = data.as_buffer(), doc.as_py()
+                for x in ranges.as_py():
+                    h32, h64 = grams.gram_hashes(np.frombuffer(data[x["lo"] : x["hi"] + grams.WINDOW - 1], np.uint8))
+                    at = np.arange(x["hi"] - x["lo"])
+                    parts.append([*grams.window_hashes(h32, h64, at), np.full(len(at), doc, "<i8"), (at + x["lo"]).astype("<u4")])
+            if parts:
+                kept, again = _split_places([np.concatenate(x) for x in zip(*parts, strict=True)])
+                yield _batch(_REPEAT, *_stretches(again[2], again[3], again[3].astype(np.int64) + grams.WINDOW))
+                yield _dealt(kept, PLACE, buckets)
 
     return run
 
@@ -238,7 +272,11 @@ def _split_places(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.
     """Windows sorted by hashes and place: the earliest of each, and the others."""
     order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
     columns = [x[order] for x in columns]
-    first = _first_of(columns[0], columns[1]) if len(order) else np.empty(0, bool)
+    if not len(order):
+        return columns, columns
+    # the same window may come twice, from blocks that two batches left open
+    columns = [x[_first_of(*columns)] for x in columns]
+    first = _first_of(columns[0], columns[1])
     return [x[first] for x in columns], [x[~first] for x in columns]
 
 
@@ -267,7 +305,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, crowd: int = CROWD) -> DataFrame:
     """One row (doc_id, n_bytes, removed, kept) per input row.
 
     A byte goes if a 100-byte string covers it that also starts earlier: in a document of smaller id, or
@@ -276,8 +314,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null texts are empty; texts under 100 bytes stay whole. If ids repeat or are null, each row is a
     document of its own, in the order of id (null first), then text. Other columns are ignored. The table
-    is added in ``batches`` ranges of ids. Matches rest on 96 bits of hash over whole windows; two
-    different strings pass as equal with a chance of about pairs compared / 2**64.
+    is added in ``batches`` ranges of ids. Matches rest on hashes of
+    whole windows; two different strings pass as equal with a chance of about pairs compared / 2**64.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
@@ -292,7 +330,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("removed"), F.col("data").alias("kept"))
 
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    family = SuffixFamily(spark, scratch, buckets)
+    family = SuffixFamily(spark, scratch, buckets, crowd)
     edges = [seen.lo + (seen.hi - seen.lo + 1) * k // batches for k in range(batches + 1)]
     found = [family.add(rows.where((F.col("doc") >= lo) & (F.col("doc") < hi))) for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi]
     family.close()
@@ -300,18 +338,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for more in found[1:]:
         every = every.unionByName(more)
 
-    def by_doc(ranges: DataFrame) -> DataFrame:
-        return ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-
-    partial = by_doc(every.where(F.col("kind") == _PARTIAL).select("doc", "lo", "hi").distinct())
-    windows = rows.select("doc", "data").join(partial, "doc").select("doc", "data", "ranges").mapInArrow(_window_runs(buckets), _FOUND)
-    windows = scratch.keep(windows, "windows")
-    scratch.sweep()
-    later = windows.where(F.col("kind") == _RUN).groupBy("bucket").applyInArrow(_later_windows, _FOUND)
-    repeats = scratch.keep(every.where(F.col("kind") == _REPEAT).unionByName(windows.where(F.col("kind") == _REPEAT).select("kind", "doc", "lo", "hi")).unionByName(later.select("kind", "doc", "lo", "hi")).select("doc", "lo", "hi"), "repeats")
-    scratch.drop(windows, *found)
+    def by_doc(ranges: DataFrame, *columns: str) -> DataFrame:
+        return ranges.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("ranges"))
+
+    def of(kind: int) -> DataFrame:
+        ranges = by_doc(every.where(F.col("kind") == kind).select("doc", "bucket", "lo", "hi").distinct(), "bucket", "lo", "hi")
+        return rows.select("doc", "data").join(ranges, "doc").select("doc", "data", "ranges")
+
+    blocks = of(_PARTIAL).mapInArrow(_block_runs, _FOUND)
+    repeats = every.where(F.col("kind") == _REPEAT).select("doc", "lo", "hi")
+    repeats = repeats.unionByName(blocks.groupBy("bucket").applyInArrow(_compared_blocks, _FOUND).select("doc", "lo", "hi"))
+    windows = None
+    if not every.where(F.col("kind") == _CROWDED).isEmpty():
+        windows = scratch.keep(of(_CROWDED).mapInArrow(_window_runs(buckets), _FOUND), "windows")
+        repeats = repeats.unionByName(windows.where(F.col("kind") == _REPEAT).select("doc", "lo", "hi"))
+        repeats = repeats.unionByName(windows.where(F.col("kind") == _RUN).groupBy("bucket").applyInArrow(_later_windows, _FOUND).select("doc", "lo", "hi"))
+    ranges = scratch.keep(by_doc(repeats, "lo", "hi"), "ranges")
+    scratch.drop(*found, *([windows] if windows is not None else []))
+    del repeats, blocks, windows, every
     scratch.sweep()
-    judged = rows.select("doc", "data").join(by_doc(repeats), "doc", "left").select("doc", "data", "ranges")
+    judged = rows.select("doc", "data").join(ranges, "doc", "left").select("doc", "data", "ranges")
     judged = judged.mapInArrow(_without, "doc long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
     if "numbered" in getattr(rows, "_casewright_path", ""):
         return judged.join(rows.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "removed", "kept")
