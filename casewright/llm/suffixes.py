@@ -16,11 +16,11 @@ a binary counter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.scratch import Scratch
 from . import grams
@@ -286,7 +286,7 @@ def _later_windows(rows: pa.Table) -> pa.Table:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, data, ranges) to (doc, n_bytes, removed, kept); ``removed`` are the maximal stretches."""
+    """(doc_id, data, ranges, row) to (doc_id, n_bytes, removed, kept, row); ``removed`` are maximal."""
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     for batch in batches:
         removed, kept, sizes = [], [], []
@@ -302,11 +302,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, lo, hi = _stretches(np.zeros(len(lo), np.int64), lo, hi)
             removed.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
             kept.append(b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "removed", "kept", "row"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, crowd: int = CROWD) -> DataFrame:
-    """One row (doc_id, n_bytes, removed, kept) per input row.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, carry: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
+    """One row (doc_id, n_bytes, removed, kept, row) per input row; ``row`` holds the ``carry`` columns.
 
     A byte goes if a 100-byte string covers it that also starts earlier: in a document of smaller id, or
     further left in the same one. Strings never cross documents, overlaps count, and everything is judged
@@ -314,12 +314,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null texts are empty; texts under 100 bytes stay whole. If ids repeat or are null, each row is a
     document of its own, in the order of id (null first), then text. Other columns are ignored. The table
-    is added in ``batches`` ranges of ids. Matches rest on hashes of
-    whole windows; two different strings pass as equal with a chance of about pairs compared / 2**64.
+    is added in ``batches`` ranges of ids. Matches rest on hashes of whole windows; two different strings
+    pass as equal with a chance of about pairs compared / 2**64.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
+    row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("string").alias("none"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), row.alias("row"))
     seen = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if seen.n != seen.ids:
         rows = scratch.keep(rows.orderBy(F.col("doc_id").asc_nulls_first(), "data").withColumn("doc", F.monotonically_increasing_id()), "numbered")
@@ -327,7 +328,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     else:
         rows = rows.withColumn("doc", F.col("doc_id"))
     if seen.lo is None:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("removed"), F.col("data").alias("kept"))
+        return rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("removed"), F.col("data").alias("kept"), "row")
 
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     family = SuffixFamily(spark, scratch, buckets, crowd)
@@ -357,8 +358,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch.drop(*found, *([windows] if windows is not None else []))
     del repeats, blocks, windows, every
     scratch.sweep()
-    judged = rows.select("doc", "data").join(ranges, "doc", "left").select("doc", "data", "ranges")
-    judged = judged.mapInArrow(_without, "doc long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
-    if "numbered" in getattr(rows, "_casewright_path", ""):
-        return judged.join(rows.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "removed", "kept")
-    return judged.select(F.col("doc").alias("doc_id"), "n_bytes", "removed", "kept")
+    judged = rows.join(ranges, "doc", "left").select("doc_id", "data", "ranges", "row")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary").add(rows.schema["row"])
+    return judged.mapInArrow(_without, schema)
