@@ -186,7 +186,7 @@ def hour_overlap(hours: DataFrame) -> DataFrame:
     Profiles (profile_id, hour) are reduced to their 24-bit sets; distinct sets are paired, and each set
     lists how many profiles have it.
     """
-    sets = hours.groupBy("profile_id").agg(F.sum(F.shiftleft(F.lit(1), F.col("hour"))).alias("mask"), F.array_sort(F.collect_set("hour")).alias("hours"))
+    sets = hours.groupBy("profile_id").agg(F.sum(F.expr("shiftleft(1L, hour)")).alias("mask"), F.array_sort(F.collect_set("hour")).alias("hours"))
     distinct = sets.groupBy("mask", "hours").agg(F.count("*").alias("profiles"))
     weight = lambda hs: F.aggregate(hs, F.lit(0.0), lambda a, h: a + X.hour_weight(h))
     one = distinct.select(F.col("mask").alias("mask_a"), F.col("profiles").alias("profiles_a"), F.explode("hours").alias("h"), F.col("hours").alias("x"))
