@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from . import bytebpe, embeddings, licenses, packing, pii, quality, secret_scan, simhash, suffixes, url_filter
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _tokenizer(name: str) -> str:
@@ -90,6 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
