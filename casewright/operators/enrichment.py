@@ -72,8 +72,9 @@ def assess(rows: DataFrame) -> DataFrame:
     """Rows (ip, on_tor_list, proxy_type, usage_type, asn, asn_category, asn_organization) with signals,
     confidence, network type, flag and rationale. Addresses that are no IPv4 or not global get a status
     and no signals; IPv6 counts as not assessed."""
-    number = ipv4_number(F.col("ip"))
-    status = F.when(number.isNull(), "invalid-address").when(~is_global(number), "non-global-address").otherwise("assessed")
+    # columns of their own, so that the parsing is not repeated in each of their uses
+    rows = rows.withColumn("__number", ipv4_number(F.col("ip")))
+    rows = rows.withColumn("status", F.when(F.col("__number").isNull(), "invalid-address").when(~is_global(F.col("__number")), "non-global-address").otherwise("assessed"))
     proxy, usage, category = (F.coalesce(F.col(c), F.lit("")) for c in ("proxy_type", "usage_type", "asn_category"))
     tor = F.coalesce("on_tor_list", F.lit(False))
     listed = F.col("asn").isNotNull() & (category != "")
@@ -83,8 +84,8 @@ def assess(rows: DataFrame) -> DataFrame:
     odd_proxy = (proxy != "") & ~proxy.isin(*PROXY_TYPES)
     fired = [(tor, "tor_exit_list")] + [(proxy == k, v) for k, v in PROXY_SIGNALS.items()] + [(category == "known-vpn", "asn_set_known_vpn"), (category == "hosting-datacenter", "asn_set_hosting_datacenter")]
     fired += [(odd_usage, "anomaly_trigger"), (odd_category, "anomaly_trigger"), (odd_proxy, "anomaly_trigger")]
-    signals = F.array_compact(F.array(*(F.when((status == "assessed") & on, F.struct(F.lit(name).alias("signal"), F.lit(WEIGHTS[name]).alias("weight"))) for on, name in fired)))
-    rows = rows.select("*", status.alias("status"), signals.alias("signals"))
+    signals = F.array_compact(F.array(*(F.when((F.col("status") == "assessed") & on, F.struct(F.lit(name).alias("signal"), F.lit(WEIGHTS[name]).alias("weight"))) for on, name in fired)))
+    rows = rows.drop("__number").withColumn("signals", signals)
     confidence = F.least(F.lit(100), F.aggregate("signals", F.lit(0), lambda a, s: a + s["weight"]))
     anomalous = F.exists("signals", lambda s: s["signal"] == "anomaly_trigger")
     network = (
