@@ -107,9 +107,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            for lot in in_small_lots(texts):
-                yield pa.RecordBatch.from_arrays([keys[lot.start : lot.stop], pa.array(coder.encode(texts[lot]), pa.binary())], names=["doc_id", "ids"])
+            keys, texts = batch.column(0), batch.column(1)
+            for lot in in_small_lots([x.as_buffer().size if x.is_valid else 0 for x in texts], sizes=True):
+                own = [x or "" for x in texts[lot.start : lot.stop].to_pylist()]
+                yield pa.RecordBatch.from_arrays([keys[lot.start : lot.stop], pa.array(coder.encode(own), pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -124,7 +125,9 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
         entry = _entries(ranks_path).__getitem__
         for batch in batches:
             ids = batch.column(1)
-            decoded = [b"".join(map(entry, np.frombuffer(x or b"", "<u4").tolist())) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+            for lot in in_small_lots([x.as_buffer().size if x.is_valid else 0 for x in ids], sizes=True):
+                own = ids[lot.start : lot.stop]
+                decoded = [b"".join(map(entry, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lot.start : lot.stop], own, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

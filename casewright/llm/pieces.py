@@ -32,7 +32,7 @@ class PieceCoder:
     and is emptied when full, so memory stays bounded however many different words there are.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000):
         self._encode_many, self._limit = encode_many, limit
         self._heads: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
