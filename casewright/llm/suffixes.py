@@ -38,7 +38,7 @@ _ENTRY_BYTES = sum(np.dtype(k).itemsize for k in ENTRY)
 _FOUND = "kind int, bucket int, doc long, lo int, hi int, run binary"
 _RUN, _REPEAT, _PARTIAL, _CROWDED = 0, 1, 2, 3
 #: Entries gathered in a task before they are sorted and written as one run for each bucket.
-_LOT = 1 << 20
+_LOT = 1 << 18
 
 
 def _packed(columns: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
@@ -288,21 +288,22 @@ def _later_windows(rows: pa.Table) -> pa.Table:
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, data, ranges, row) to (doc_id, n_bytes, removed, kept, row); ``removed`` are maximal."""
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    for batch in batches:
-        removed, kept, sizes = [], [], []
-        for data, ranges in zip(batch.column(1), batch.column(2), strict=True):
-            data = data.as_buffer().to_pybytes()
-            sizes.append(len(data))
-            if not ranges.is_valid:
-                removed.append([])
-                kept.append(data)
-                continue
-            ranges = ranges.values
-            lo, hi = (ranges.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            _, lo, hi = _stretches(np.zeros(len(lo), np.int64), lo, hi)
-            removed.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-            kept.append(b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "removed", "kept", "row"])
+    for whole in batches:
+        for lot in in_small_lots([x.as_buffer().size for x in whole.column(1)], sizes=True):
+            batch = whole.slice(lot.start, lot.stop - lot.start)
+            removed, kept, sizes = [], [], []
+            for data, ranges in zip(batch.column(1), batch.column(2), strict=True):
+                data = data.as_buffer().to_pybytes()
+                sizes.append(len(data))
+                if not ranges.is_valid:
+                    removed.append([])
+                    kept.append(data)
+                    continue
+                lo, hi = (ranges.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                _, lo, hi = _stretches(np.zeros(len(lo), np.int64), lo, hi)
+                removed.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "removed", "kept", "row"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, carry: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
