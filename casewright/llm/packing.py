@@ -9,6 +9,7 @@ trainer draws batches from one length bucket at a time.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -32,7 +33,8 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
     """Encodes with the vocabulary, merge order and pre-token pattern of a byte-level tokenizer file.
 
     tiktoken merges several times faster than the library the file is written for, with equal ids: in
-    such a file an entry's id is its merge rank. Strings of special tokens are ordinary text.
+    such a file an entry's id is its merge rank. Added tokens are matched first, as that library does:
+    leftmost, longest, each its own id; only the text between them is split and merged.
     """
     import public_tokenizers
     import tiktoken
@@ -43,9 +45,25 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
     hidden = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
     ranks = {bytes(byte[x] for x in entry): rank for entry, rank in vocabulary.items() if all(x in byte for x in entry)}
-    special = [x["content"] for x in _added(path) if x.get("special")]
-    ranks = {entry: rank for entry, rank in ranks.items() if entry.decode("utf-8", "replace") not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if any(x.get(flag) for x in _added(path) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    added = {x["content"]: x["id"] for x in _added(path) if x["content"]}
+    ranks = {entry: rank for entry, rank in ranks.items() if entry.decode("utf-8", "replace") not in added}
+    plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return plain
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> list[int]:
+        ids: list[int] = []
+        for part in cut(text):
+            if part in added:
+                ids.append(added[part])
+            elif part:
+                ids += plain(part)
+        return ids
+
+    return encode
 
 
 def _added(path: str) -> list[dict]:
