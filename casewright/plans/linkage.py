@@ -30,8 +30,8 @@ def _kept_pairs(s, d):
 
 
 def _edges(s, d):
-    """Edges with made-up evidence, for the graph queries: pairs sharing two nodes or more."""
-    shared = C.network_overlap(D.connections(s, d)).where("shared >= 2")
+    """Edges with made-up evidence, for the graph queries: pairs sharing a node; leads share three or more."""
+    shared = C.network_overlap(D.connections(s, d))
     return shared.select("a", "b", F.round("score", 6).alias("strength"), (F.col("shared") >= 3).alias("is_lead"), ((F.col("a") + F.col("b")) % 7 == 0).alias("has_contradiction"))
 
 

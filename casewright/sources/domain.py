@@ -53,9 +53,9 @@ def hours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connections(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles (customers) and the nodes (parts of first order lines) they are connected with."""
+    """Profiles (customers) and the nodes (parts of their order lines) they are connected with."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("profile_id"), F.col("l_partkey").alias("node")).distinct()
 
 
