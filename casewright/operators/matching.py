@@ -25,7 +25,9 @@ def match_first(queries: DataFrame, stored: DataFrame, limit: int = LIMIT) -> Da
 
     distinct = queries.select("query_hash").distinct()
     asked = banded(distinct.where(F.col("query_hash").rlike("^[0-9a-fA-F]{16}$")), "query_hash")
-    held = banded(stored.where(F.col("hash").rlike("^[0-9a-fA-F]{16}$")), "hash")
+    # of equal hashes only the one inserted first can win
+    earliest = stored.where(F.col("hash").rlike("^[0-9a-fA-F]{16}$")).groupBy("hash").agg(F.min(F.struct("position", "label")).alias("e")).select("hash", "e.position", "e.label")
+    held = banded(earliest, "hash")
     near = asked.join(held, ["band", "value"]).withColumn("distance", hamming(F.col("query_hash"), F.col("hash"))).where(F.col("distance") <= limit)
     first = near.groupBy("query_hash").agg(F.min(F.struct("position", "distance", "label")).alias("m"))
     out = distinct.join(first, "query_hash", "left")

@@ -57,7 +57,7 @@ def _avatar_pairs(s, d):
 
 
 def _stored(s, d):
-    return D.avatars(s, d).where("profile_id % 10 = 0").select(F.col("phash").alias("hash"), F.concat(F.lit("stored-"), F.col("profile_id").cast("string")).alias("label"), F.col("profile_id").alias("position"))
+    return D.avatars(s, d).select(F.col("phash").alias("hash"), F.concat(F.lit("stored-"), F.col("profile_id").cast("string")).alias("label"), F.col("profile_id").alias("position"))
 
 
 def _knn(s, d):

@@ -55,6 +55,16 @@ def test_network_overlap_by_brute_force(spark, sf_dir):
     assert got == want
 
 
+def test_every_stored_hash_is_searched(spark, sf_dir):
+    held = sorted((r.profile_id, r.phash) for r in domain.avatars(spark, sf_dir).collect())
+    want = {}
+    for q in {h for _, h in held}:
+        first = next((k, (int(q, 16) ^ int(h, 16)).bit_count()) for k, h in held if (int(q, 16) ^ int(h, 16)).bit_count() <= 10)
+        want[q] = (f"stored-{first[0]}", first[1])
+    got = {r.query_hash: (r.label, r.distance) for r in QUERIES["hash_match_first"](spark, sf_dir).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("name", LINKED)
 def test_linkage_and_graph(spark, sf_dir, name):
     sql = without(ORACLE_SQL[name], " WHERE l_linenumber = 1", " WHERE shared >= 2")
