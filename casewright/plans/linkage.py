@@ -120,6 +120,7 @@ QUERIES = {
     "entity_members": lambda s, d: G.propose(_groups(s, d), _edges(s, d), THRESHOLD).select("component_id", "profile_id", "kept", "best_strength", "reason"),
     "entity_candidates": lambda s, d: G.candidates(G.propose(_groups(s, d), _edges(s, d), THRESHOLD)).withColumn("mean_strength", F.round("mean_strength", 9)),
     "entity_promotion": lambda s, d: G.promote(G.candidates(G.propose(_groups(s, d), _edges(s, d), THRESHOLD)), "A. Analyst").withColumn("mean_strength", F.round("mean_strength", 9)),
+    "shortest_path": lambda s, d: G.shortest_paths(_edges(s, d), 1).select("node", F.col("hops").cast("long").alias("hops"), "via"),
     "shortest_path_bounded": lambda s, d: G.shortest_paths(_edges(s, d), 1, max_hops=3).select("node", F.col("hops").cast("long").alias("hops"), "via"),
 }
 

@@ -10,6 +10,7 @@ from itertools import combinations
 import pytest
 
 import oracle
+from casewright.operators import graph
 from casewright.plans.catalogue import ORACLE_SQL, QUERIES
 from casewright.sources import domain
 from casewright.sources.tables import table
@@ -65,6 +66,12 @@ def test_every_stored_hash_is_searched(spark, sf_dir):
     assert got == want
 
 
+def test_paths_have_no_limit_unless_asked(spark):
+    chain = spark.createDataFrame([(k, k + 1, 1.0, True, False) for k in range(1, 10)], "a long, b long, strength double, is_lead boolean, has_contradiction boolean")
+    assert {(r.node, r.hops, r.via) for r in graph.shortest_paths(chain, 1).collect()} == {(k, k - 1, k - 1 or None) for k in range(1, 11)}
+    assert graph.shortest_paths(chain, 1, max_hops=3).count() == 4
+
+
 @pytest.mark.parametrize("name", LINKED)
 def test_linkage_and_graph(spark, sf_dir, name):
     sql = without(ORACLE_SQL[name], " WHERE l_linenumber = 1", " WHERE shared >= 2")
