@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 # Signal weights, recognised categories and proxy types, thresholds, reserved ranges.
 WEIGHTS = {
@@ -36,6 +40,19 @@ def is_global(number: Column) -> Column:
     return ~inside
 
 
+def _ipv6_global(ip: str | None) -> bool | None:
+    try:
+        return ipaddress.IPv6Address(ip).is_global if ip and ":" in ip else None
+    except ValueError:
+        return None
+
+
+@F.arrow_udf(BooleanType())
+def ipv6_is_global(ip: pa.Array) -> pa.Array:
+    """Whether an IPv6 address is global; null for anything else."""
+    return pa.array([_ipv6_global(x) for x in ip.to_pylist()], pa.bool_())
+
+
 def parse_exit_list(lines: DataFrame, column: str = "value") -> DataFrame:
     """Distinct entries of a text list without blanks and comments, as (ip, position) as first seen."""
     rows = lines.select(F.regexp_replace(F.col(column), r"^\s+|\s+$", "").alias("ip"), "position") if "position" in lines.columns else lines.select(F.regexp_replace(F.col(column), r"^\s+|\s+$", "").alias("ip"), F.monotonically_increasing_id().alias("position"))
@@ -70,11 +87,12 @@ def with_ranges(addresses: DataFrame, ranges: DataFrame, *columns: str) -> DataF
 
 def assess(rows: DataFrame) -> DataFrame:
     """Rows (ip, on_tor_list, proxy_type, usage_type, asn, asn_category, asn_organization) with signals,
-    confidence, network type, flag and rationale. Addresses that are no IPv4 or not global get a status
-    and no signals; IPv6 counts as not assessed."""
+    confidence, network type, flag and rationale. Texts that are no IPv4 or IPv6 address
+    and addresses that are not global get a status and no signals."""
     # columns of their own, so that the parsing is not repeated in each of their uses
-    rows = rows.withColumn("__number", ipv4_number(F.col("ip")))
-    rows = rows.withColumn("status", F.when(F.col("__number").isNull(), "invalid-address").when(~is_global(F.col("__number")), "non-global-address").otherwise("assessed"))
+    rows = rows.withColumn("__number", ipv4_number(F.col("ip"))).withColumn("__six", ipv6_is_global(F.col("ip")))
+    public = F.coalesce(is_global(F.col("__number")), F.col("__six"))
+    rows = rows.withColumn("status", F.when(public.isNull(), "invalid-address").when(~public, "non-global-address").otherwise("assessed"))
     proxy, usage, category = (F.coalesce(F.col(c), F.lit("")) for c in ("proxy_type", "usage_type", "asn_category"))
     tor = F.coalesce("on_tor_list", F.lit(False))
     listed = F.col("asn").isNotNull() & (category != "")
@@ -85,7 +103,7 @@ def assess(rows: DataFrame) -> DataFrame:
     fired = [(tor, "tor_exit_list")] + [(proxy == k, v) for k, v in PROXY_SIGNALS.items()] + [(category == "known-vpn", "asn_set_known_vpn"), (category == "hosting-datacenter", "asn_set_hosting_datacenter")]
     fired += [(odd_usage, "anomaly_trigger"), (odd_category, "anomaly_trigger"), (odd_proxy, "anomaly_trigger")]
     signals = F.array_compact(F.array(*(F.when((F.col("status") == "assessed") & on, F.struct(F.lit(name).alias("signal"), F.lit(WEIGHTS[name]).alias("weight"))) for on, name in fired)))
-    rows = rows.drop("__number").withColumn("signals", signals)
+    rows = rows.drop("__number", "__six").withColumn("signals", signals)
     confidence = F.least(F.lit(100), F.aggregate("signals", F.lit(0), lambda a, s: a + s["weight"]))
     anomalous = F.exists("signals", lambda s: s["signal"] == "anomaly_trigger")
     network = (

@@ -79,7 +79,7 @@ def _addresses(s, d):
     proxies = F.array(*map(F.lit, ("", "TOR", "VPN", "PUB", "RES", "WEB", "DCH", "SES", "XYZ")))
     usages = F.array(*map(F.lit, ("", "ISP", "COM", "MOB", "DCH")))
     kinds = F.array(F.lit(None).cast("string"), F.lit("known-vpn"), F.lit("hosting-datacenter"), F.lit("other"))
-    ip = F.when(k % 50 == 0, "not an address").when(k % 50 == 1, "10.1.2.3").otherwise(F.concat_ws(".", (k % 80 + 20).cast("string"), (k % 250).cast("string"), (k % 200).cast("string"), (k % 100).cast("string")))
+    ip = F.when(k % 50 == 0, "not an address").when(k % 100 == 51, "fd00::1").when(k % 50 == 1, "10.1.2.3").when(k % 6 == 5, F.concat(F.lit("2606:4700::"), F.lower(F.hex(k % 65536)))).otherwise(F.concat_ws(".", (k % 80 + 20).cast("string"), (k % 250).cast("string"), (k % 200).cast("string"), (k % 100).cast("string")))
     category = F.get(kinds, (k % 4).cast("int"))
     return table(s, d, "events").select(k.alias("event_id"), ip.alias("ip"), (k % 17 == 0).alias("on_tor_list"), F.get(proxies, (k % 9).cast("int")).alias("proxy_type"), F.get(usages, (k % 5).cast("int")).alias("usage_type"), F.when(category.isNotNull() | (k % 3 == 0), k % 1000 + 64512).alias("asn"), category.alias("asn_category"))
 
