@@ -72,6 +72,25 @@ def test_paths_have_no_limit_unless_asked(spark):
     assert graph.shortest_paths(chain, 1, max_hops=3).count() == 4
 
 
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(before[k] + 1 if x == y else max(before[k + 1], row[k]))
+    return row[-1]
+
+
+def test_handle_pairs_keep_every_possible_lead(spark, sf_dir):
+    rarity = {r.handle: r.rarity for r in QUERIES["handle_rarity"](spark, sf_dir).collect()}
+    ratios = {(a, b): 2 * common(a, b) / (len(a) + len(b)) for a, b in combinations(sorted(rarity), 2)}
+    want = {p for p, x in ratios.items() if x >= 0.6 or x * (rarity[p[0]] + rarity[p[1]]) / 2 >= 0.2}
+    got = {(r.a, r.b): r.ratio for r in QUERIES["handle_similarity_pairs"](spark, sf_dir).collect()}
+    assert got.keys() == want and any(x < 0.6 for x in got.values())
+    assert all(x == pytest.approx(ratios[p], abs=1e-8) for p, x in got.items())
+
+
 @pytest.mark.parametrize("name", LINKED)
 def test_linkage_and_graph(spark, sf_dir, name):
     sql = without(ORACLE_SQL[name], " WHERE l_linenumber = 1", " WHERE shared >= 2")
