@@ -91,7 +91,7 @@ _NET = with_views("connections", "avatars") + """,
  sz AS (SELECT profile_id, count(*) AS size FROM connections GROUP BY 1),
  met AS (SELECT l.profile_id AS a, r.profile_id AS b, count(*) AS shared, count(*) FILTER (WHERE l.degree <= 20) AS distinctive, sum(l.weight) AS evidence FROM w l JOIN w r ON l.node = r.node AND l.profile_id < r.profile_id GROUP BY 1, 2),
  net AS (SELECT a, b, shared, distinctive, x.size + y.size - shared AS together, least(1.0::DOUBLE, evidence / log2(x.size + y.size - shared + 1)) AS score FROM met JOIN sz x ON x.profile_id = a JOIN sz y ON y.profile_id = b),
- edges AS (SELECT a, b, round(score, 6) AS strength, shared >= 3 AS is_lead, (a + b) % 7 = 0 AS has_contradiction FROM net WHERE shared >= 2),
+ edges AS (SELECT a, b, round(score, 6) AS strength, shared >= 3 AS is_lead, (a + b) % 7 = 0 AS has_contradiction FROM net),
  ends AS (SELECT a AS node, b AS other, strength, is_lead, has_contradiction FROM edges UNION ALL SELECT b, a, strength, is_lead, has_contradiction FROM edges),
  nodes AS (SELECT c_custkey AS node, c_nationkey AS entity, c_mktsegment AS platform FROM customer)
 """
@@ -133,7 +133,7 @@ ORACLE_SQL = {
     "hour_overlap_pairs": with_views("hours") + f", sets AS (SELECT profile_id, sum(1 << hour)::BIGINT AS mask FROM hours GROUP BY 1), m AS (SELECT mask, count(*) AS profiles FROM sets GROUP BY 1), hr AS (SELECT range AS h, {_WEIGHT.replace('h BETWEEN', 'range BETWEEN')} AS wt FROM range(24)) SELECT a.mask AS mask_a, b.mask AS mask_b, a.profiles AS profiles_a, b.profiles AS profiles_b, round(sum(wt) FILTER (WHERE (a.mask & b.mask & (1::BIGINT << h)) > 0) / sum(wt) FILTER (WHERE ((a.mask | b.mask) & (1::BIGINT << h)) > 0), 9) AS score FROM m a JOIN m b ON a.mask < b.mask AND (a.mask & b.mask) > 0, hr GROUP BY ALL",
     "network_overlap_pairs": _NET + "SELECT a, b, shared, distinctive, together, round(score, 9) AS score FROM net",
     "avatar_hamming_pairs": _NET + f"SELECT x.profile_id AS a, y.profile_id AS b, {_BITS.format('x.phash', 'y.phash')} AS phash_bits, {_BITS.format('x.dhash', 'y.dhash')} AS dhash_bits FROM avatars x JOIN avatars y ON x.profile_id < y.profile_id WHERE {_BITS.format('x.phash', 'y.phash')} <= 8 OR {_BITS.format('x.dhash', 'y.dhash')} <= 8",
-    "hash_match_first": _NET + f", q AS (SELECT DISTINCT phash AS query_hash FROM avatars), st AS (SELECT phash AS hash, 'stored-' || profile_id AS label, profile_id AS position FROM avatars WHERE profile_id % 10 = 0), m AS (SELECT query_hash, label, {_BITS.format('query_hash', 'hash')}::INT AS distance, row_number() OVER (PARTITION BY query_hash ORDER BY position) AS rn FROM q JOIN st ON {_BITS.format('query_hash', 'hash')} <= 10) SELECT query_hash, label, distance, round(1 - distance / 64, 3) AS confidence, label IS NOT NULL AS requires_human_review, CASE WHEN label IS NULL THEN 'none' ELSE 'local' END AS layer, 'disabled' AS external_adapters FROM q LEFT JOIN (SELECT * FROM m WHERE rn = 1) USING (query_hash)",
+    "hash_match_first": _NET + f", q AS (SELECT DISTINCT phash AS query_hash FROM avatars), st AS (SELECT phash AS hash, 'stored-' || profile_id AS label, profile_id AS position FROM avatars), m AS (SELECT query_hash, label, {_BITS.format('query_hash', 'hash')}::INT AS distance, row_number() OVER (PARTITION BY query_hash ORDER BY position) AS rn FROM q JOIN st ON {_BITS.format('query_hash', 'hash')} <= 10) SELECT query_hash, label, distance, round(1 - distance / 64, 3) AS confidence, label IS NOT NULL AS requires_human_review, CASE WHEN label IS NULL THEN 'none' ELSE 'local' END AS layer, 'disabled' AS external_adapters FROM q LEFT JOIN (SELECT * FROM m WHERE rn = 1) USING (query_hash)",
     "semantic_knn": "WITH p AS (SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 5",
     "identity_components": _REACH + "SELECT * FROM labels WHERE profile_id <> component_id",
     "graph_neighbours": _NET + "SELECT node, count(*) AS degree, string_agg(other::VARCHAR, ',' ORDER BY other) AS neighbours FROM ends GROUP BY 1",

@@ -117,7 +117,7 @@ SQL = {
     "custody": "SELECT event_id AS log_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, user_id AS case_id, props AS notes FROM events",
     "messages": "SELECT conv_id AS profile_id, turn AS message_index, text FROM conversations",
     "hours": "SELECT DISTINCT user_id AS profile_id, hour(ts) AS hour FROM events",
-    "connections": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1",
+    "connections": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "handles": "SELECT min(p_partkey) AS profile_id, p_name AS handle FROM part GROUP BY p_name",
     "signals": "SELECT c_custkey AS case_id, CASE WHEN c_custkey % 6 <> 0 THEN (c_custkey % 10) / 10.0::DOUBLE END AS classifier_score, CASE WHEN c_custkey % 10 >= 6 THEN 'escalate' ELSE 'allow' END AS decision, c_custkey % 25 AS message_count, c_custkey % 4 AS flagged_count, c_custkey % 5 + 1 AS platform_count, c_custkey % 7 = 0 AS is_tor, c_custkey % 5 = 0 AS is_vpn, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 120 END AS account_age_days, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey * 3 % 400 END AS friend_count, c_custkey % 4 = 0 AS late_night_activity, c_custkey % 3 AS game_history_flags, c_custkey % 5 - 1 AS prior_case_flags, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END AS graph_lead_platforms, c_custkey % 3 = 1 AS graph_has_contradictions FROM customer",
     "avatars": f"SELECT vec_id AS profile_id, {_P} AS phash, {_D} AS dhash FROM embeddings WHERE len(embedding) = 64",
