@@ -29,31 +29,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A family of temporary tables under one unique shared folder."""
+    """A family of temporary tables under one unique shared folder.
+
+    Results may still read them after the operator has returned, so the folder goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        files, root = self._at(self.root)
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+
+    def _at(self, path: str):
+        """The file system of a path, and the path for it."""
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(context._jsc.hadoopConfiguration()), found
 
     def path(self, label: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and return it as read back; ``drop`` releases it."""
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._casewright_path = path
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._casewright_path)
-            path.getFileSystem(conf).delete(path, True)
+            files, path = self._at(df._casewright_path)
+            files.delete(path, True)
 
     def sweep(self) -> None:
         """Let Spark's cleaner delete shuffle files that no live DataFrame refers to."""
