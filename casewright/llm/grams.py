@@ -74,12 +74,17 @@ class Segment:
         sizes = np.array([len(x) for x in parts])
         self.begin = np.cumsum(sizes) - sizes
         self.windows = sizes - (WINDOW - 1)
-        self.h32, self.h64 = gram_hashes(np.frombuffer(b"".join(parts), np.uint8))
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+        self.h32, self.h64 = gram_hashes(self.data)
 
     def starts(self) -> np.ndarray:
         """Start positions of all windows that lie within one text."""
         return np.repeat(self.begin, self.windows) + np.arange(self.windows.sum()) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
 
+    def bytes_at(self, at: np.ndarray) -> np.ndarray:
+        """The grams that start at these positions, one row each."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, GRAM)[at]
+
     def locate(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the text, position in it) of positions in the segment."""
         part = np.searchsorted(self.begin, at, "right") - 1

@@ -1,17 +1,21 @@
 """Removal of long repeats with a logarithmic family of sampled suffix arrays.
 
 Only sampled suffixes are kept: every 100-byte window is sampled at its smallest 32-byte gram, so equal
-windows are sampled at the same place and one suffix stands for some thirty windows (its block). A
-suffix array is ordered by the hashes of the suffix's gram and of its block, then by text order; it is
-dealt over buckets of the gram hash, each a sorted run in one binary.
-
-A new batch gets its own array. One scan per bucket merges it with the arrays of all existing levels:
-suffixes with equal gram and block stand next to each other, and all but the earliest are repeats as a
-whole. Suffixes that share a gram in different blocks match in part at most; the bytes of these blocks
-meet again in their bucket at the end, where windows are compared one by one. Blocks of a gram with very
-many of them are dealt out window by window instead, by hash, so that a frequent gram spreads over all
-tasks. In the same scan levels of equal size merge with the batch into one level of the next size, like
-a binary counter.
+windows are sampled at the same place, the anchor, and one suffix stands for some thirty windows, its
+block: at most 68 bytes before the anchor and 100 from it on. A suffix array is a table of suffixes in
+the order of their bytes, cut into parts by the gram.
+
+A new batch is sorted together with the arrays of all existing levels, and one scan over the sorted rows
+measures how many bytes each suffix shares with the one before it. Suffixes that share the whole gram may
+match. Of equal blocks (told by a fingerprint of all their bytes) all but the earliest are repeats as a
+whole; in the same scan levels of equal size merge with the batch into one level of the next size, like
+a binary counter. Different blocks around one gram match in part at most. Their bytes are fetched at the
+end and put in order twice, forwards from the anchor and backwards before it; the common lengths of
+neighbours in both orders tell for every window which blocks hold it, byte by byte. Grams with very many
+different blocks are dealt out window by window instead, by two hashes of the window, so that a frequent
+gram spreads over all tasks.
+
+Spark sorts, spills and deals the rows; the scans stream over them and hold one gram at most.
 """
 
 from __future__ import annotations
@@ -26,37 +30,32 @@ from ..operators.scratch import Scratch
 from . import grams
 from .pieces import in_small_lots
 
-#: Gram hash, block hash, document, position of the suffix, distances back to its first and last window.
-ENTRY = ("<u8", "<u8", "<i8", "<u4", "<u1", "<u1")
-#: Two window hashes, document, position.
-PLACE = ("<u8", "<u8", "<i8", "<u4")
-#: Document, first window and number of bytes of a block; the bytes follow.
-BLOCK = ("<i8", "<u4", "<u2")
 #: Grams with more different blocks than this are compared window by window.
 CROWD = 1 << 15
-_ENTRY_BYTES = sum(np.dtype(k).itemsize for k in ENTRY)
-_FOUND = "kind int, bucket int, doc long, lo int, hi int, run binary"
-_RUN, _REPEAT, _PARTIAL, _CROWDED = 0, 1, 2, 3
-#: Entries gathered in a task before they are sorted and written as one run for each bucket.
+#: Bytes of text whose suffixes one task should sort.
+PART = 128 << 20
+#: Longest stretch of a block before its anchor, and from it on.
+_BACK, _FORE = grams.WINDOW - grams.GRAM, grams.WINDOW
+#: Entries gathered in a task before their repeats are settled.
 _LOT = 1 << 18
 
+# Kinds of rows. An entry is a suffix: ``at`` packs its position, block and role, ``what`` is the block's
+# fingerprint. A repeat is a stretch of bytes from ``at`` to ``what``. Open and crowded rows are blocks
+# still to be compared, by ``at`` as in an entry; ``key`` is the hash of the gram.
+_ENTRY, _REPEAT, _OPEN, _CROWDED = 0, 1, 2, 3
+_ROW = "kind int, key long, gram binary, doc long, at long, what long"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("gram", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("what", pa.int64())])
+# Roles in a merge: levels that are only read, levels that join the new one, the batch.
+_READ, _JOINS, _NEW = 0, 1, 2
 
-def _packed(columns: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
-    """Columns as byte planes, which compress well; ``_unpacked`` is the inverse."""
-    return b"".join(np.ascontiguousarray(x.astype(k, copy=False)).view(np.uint8).reshape(len(x), -1).T.tobytes() for x, k in zip(columns, kinds, strict=True))
 
-
-def _unpacked(run: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    widths = [np.dtype(k).itemsize for k in kinds]
-    n, at, out = len(run) // sum(widths), 0, []
-    for k, w in zip(kinds, widths, strict=True):
-        out.append(np.ascontiguousarray(np.frombuffer(run, np.uint8, n * w, at).reshape(w, n).T).view(k).ravel())
-        at += n * w
-    return out
+def _packed(pos: np.ndarray, back: np.ndarray, fore: np.ndarray, role: int = _NEW) -> np.ndarray:
+    """Position of the anchor, distances back to the block's first and last window, role."""
+    return pos.astype(np.int64) << 24 | back.astype(np.int64) << 16 | fore.astype(np.int64) << 8 | role
 
 
-def _joined(runs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*(_unpacked(r, kinds) for r in runs), strict=True)]
+def _place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 24, at >> 16 & 255, at >> 8 & 255
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -80,102 +79,144 @@ def _stretches(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return doc[at], lo[at], (reach - base)[np.r_[at[1:], len(doc)] - 1]
 
 
-def _batch(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, bucket: int | None = None) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array([bucket] * n, pa.int32()), pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(n, pa.binary())],
-        schema=_SCHEMA,
-    )
-
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of equally many bytes as a binary column."""
+    n, width = rows.shape
+    ends = np.arange(0, (n + 1) * width, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
-def _runs(buckets: list[int], runs: list[bytes], kind: int = _RUN) -> pa.RecordBatch:
-    n = len(buckets)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.int32()), pa.array(buckets, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(runs, pa.binary())], schema=_SCHEMA
-    )
 
+def _rows(kind: int, key: np.ndarray, doc: np.ndarray, at: np.ndarray, what: np.ndarray | None = None, gram: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(doc)
+    what = np.zeros(n, np.int64) if what is None else what
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(key, pa.int64()), pa.nulls(n, pa.binary()) if gram is None else _binary(gram), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(what, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
-_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("run", pa.binary())])
 
+def _repeats(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    doc, lo, hi = _stretches(doc, lo, hi)
+    return _rows(_REPEAT, doc, doc, lo, hi)
 
-def _dealt(columns: list[np.ndarray], kinds: tuple[str, ...], buckets: int) -> pa.RecordBatch:
-    """Sorted rows as one run for each bucket of the first column."""
-    bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    columns, bucket = [x[order] for x in columns], bucket[order]
-    at = np.flatnonzero(_first_of(bucket)) if len(bucket) else np.empty(0, np.int64)
-    ends = np.r_[at[1:], len(bucket)]
-    return _runs(bucket[at].tolist(), [_packed([x[a:b] for x in columns], kinds) for a, b in zip(at, ends, strict=True)])
 
+def _covered(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Stretches of bytes that the windows of whole blocks cover."""
+    pos, back, fore = _place(at)
+    return _repeats(doc, pos - back, pos - fore + grams.WINDOW)
 
-def _split_repeats(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Entries sorted by gram, block and place: the earliest of each block, and all others."""
-    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-    columns = [x[order] for x in columns]
-    first = _first_of(columns[0], columns[1]) if len(order) else np.empty(0, bool)
-    return [x[first] for x in columns], [x[~first] for x in columns]
 
+def _sampled_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, data) to the sampled suffixes, one for each different block of a lot, and the lot's repeats."""
 
-def _covered(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of bytes that the windows of the entries cover."""
-    pos = entries[3].astype(np.int64)
-    return _stretches(entries[2], pos - entries[4], pos - entries[5] + grams.WINDOW)
+    def settled(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, gram, doc, at, what = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, doc, what, key))
+        first = _first_of(key[order], what[order])
+        again, kept = order[~first], order[first]
+        yield _covered(doc[again], at[again])
+        for lo in range(0, len(kept), 1 << 15):
+            k = kept[lo : lo + (1 << 15)]
+            yield _rows(_ENTRY, key[k], doc[k], at[k], what[k], gram[k])
 
+    parts: list[list[np.ndarray]] = []
+    held = 0
+    for batch in batches:
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        texts = batch.column(1)
+        for lot in in_small_lots([x.as_buffer().size for x in texts], sizes=True):
+            for segment in grams.segments(texts.slice(lot.start, lot.stop - lot.start).to_pylist()):
+                at, first, last = grams.sampled(segment.h32, segment.starts())
+                owner, pos = segment.locate(at)
+                what = grams.block_hashes(segment.h64, at, first, last).view(np.int64)
+                parts.append([segment.h32[at].view(np.int64), segment.bytes_at(at), docs[lot][owner].astype(np.int64), _packed(pos, at - first, at - last), what])
+                held += len(at)
+            if held > _LOT:
+                yield from settled(parts)
+                parts, held = [], 0
+    if parts:
+        yield from settled(parts)
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """key, gram (as rows of bytes), doc, at, what of entries."""
+    gram = batch.column(2)
+    ends = np.frombuffer(gram.buffers()[1], np.int32, len(gram) + 1, 4 * gram.offset)
+    rows = np.frombuffer(gram.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(gram), grams.GRAM)
+    key, doc, at, what = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
+    return [key, rows, doc, at, what]
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row shares with the one before it; -1 for the first."""
+    out = np.full(len(rows), -1)
+    if len(rows) > 1:
+        same = rows[1:] == rows[:-1]
+        out[1:] = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    return out
 
-def _suffix_runs(buckets: int):
-    """Texts to the sorted runs of their sampled suffixes; repeats within the task are settled here."""
 
-    def flush(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        kept, again = _split_repeats([np.concatenate(x) for x in zip(*parts, strict=True)])
-        yield _batch(_REPEAT, *_covered(again))
-        yield _dealt(kept, ENTRY, buckets)
+def _merge_scan(crowd: int):
+    """Rows sorted by gram, fingerprint and place to the new level's entries, repeats and open blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1)
-            for lot in in_small_lots([x.as_buffer().size for x in texts], sizes=True):
-                for segment in grams.segments(texts.slice(lot.start, lot.stop - lot.start).to_pylist()):
-                    at, first, last = grams.sampled(segment.h32, segment.starts())
-                    owner, pos = segment.locate(at)
-                    parts.append([segment.h32[at], grams.block_hashes(segment.h64, at, first, last), docs[lot][owner].astype("<i8"), pos.astype("<u4"), (at - first).astype("<u1"), (at - last).astype("<u1")])
-                    held += len(at)
-                if held > _LOT:
-                    yield from flush(parts)
-                    parts, held = [], 0
-        if parts:
-            yield from flush(parts)
-
-    return run
+        before: list[np.ndarray] | None = None  # the last row of the batch before
+        held: list[np.ndarray] | None = None  # different blocks of the gram that the batch before ended in
+        crowded = False  # whether that gram has shown more than ``crowd`` of them already
 
+        def compared(blocks: list[np.ndarray]) -> pa.RecordBatch:
+            """Grams with several blocks; nothing to compare if none of them is new."""
+            key, gram, doc, at, _ = blocks
+            group = np.cumsum(_common(gram) < grams.GRAM) - 1
+            use = ((np.bincount(group) > 1) & (np.bincount(group, at & 3 == _NEW) > 0))[group]
+            return _rows(_OPEN, key[use], doc[use], at[use])
 
-def _merge_scan(crowd: int):
-    """One bucket of the new batch against all levels. Role 0 levels are only read, role 1 levels and
-    the batch (role 2) form the new level."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        runs = rows.column("run").to_pylist()
-        role = np.repeat(rows.column("role").to_numpy(), [len(x) // _ENTRY_BYTES for x in runs])
-        entries = _joined(runs, ENTRY)
-        order = np.lexsort((entries[3], entries[2], entries[1], entries[0]))
-        entries, role = [x[order] for x in entries], role[order]
-        first = _first_of(entries[0], entries[1])
-        again = [x[~first & (role == 2)] for x in entries]
-        entries, role = [x[first] for x in entries], role[first]
-        new = _first_of(entries[0])
-        group = np.cumsum(new) - 1
-        # blocks of one gram match in part at most; nothing to compare if none of them is new
-        open_gram = (np.bincount(group) > 1) & (np.bincount(group, role == 2) > 0)
-        crowded = np.bincount(group)[group] > crowd
-        kept, bucket = [x[role > 0] for x in entries], rows.column("bucket")[0].as_py()
-        out = [_batch(_REPEAT, *_covered(again))]
-        for kind, chosen in ((_PARTIAL, open_gram[group] & ~crowded), (_CROWDED, open_gram[group] & crowded)):
-            doc, pos, back, fore = (x[chosen] for x in entries[2:])
-            out.append(_batch(kind, doc, pos.astype(np.int64) - back, pos.astype(np.int64) - fore + 1, bucket))
-        out.append(_runs([bucket], [_packed(kept, ENTRY)]) if len(kept[0]) else _runs([], []))
-        return pa.Table.from_batches(out)
+        for batch in batches:
+            entry = batch.column(0).to_numpy() == _ENTRY
+            if not entry.all():
+                yield batch.filter(pa.array(~entry))
+                batch = batch.filter(pa.array(entry))
+            if not batch.num_rows:
+                continue
+            rows = _columns(batch)
+            seen = rows if before is None else [np.concatenate(x) for x in zip(before, rows, strict=True)]
+            shared, skip = _common(seen[1]), 0 if before is None else 1
+            same_gram = shared[skip:] == grams.GRAM
+            first = ~same_gram
+            first[1 - skip :] |= seen[4][1:] != seen[4][:-1]
+            key, gram, doc, at, what = rows
+            role = at & 3
+            again = ~first & (role == _NEW)
+            yield _covered(doc[again], at[again])
+            stays = first & (role > _READ)
+            yield _rows(_ENTRY, key[stays], doc[stays], at[stays], what[stays], gram[stays])
+            before = [x[-1:] for x in rows]
+
+            turn = np.flatnonzero(~same_gram)  # where a gram begins
+            blocks = [x[first] for x in rows]
+            of_old = int(first[: turn[0]].sum()) if len(turn) else len(blocks[0])
+            if of_old:
+                old = [x[:of_old] for x in blocks]
+                if crowded:
+                    yield _rows(_CROWDED, old[0], old[2], old[3])
+                else:
+                    held = old if held is None else [np.concatenate(x) for x in zip(held, old, strict=True)]
+            if held is not None and len(held[0]) > crowd:
+                yield _rows(_CROWDED, held[0], held[2], held[3])
+                held, crowded = None, True
+            if len(turn):
+                if held is not None:
+                    yield compared(held)
+                last = int(first[: turn[-1]].sum())
+                whole, held, crowded = [x[of_old:last] for x in blocks], [x[last:] for x in blocks], False
+                if len(whole[0]):
+                    sizes = np.diff(np.r_[np.flatnonzero(_common(whole[1]) < grams.GRAM), len(whole[0])])
+                    large = np.repeat(sizes > crowd, sizes)
+                    yield _rows(_CROWDED, whole[0][large], whole[2][large], whole[3][large])
+                    yield compared([x[~large] for x in whole])
+                if len(held[0]) > crowd:
+                    yield _rows(_CROWDED, held[0], held[2], held[3])
+                    held, crowded = None, True
+        if held is not None:
+            yield compared(held)
 
     return run
 
@@ -183,25 +224,25 @@ def _merge_scan(crowd: int):
 class SuffixFamily:
     """Levels of sampled suffix arrays over the batches added so far, in ascending order of document.
 
-    ``add`` returns (whole repeats, partial matches) found by that batch: rows (doc, lo, hi) of byte
-    stretches that repeat, and of window starts still to be compared, the latter in old and new documents.
+    ``add`` returns what the batch's merge found: repeats in it, and blocks of old and new documents that
+    are still to be compared. An array is cut into ``parts`` by gram.
     """
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, crowd: int = CROWD):
-        self.spark, self.scratch, self.buckets, self.crowd = spark, scratch, buckets, crowd
+    def __init__(self, spark: SparkSession, scratch: Scratch, parts: int, crowd: int = CROWD):
+        self.spark, self.scratch, self.parts, self.crowd = spark, scratch, parts, crowd
         self.levels: dict[int, DataFrame] = {}
 
     def add(self, batch: DataFrame) -> DataFrame:
         """``batch`` has doc (long, not null, larger than in earlier batches) and data (binary)."""
-        runs = self.scratch.keep(batch.select("doc", "data").mapInArrow(_suffix_runs(self.buckets), _FOUND), "runs")
+        rows = batch.select("doc", "data").mapInArrow(_sampled_suffixes, _ROW)
         size = next(k for k in range(len(self.levels) + 1) if k not in self.levels)
-        entries = runs.where(F.col("kind") == _RUN).select("bucket", F.lit(2).alias("role"), "run")
         for k, level in self.levels.items():
-            entries = entries.unionByName(level.where(F.col("kind") == _RUN).select("bucket", F.lit(int(k < size)).alias("role"), "run"))
-        merged = self.scratch.keep(entries.groupBy("bucket").applyInArrow(_merge_scan(self.crowd), _FOUND), f"level{size}")
-        found = runs.unionByName(merged).where(F.col("kind") != _RUN).select("kind", "bucket", "doc", "lo", "hi")
-        found = self.scratch.keep(found, "found")
-        self.scratch.drop(runs, *(self.levels.pop(k) for k in range(size)))
+            role = _JOINS if k < size else _READ
+            rows = rows.unionByName(level.where(F.col("kind") == _ENTRY).withColumn("at", F.col("at").bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(role))))
+        order = rows.repartition(self.parts, "key").sortWithinPartitions("gram", "what", "doc", "at")
+        merged = self.scratch.keep(order.mapInArrow(_merge_scan(self.crowd), _ROW), f"level{size}", compression="zstd")
+        found = self.scratch.keep(merged.where(F.col("kind") != _ENTRY).select("kind", "key", "doc", "at", "what"), "found")
+        self.scratch.drop(*(self.levels.pop(k) for k in range(size)))
         self.levels[size] = merged
         self.scratch.sweep()
         return found
@@ -211,154 +252,207 @@ class SuffixFamily:
         self.levels = {}
 
 
-def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, data, ranges) to runs of the blocks' bytes, for each bucket of the ranges."""
-    for batch in batches:
-        held: dict[int, tuple[list[tuple[int, int, int]], list[bytes]]] = {}
-        for doc, data, ranges in zip(*(batch.column(k) for k in range(3)), strict=True):
-            data, doc = data.as_buffer(), doc.as_py()
-            for x in ranges.as_py():
-                rows, parts = held.setdefault(x["bucket"], ([], []))
-                part = data[x["lo"] : x["hi"] + grams.WINDOW - 1].to_pybytes()
-                rows.append((doc, x["lo"], len(part)))
-                parts.append(part)
-        runs = []
-        for rows, parts in held.values():
-            columns = [np.array(x, k) for x, k in zip(zip(*rows, strict=True), BLOCK, strict=True)]
-            runs.append(len(rows).to_bytes(8, "little") + _packed(columns, BLOCK) + b"".join(parts))
-        yield _runs(list(held), runs)
-
-
-def _compared_blocks(rows: pa.Table) -> pa.Table:
-    """One bucket of blocks: every window that an earlier block holds as well."""
-    places, parts = [], []
-    width = sum(np.dtype(k).itemsize for k in BLOCK)
-    for run in rows.column("run").to_pylist():
-        n = int.from_bytes(run[:8], "little")
-        places.append(_unpacked(run[8 : 8 + n * width], BLOCK))
-        parts.append(run[8 + n * width :])
-    doc, lo, size = (np.concatenate(x) for x in zip(*places, strict=True))
-    size = size.astype(np.int64)
-    begin, windows = np.cumsum(size) - size, size - (grams.WINDOW - 1)
-    h32, h64 = grams.gram_hashes(np.frombuffer(b"".join(parts), np.uint8))
-    block = np.repeat(np.arange(len(size)), windows)
-    step = np.arange(len(block)) - np.repeat(np.cumsum(windows) - windows, windows)
-    one, two = grams.window_hashes(h32, h64, begin[block] + step)
-    _, again = _split_places([one, two, doc[block], (lo[block] + step).astype("<u4")])
-    return pa.Table.from_batches([_batch(_REPEAT, *_stretches(again[2], again[3], again[3].astype(np.int64) + grams.WINDOW))])
-
-
-def _window_runs(buckets: int):
-    """(doc, data, ranges) to runs of the hashes of their windows, repeats in the task settled."""
+_BLOCK = "key long, doc long, at long, ahead binary, behind binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, data, open blocks) to the bytes of each block from its anchor on, and backwards before it."""
+    for whole in batches:
+        for lot in in_small_lots([x.as_buffer().size for x in whole.column(1)], sizes=True):
+            batch = whole.slice(lot.start, lot.stop - lot.start)
+            out: list[list] = [[], [], [], [], []]
+            for doc, data, blocks in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data, doc, blocks = data.as_buffer().to_pybytes(), doc.as_py(), blocks.values
+                at = blocks.field(1).to_numpy()
+                for key, packed, pos, back, fore in zip(blocks.field(0).to_pylist(), at.tolist(), *(x.tolist() for x in _place(at)), strict=True):
+                    for column, x in zip(out, (key, doc, packed, data[pos : pos - fore + grams.WINDOW], data[pos - back : pos][::-1]), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["key", "doc", "at", "ahead", "behind"])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values as rows of ``width`` bytes, filled up with zeros."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    sizes = np.diff(ends)
+    out = np.zeros((len(column), width), np.uint8)
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    into = np.repeat(np.arange(len(column)) * width - (ends[:-1] - ends[0]), sizes) + np.arange(len(flat))
+    out.ravel()[into] = flat
+    return out
+
+
+def _later_windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> pa.RecordBatch:
+    """Windows of blocks that an earlier block of the same key holds as well.
+
+    Rows come in the order of key and ``ahead``. The window that starts ``d`` bytes before the anchor is
+    equal in two blocks if they share ``d`` bytes backwards and ``WINDOW - d`` forwards; blocks that do
+    stand together in either order, between neighbours that share too little.
+    """
+    n, new = len(key), _first_of(key)
+    forwards = np.where(new, -1, _common(ahead))
+    order = np.lexsort([*behind.view(">u8").T[::-1], key])
+    backwards = np.where(_first_of(key[order]), -1, _common(behind[order]))
+    pos, back, fore = _place(at)
+    oldest = np.lexsort((at, doc))
+    docs, starts = [], []
+    group = np.empty(n, np.int64)
+    for d in range(_BACK + 1):
+        use = oldest[((fore <= d) & (d <= back))[oldest]]
+        if len(use) < 2:
+            continue
+        group[order] = np.cumsum(backwards < d)
+        same = (np.cumsum(forwards < grams.WINDOW - d) * (n + 1) + group)[use]
+        again = np.ones(len(use), bool)
+        again[np.unique(same, return_index=True)[1]] = False
+        docs.append(doc[use[again]])
+        starts.append(pos[use[again]] - d)
+    if not docs:
+        return _repeats(*(np.empty(0, np.int64),) * 3)
+    start = np.concatenate(starts)
+    return _repeats(np.concatenate(docs), start, start + grams.WINDOW)
+
+
+def _compared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by key and bytes from the anchor on: the repeats among those of one key."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [*(batch.column(k).to_numpy() for k in range(3)), _matrix(batch.column(3), _FORE), _matrix(batch.column(4), -(-_BACK // 8) * 8)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        cut = int(np.flatnonzero(_first_of(rows[0]))[-1])
+        held = [x[cut:] for x in rows]
+        if cut:
+            yield _later_windows(*(x[:cut] for x in rows))
+    if held is not None:
+        yield _later_windows(*held)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, data, crowded blocks) to two hashes of each of their windows, repeats in the lot settled."""
+    for whole in batches:
+        for lot in in_small_lots([x.as_buffer().size for x in whole.column(1)], sizes=True):
+            batch = whole.slice(lot.start, lot.stop - lot.start)
             parts = []
-            for doc, data, ranges in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for doc, data, blocks in zip(*(batch.column(k) for k in range(3)), strict=True):
                 data, doc = data.as_buffer(), doc.as_py()
-                for x in ranges.as_py():
-                    h32, h64 = grams.gram_hashes(np.frombuffer(data[x["lo"] : x["hi"] + grams.WINDOW - 1], np.uint8))
-                    at = np.arange(x["hi"] - x["lo"])
-                    parts.append([*grams.window_hashes(h32, h64, at), np.full(len(at), doc, "<i8"), (at + x["lo"]).astype("<u4")])
+                pos, back, fore = _place(blocks.values.field(1).to_numpy())
+                for lo, hi in zip((pos - back).tolist(), (pos - fore).tolist(), strict=True):
+                    h32, h64 = grams.gram_hashes(np.frombuffer(data[lo : hi + grams.WINDOW], np.uint8))
+                    at = np.arange(hi - lo + 1)
+                    one, two = grams.window_hashes(h32, h64, at)
+                    parts.append([one.view(np.int64), two.view(np.int64), np.full(len(at), doc, np.int64), at + lo])
             if parts:
-                kept, again = _split_places([np.concatenate(x) for x in zip(*parts, strict=True)])
-                yield _batch(_REPEAT, *_stretches(again[2], again[3], again[3].astype(np.int64) + grams.WINDOW))
-                yield _dealt(kept, PLACE, buckets)
+                one, two, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((start, doc, two, one))
+                first = _first_of(one[order], two[order])
+                again, kept = order[~first], order[first]
+                yield _repeats(doc[again], start[again], start[again] + grams.WINDOW)
+                yield _rows(_ENTRY, one[kept], doc[kept], start[kept], two[kept])
 
-    return run
 
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by their hashes and place: all but the first of each are repeats."""
+    last: tuple[int, int] | None = None
+    for batch in batches:
+        entry = batch.column(0).to_numpy() == _ENTRY
+        yield batch.filter(pa.array(~entry))
+        one, doc, start, two = (batch.column(k).to_numpy()[entry] for k in (1, 3, 4, 5))
+        if len(one):
+            first = _first_of(one, two)
+            first[0] = (one[0], two[0]) != last
+            last = (one[-1], two[-1])
+            yield _repeats(doc[~first], start[~first], start[~first] + grams.WINDOW)
 
-def _split_places(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Windows sorted by hashes and place: the earliest of each, and the others."""
-    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-    columns = [x[order] for x in columns]
-    if not len(order):
-        return columns, columns
-    # the same window may come twice, from blocks that two batches left open
-    columns = [x[_first_of(*columns)] for x in columns]
-    first = _first_of(columns[0], columns[1])
-    return [x[first] for x in columns], [x[~first] for x in columns]
 
+def _without(texts: bool):
+    """(doc_id, data, ranges, row) to (doc_id, n_bytes, removed, kept, text, row); ``removed`` are maximal."""
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
-def _later_windows(rows: pa.Table) -> pa.Table:
-    _, again = _split_places(_joined(rows.column("run").to_pylist(), PLACE))
-    return pa.Table.from_batches([_batch(_REPEAT, *_stretches(again[2], again[3], again[3].astype(np.int64) + grams.WINDOW))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lot in in_small_lots([x.as_buffer().size for x in whole.column(1)], sizes=True):
+                batch = whole.slice(lot.start, lot.stop - lot.start)
+                removed, kept, text, sizes = [], [], [], []
+                for data, ranges in zip(batch.column(1), batch.column(2), strict=True):
+                    data = data.as_buffer().to_pybytes()
+                    stays, gone = [data], []
+                    if ranges.is_valid:
+                        lo, hi = (ranges.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        _, lo, hi = _stretches(np.zeros(len(lo), np.int64), lo, hi)
+                        gone = [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        stays = [data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)]
+                    sizes.append(len(data))
+                    removed.append(gone)
+                    kept.append(b"".join(stays))
+                    # stretch by stretch, so that what is left of two cut characters never makes up a third
+                    text.append("".join(x.decode("utf-8", "ignore") for x in stays) if texts else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), pa.array(text, pa.string()), batch.column(3)],
+                    names=["doc_id", "n_bytes", "removed", "kept", "text", "row"],
+                )
 
+    return run
+
+
+_JUDGED = "doc_id long, n_bytes long, removed array<struct<lo:bigint,hi:bigint>>, kept binary, text string"
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, data, ranges, row) to (doc_id, n_bytes, removed, kept, row); ``removed`` are maximal."""
-    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    for whole in batches:
-        for lot in in_small_lots([x.as_buffer().size for x in whole.column(1)], sizes=True):
-            batch = whole.slice(lot.start, lot.stop - lot.start)
-            removed, kept, sizes = [], [], []
-            for data, ranges in zip(batch.column(1), batch.column(2), strict=True):
-                data = data.as_buffer().to_pybytes()
-                sizes.append(len(data))
-                if not ranges.is_valid:
-                    removed.append([])
-                    kept.append(data)
-                    continue
-                lo, hi = (ranges.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                _, lo, hi = _stretches(np.zeros(len(lo), np.int64), lo, hi)
-                removed.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "removed", "kept", "row"])
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, carry: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
-    """One row (doc_id, n_bytes, removed, kept, row) per input row; ``row`` holds the ``carry`` columns.
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, carry: Sequence[str] = (), crowd: int = CROWD, texts: bool = False) -> DataFrame:
+    """One row (doc_id, n_bytes, removed, kept, text, row) per input row; ``row`` holds the ``carry`` columns.
 
     A byte goes if a 100-byte string covers it that also starts earlier: in a document of smaller id, or
     further left in the same one. Strings never cross documents, overlaps count, and everything is judged
     on the input. ``removed`` lists the maximal removed stretches [lo, hi), ``kept`` the other bytes.
-
-    Null texts are empty; texts under 100 bytes stay whole. If ids repeat or are null, each row is a
-    document of its own, in the order of id (null first), then text. Other columns are ignored. The table
-    is added in ``batches`` ranges of ids. Matches rest on hashes of whole windows; two different strings
-    pass as equal with a chance of about pairs compared / 2**64.
+    With ``texts``, ``text`` is the kept part as text, without what is left of characters that were cut;
+    else it is null.
+
+    Null texts are empty; texts under 100 bytes stay whole; long texts are sampled segment by segment. If
+    ids repeat or are null, each row is a document of its own, in the order of id (null first), then text.
+    Other columns are ignored. An empty table gives no rows. The table is added in ``batches`` of about
+    equally many documents. Equal blocks are told by 64-bit fingerprints, and windows of crowded grams by
+    128 bits of hash; all other matches are measured on the bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("string").alias("none"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), row.alias("row"))
-    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    size = F.sum(F.octet_length("data")).alias("size")
+    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), size).first()
     if seen.n != seen.ids:
         rows = scratch.keep(rows.orderBy(F.col("doc_id").asc_nulls_first(), "data").withColumn("doc", F.monotonically_increasing_id()), "numbered")
-        seen = rows.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).first()
     else:
         rows = rows.withColumn("doc", F.col("doc_id"))
-    if seen.lo is None:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("removed"), F.col("data").alias("kept"), "row")
-
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    family = SuffixFamily(spark, scratch, buckets, crowd)
-    edges = [seen.lo + (seen.hi - seen.lo + 1) * k // batches for k in range(batches + 1)]
-    found = [family.add(rows.where((F.col("doc") >= lo) & (F.col("doc") < hi))) for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi]
+    schema = T.StructType.fromDDL(_JUDGED).add(rows.schema["row"])
+    if not seen.n:
+        return rows.select("doc_id", "data", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("ranges"), "row").mapInArrow(_without(texts), schema)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["size"] // PART))
+    family = SuffixFamily(spark, scratch, parts, crowd)
+    cuts = rows.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
+    edges = [None, *sorted(set(cuts)), None]
+    every = None
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        batch = rows if lo is None else rows.where(F.col("doc") > lo)
+        found = family.add(batch if hi is None else batch.where(F.col("doc") <= hi))
+        every = found if every is None else every.unionByName(found)
     family.close()
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-
-    def by_doc(ranges: DataFrame, *columns: str) -> DataFrame:
-        return ranges.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("ranges"))
 
     def of(kind: int) -> DataFrame:
-        ranges = by_doc(every.where(F.col("kind") == kind).select("doc", "bucket", "lo", "hi").distinct(), "bucket", "lo", "hi")
-        return rows.select("doc", "data").join(ranges, "doc").select("doc", "data", "ranges")
+        blocks = every.where(F.col("kind") == kind).select("doc", "key", F.col("at").bitwiseAND(F.lit(-4)).alias("at")).distinct()
+        return rows.select("doc", "data").join(blocks.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("blocks")), "doc").select("doc", "data", "blocks")
+
+    def stretches(found: DataFrame) -> DataFrame:
+        return found.where(F.col("kind") == _REPEAT).select("doc", F.col("at").alias("lo"), F.col("what").alias("hi"))
 
-    blocks = of(_PARTIAL).mapInArrow(_block_runs, _FOUND)
-    repeats = every.where(F.col("kind") == _REPEAT).select("doc", "lo", "hi")
-    repeats = repeats.unionByName(blocks.groupBy("bucket").applyInArrow(_compared_blocks, _FOUND).select("doc", "lo", "hi"))
-    windows = None
+    blocks = of(_OPEN).mapInArrow(_block_rows, _BLOCK).repartition(parts, "key").sortWithinPartitions("key", "ahead")
+    repeats = stretches(every).unionByName(stretches(blocks.mapInArrow(_compared_blocks, _ROW)))
     if not every.where(F.col("kind") == _CROWDED).isEmpty():
-        windows = scratch.keep(of(_CROWDED).mapInArrow(_window_runs(buckets), _FOUND), "windows")
-        repeats = repeats.unionByName(windows.where(F.col("kind") == _REPEAT).select("doc", "lo", "hi"))
-        repeats = repeats.unionByName(windows.where(F.col("kind") == _RUN).groupBy("bucket").applyInArrow(_later_windows, _FOUND).select("doc", "lo", "hi"))
-    ranges = scratch.keep(by_doc(repeats, "lo", "hi"), "ranges")
-    scratch.drop(*found, *([windows] if windows is not None else []))
-    del repeats, blocks, windows, every
+        windows = of(_CROWDED).mapInArrow(_window_rows, _ROW).repartition(parts, "key").sortWithinPartitions("key", "what", "doc", "at")
+        repeats = repeats.unionByName(stretches(windows.mapInArrow(_equal_windows, _ROW)))
+    # no document has more stretches than its own length allows
+    ranges = scratch.keep(repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    del repeats, blocks, every
     scratch.sweep()
-    judged = rows.join(ranges, "doc", "left").select("doc_id", "data", "ranges", "row")
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary").add(rows.schema["row"])
-    return judged.mapInArrow(_without, schema)
+    return rows.join(ranges, "doc", "left").select("doc_id", "data", "ranges", "row").mapInArrow(_without(texts), schema)
