@@ -74,7 +74,7 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)) <= NEAR
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among the fingerprints of one group, breadth first."""
     out, left = [], np.arange(len(fp))
     while len(left):
@@ -84,7 +84,7 @@ def _forest(fp: np.ndarray, rep: np.ndarray) -> list[tuple[int, int]]:
             hit = _near(fp[left], fp[k])
             found = left[hit]
             left = left[~hit]
-            out += [(int(rep[k]), int(rep[j])) for j in found]
+            out += [(int(fp[k]), int(fp[j])) for j in found]
             queue += found.tolist()
     return out
 
@@ -108,16 +108,16 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def _links_in_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest links of every key of rows (which, key, fp, rep) sorted by which and key."""
-    rest = [np.empty(0, np.int64)] * 4
+    """Forest links of every key of rows (which, key, fp) sorted by which and key."""
+    rest = [np.empty(0, np.int64)] * 3
 
     def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-        which, key, fp, rep = rows
+        which, key, fp = rows
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (which[1:] != which[:-1])])
         ends = np.r_[starts[1:], len(key)]
         out: list[tuple[int, int]] = []
         for k in np.flatnonzero(_linked_runs(starts, ends, fp)):
-            out += _forest(fp[starts[k] : ends[k]], rep[starts[k] : ends[k]])
+            out += _forest(fp[starts[k] : ends[k]])
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
@@ -145,11 +145,11 @@ def _crowded_links(rows: DataFrame, masks: list[int], scratch: Scratch) -> DataF
     sent = None
     for which, values in enumerate(flips):
         near = len([b for b in range(BITS) if not masks[which] >> b & 1]) + 1
-        part = rows.where(F.col("which") == which).select("which", "key", "rep", "fp", F.posexplode(F.array(*map(F.lit, values))).alias("k", "flip"))
-        part = part.select("which", "key", "rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), (F.col("k") < near).alias("near"))
+        part = rows.where(F.col("which") == which).select("which", "key", "fp", F.posexplode(F.array(*map(F.lit, values))).alias("k", "flip"))
+        part = part.select("which", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), (F.col("k") < near).alias("near"))
         sent = part if sent is None else sent.unionByName(part)
-    hubs = sent.groupBy("which", "key", "hub").agg(F.min("rep").alias("src"), F.max("near").alias("near"), F.count("*").alias("n")).where("near and n > 1")
-    return scratch.keep(sent.join(hubs.select("which", "key", "hub", "src"), ["which", "key", "hub"]).where("src <> rep").select("src", F.col("rep").alias("dst")).distinct(), "crowded")
+    hubs = sent.groupBy("which", "key", "hub").agg(F.min("fp").alias("src"), F.max("near").alias("near"), F.count("*").alias("n")).where("near and n > 1")
+    return scratch.keep(sent.join(hubs.select("which", "key", "hub", "src"), ["which", "key", "hub"]).where("src <> fp").select("src", F.col("fp").alias("dst")).distinct(), "crowded")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -159,20 +159,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fingerprints are collapsed before any comparison, so copies cost one row. Null and empty texts have
     fingerprint zero and link with each other like any others. Rows with a null doc_id carry no links of
     their own; they get the component of the rows that share their fingerprint, else null. Rows that
-    share a doc_id are linked by it only through their fingerprints. An empty table gives no rows.
+    share a doc_id are linked by it only through their fingerprints. Texts of any length are hashed
+    whole, in lots of shingles. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.keep(fingerprints(docs, doc_id, text), "fingerprints")
     reps = scratch.keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     masks = block_masks(blocks_for(reps.count()))
-    keyed = reps.select("fp", "rep", F.posexplode(F.array(*map(F.lit, masks))).alias("which", "mask")).select("which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
+    keyed = reps.select("fp", F.posexplode(F.array(*map(F.lit, masks))).alias("which", "mask")).select("which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     sizes = scratch.keep(keyed.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = keyed.join(sizes, ["which", "key"]).select("which", "key", "fp", "rep", "n")
-    plain = shared.where(F.col("n") <= crowd).select(F.col("which").cast("long").alias("which"), "key", "fp", "rep")
+    shared = keyed.join(sizes, ["which", "key"]).select("which", "key", "fp", "n")
+    plain = shared.where(F.col("n") <= crowd).select(F.col("which").cast("long").alias("which"), "key", "fp")
     links = plain.repartition("which", "key").sortWithinPartitions("which", "key").mapInArrow(_links_in_sorted, "src long, dst long")
     if not sizes.where(F.col("n") > crowd).isEmpty():
         links = links.unionByName(_crowded_links(shared.where(F.col("n") > crowd), masks, scratch))
-    labels = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
-    known = scratch.keep(reps.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "labels")
+    labels = connected_components(links, scratch).select(F.col("node").alias("fp"), "component")
+    grouped = scratch.keep(reps.join(labels, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "grouped")
+    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = scratch.keep(grouped.join(lowest, "component").select("fp", "component_id"), "labels")
     return fps.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
