@@ -99,9 +99,11 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_lines_removed, loss, clean_text, kept.
 
-    A null text has no words and fails the base rules, as an empty one does; its ``clean_text`` is
-    empty. A null doc_id stays null, repeated rows stay repeated, other columns are ignored. One pass
-    without a shuffle, whole texts, no Python.
+    ``clean_text`` is the text without the lines that fail; blank lines stay, so a text of which no line
+    fails is its own clean text, unless it has no word at all: then ``clean_text`` is empty. A null text has no words and fails the base rules, as an empty one does;
+    its ``clean_text`` is empty. A null doc_id stays null, repeated rows stay repeated, other columns are
+    ignored, an empty table gives no rows. Texts of any length are judged whole, in one row and one pass
+    without a shuffle or Python.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
@@ -116,14 +118,22 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         )
 
     def lines(t: Column) -> Column:
-        worded = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-        return let(worded, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), F.filter(a, lambda x: ~line_fails(x)).alias("good"), F.size(a).alias("n")))
+        def of(every: Column) -> Column:
+            worded = F.filter(every, lambda x: x.rlike(WORD))
+            return F.struct(
+                let(worded, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")).alias("n_dup_lines"),
+                F.filter(every, lambda x: ~x.rlike(WORD) | ~line_fails(x)).alias("good"),
+                F.size(every).alias("n"),
+            )
+
+        return let(F.split(t, "\n", -1), of)
 
     out = base.select("doc_id", measures(F.col("text")).alias("m"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"))
     out = out.select("doc_id", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.good").alias("good"), F.col("l.n").alias("n_lines"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
     out = out.withColumn("clean_text", F.array_join("good", "\n"))
     out = out.withColumn("left_chars", F.length(F.regexp_replace("clean_text", f"{SPACE}+", "")))
+    out = out.withColumn("clean_text", F.when(F.col("left_chars") == 0, "").otherwise(F.col("clean_text")))
     out = out.withColumn("loss", F.when(F.col("word_chars") == 0, F.lit(0.0)).otherwise(1 - F.col("left_chars") / F.col("word_chars")))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -132,7 +142,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns and the text as it was."""
-    judged = judge(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text")), "row", "text")
-    return judged.where("kept").select("doc_id.*")
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, their texts without the lines that fail, all other
+    columns as they were."""
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    judged = judge(docs.select(others.alias("row"), F.col(f"`{text}`").alias("text")), "row", "text")
+    return judged.where("kept").select("doc_id.*", F.col("clean_text").alias(text)).select(*(f"`{c}`" for c in docs.columns))

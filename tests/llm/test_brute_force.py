@@ -73,7 +73,6 @@ def test_op6(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     pieces = queries.QUERIES["op6_packing"](spark, sf_dir).collect()
     by_doc = {}
     for p in pieces:
