@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casewright.llm import packing, quality, secret_scan, simhash, suffixes
 from casewright.operators.scratch import Scratch
@@ -18,19 +18,33 @@ from casewright.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; their texts stay as they are."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, without the lines that failed."""
+    return _counted(quality.keep_good(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, the one of smallest id.
 
-    Of repeated rows with that id one stays as well; rows without an id stay as they are.
+    Rows of one id are documents of their own, in the order of their texts and other columns, so only a
+    near copy of another row ever goes. Rows without an id stay as they are.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
-    one = named.dropDuplicates(["doc_id"]) if _repeats(named) else named
-    return one.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    if not _repeats(named):
+        kept = named.join(_first_of_each(named, "doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    else:
+        number = "number"
+        while number in docs.columns:
+            number += "_"
+        order = [F.col("doc_id"), F.col("text"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))]
+        rows = Scratch(spark, "numbered").keep(named.orderBy(*order).withColumn(number, F.monotonically_increasing_id()), "rows")
+        kept = rows.join(_first_of_each(rows, number), number, "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def _first_of_each(docs: DataFrame, key: str) -> DataFrame:
+    """The keys, unique in ``docs``, of the documents that stand for their components."""
+    found = simhash.near_duplicates(docs, key).where("doc_id = component_id")
+    return found.select(F.col("doc_id").cast(docs.schema[key].dataType).alias(key))
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -43,15 +57,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A cut inside a multi-byte character drops the rest of that character.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = suffixes.remove_repeats(docs, carry=others)
+    found = suffixes.remove_repeats(docs, carry=others, texts=True)
     found = found.where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
-    text = F.when(F.size("removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
-    return _counted(found.select("doc_id", text.alias("text"), "row.*").select(*docs.columns))
-
-
-def _whole_characters(data: Column) -> Column:
-    """Bytes as text, without what is left of characters that were cut."""
-    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+    return _counted(found.select("doc_id", "text", "row.*").select(*docs.columns))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +76,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """``n_chars`` brought up to date with the text."""
+    """``n_chars``, where there is one, brought up to date with the text."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
