@@ -36,6 +36,12 @@ def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, _pair(h[:-GRAM], h[GRAM:])
 
 
+def hashed(rows: np.ndarray) -> np.ndarray:
+    """One hash for each row of 32 bytes."""
+    a, b, c, d = np.ascontiguousarray(rows).view(np.uint64).reshape(-1, 4).T
+    return _pair(_pair(a, b), _pair(c, d)).view(np.int64)
+
+
 def window_hashes(h32: np.ndarray, h64: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the windows that start at ``at``, each over all 100 bytes by a different route."""
     one = _pair(h64[at], h64[at + (WINDOW - 64)])

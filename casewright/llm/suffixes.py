@@ -41,10 +41,11 @@ _LOT = 1 << 18
 
 # Kinds of rows. An entry is a suffix: ``at`` packs its position, block and role, ``what`` is the block's
 # fingerprint. A repeat is a stretch of bytes from ``at`` to ``what``. Open and crowded rows are blocks
-# still to be compared, by ``at`` as in an entry; ``key`` is the hash of the gram.
+# still to be compared, ``at`` as in an entry and ``what`` a hash of the gram. A window is an entry
+# whose gram is one of its hashes, ``what`` the other and ``at`` its start.
 _ENTRY, _REPEAT, _OPEN, _CROWDED = 0, 1, 2, 3
-_ROW = "kind int, key long, gram binary, doc long, at long, what long"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("gram", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("what", pa.int64())])
+_ROW = "kind int, gram binary, doc long, at long, what long"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("gram", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("what", pa.int64())])
 # Roles in a merge: levels that are only read, levels that join the new one, the batch.
 _READ, _JOINS, _NEW = 0, 1, 2
 
@@ -86,16 +87,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _rows(kind: int, key: np.ndarray, doc: np.ndarray, at: np.ndarray, what: np.ndarray | None = None, gram: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, doc: np.ndarray, at: np.ndarray, what: np.ndarray, gram: np.ndarray | None = None) -> pa.RecordBatch:
     n = len(doc)
-    what = np.zeros(n, np.int64) if what is None else what
-    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(key, pa.int64()), pa.nulls(n, pa.binary()) if gram is None else _binary(gram), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(what, pa.int64())]
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.binary()) if gram is None else _binary(gram), *(pa.array(x, pa.int64()) for x in (doc, at, what))]
     return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows in parts by gram, those without one by document, each part in order of its suffixes."""
+    return rows.repartition(parts, F.when(F.col("kind") == _ENTRY, F.xxhash64("gram")).otherwise(F.col("doc"))).sortWithinPartitions("gram", "what", "doc", "at")
+
+
 def _repeats(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     doc, lo, hi = _stretches(doc, lo, hi)
-    return _rows(_REPEAT, doc, doc, lo, hi)
+    return _rows(_REPEAT, doc, lo, hi)
 
 
 def _covered(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -115,7 +120,7 @@ def _sampled_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _covered(doc[again], at[again])
         for lo in range(0, len(kept), 1 << 15):
             k = kept[lo : lo + (1 << 15)]
-            yield _rows(_ENTRY, key[k], doc[k], at[k], what[k], gram[k])
+            yield _rows(_ENTRY, doc[k], at[k], what[k], gram[k])
 
     parts: list[list[np.ndarray]] = []
     held = 0
@@ -127,7 +132,7 @@ def _sampled_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 at, first, last = grams.sampled(segment.h32, segment.starts())
                 owner, pos = segment.locate(at)
                 what = grams.block_hashes(segment.h64, at, first, last).view(np.int64)
-                parts.append([segment.h32[at].view(np.int64), segment.bytes_at(at), docs[lot][owner].astype(np.int64), _packed(pos, at - first, at - last), what])
+                parts.append([segment.h32[at], segment.bytes_at(at), docs[lot][owner].astype(np.int64), _packed(pos, at - first, at - last), what])
                 held += len(at)
             if held > _LOT:
                 yield from settled(parts)
@@ -137,12 +142,11 @@ def _sampled_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """key, gram (as rows of bytes), doc, at, what of entries."""
-    gram = batch.column(2)
+    """gram (as rows of bytes), doc, at, what of entries."""
+    gram = batch.column(1)
     ends = np.frombuffer(gram.buffers()[1], np.int32, len(gram) + 1, 4 * gram.offset)
-    rows = np.frombuffer(gram.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(gram), grams.GRAM)
-    key, doc, at, what = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
-    return [key, rows, doc, at, what]
+    rows = np.frombuffer(gram.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(gram), -1)
+    return [rows, *(batch.column(k).to_numpy() for k in (2, 3, 4))]
 
 
 def _common(rows: np.ndarray) -> np.ndarray:
@@ -154,20 +158,24 @@ def _common(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merge_scan(crowd: int):
-    """Rows sorted by gram, fingerprint and place to the new level's entries, repeats and open blocks."""
+def _merge_scan(crowd: int, lasting: bool = True):
+    """Rows sorted by gram, fingerprint and place to repeats, open blocks and, if the level is to last, the
+    entries of the new level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: list[np.ndarray] | None = None  # the last row of the batch before
         held: list[np.ndarray] | None = None  # different blocks of the gram that the batch before ended in
         crowded = False  # whether that gram has shown more than ``crowd`` of them already
 
+        def blocks_of(kind: int, blocks: list[np.ndarray]) -> pa.RecordBatch:
+            gram, doc, at, _ = blocks
+            return _rows(kind, doc, at, grams.hashed(gram))
+
         def compared(blocks: list[np.ndarray]) -> pa.RecordBatch:
             """Grams with several blocks; nothing to compare if none of them is new."""
-            key, gram, doc, at, _ = blocks
-            group = np.cumsum(_common(gram) < grams.GRAM) - 1
-            use = ((np.bincount(group) > 1) & (np.bincount(group, at & 3 == _NEW) > 0))[group]
-            return _rows(_OPEN, key[use], doc[use], at[use])
+            group = np.cumsum(_common(blocks[0]) < grams.GRAM) - 1
+            use = ((np.bincount(group) > 1) & (np.bincount(group, blocks[2] & 3 == _NEW) > 0))[group]
+            return blocks_of(_OPEN, [x[use] for x in blocks])
 
         for batch in batches:
             entry = batch.column(0).to_numpy() == _ENTRY
@@ -178,16 +186,16 @@ def _merge_scan(crowd: int):
                 continue
             rows = _columns(batch)
             seen = rows if before is None else [np.concatenate(x) for x in zip(before, rows, strict=True)]
-            shared, skip = _common(seen[1]), 0 if before is None else 1
-            same_gram = shared[skip:] == grams.GRAM
+            skip = 0 if before is None else 1
+            same_gram = _common(seen[0])[skip:] == grams.GRAM
             first = ~same_gram
-            first[1 - skip :] |= seen[4][1:] != seen[4][:-1]
-            key, gram, doc, at, what = rows
-            role = at & 3
-            again = ~first & (role == _NEW)
+            first[1 - skip :] |= seen[3][1:] != seen[3][:-1]
+            gram, doc, at, what = rows
+            again = ~first & (at & 3 == _NEW)
             yield _covered(doc[again], at[again])
-            stays = first & (role > _READ)
-            yield _rows(_ENTRY, key[stays], doc[stays], at[stays], what[stays], gram[stays])
+            if lasting:
+                stays = first & (at & 3 > _READ)
+                yield _rows(_ENTRY, doc[stays], at[stays], what[stays], gram[stays])
             before = [x[-1:] for x in rows]
 
             turn = np.flatnonzero(~same_gram)  # where a gram begins
@@ -196,11 +204,11 @@ def _merge_scan(crowd: int):
             if of_old:
                 old = [x[:of_old] for x in blocks]
                 if crowded:
-                    yield _rows(_CROWDED, old[0], old[2], old[3])
+                    yield blocks_of(_CROWDED, old)
                 else:
                     held = old if held is None else [np.concatenate(x) for x in zip(held, old, strict=True)]
             if held is not None and len(held[0]) > crowd:
-                yield _rows(_CROWDED, held[0], held[2], held[3])
+                yield blocks_of(_CROWDED, held)
                 held, crowded = None, True
             if len(turn):
                 if held is not None:
@@ -208,12 +216,12 @@ def _merge_scan(crowd: int):
                 last = int(first[: turn[-1]].sum())
                 whole, held, crowded = [x[of_old:last] for x in blocks], [x[last:] for x in blocks], False
                 if len(whole[0]):
-                    sizes = np.diff(np.r_[np.flatnonzero(_common(whole[1]) < grams.GRAM), len(whole[0])])
+                    sizes = np.diff(np.r_[np.flatnonzero(_common(whole[0]) < grams.GRAM), len(whole[0])])
                     large = np.repeat(sizes > crowd, sizes)
-                    yield _rows(_CROWDED, whole[0][large], whole[2][large], whole[3][large])
+                    yield blocks_of(_CROWDED, [x[large] for x in whole])
                     yield compared([x[~large] for x in whole])
                 if len(held[0]) > crowd:
-                    yield _rows(_CROWDED, held[0], held[2], held[3])
+                    yield blocks_of(_CROWDED, held)
                     held, crowded = None, True
         if held is not None:
             yield compared(held)
@@ -232,25 +240,25 @@ class SuffixFamily:
         self.spark, self.scratch, self.parts, self.crowd = spark, scratch, parts, crowd
         self.levels: dict[int, DataFrame] = {}
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """``batch`` has doc (long, not null, larger than in earlier batches) and data (binary)."""
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """``batch`` has doc (long, not null, larger than in earlier batches) and data (binary). With the
+        ``last`` batch the levels are scanned and dropped, and no new one is written."""
         rows = batch.select("doc", "data").mapInArrow(_sampled_suffixes, _ROW)
         size = next(k for k in range(len(self.levels) + 1) if k not in self.levels)
         for k, level in self.levels.items():
             role = _JOINS if k < size else _READ
             rows = rows.unionByName(level.where(F.col("kind") == _ENTRY).withColumn("at", F.col("at").bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(role))))
-        order = rows.repartition(self.parts, "key").sortWithinPartitions("gram", "what", "doc", "at")
-        merged = self.scratch.keep(order.mapInArrow(_merge_scan(self.crowd), _ROW), f"level{size}", compression="zstd")
-        found = self.scratch.keep(merged.where(F.col("kind") != _ENTRY).select("kind", "key", "doc", "at", "what"), "found")
-        self.scratch.drop(*(self.levels.pop(k) for k in range(size)))
-        self.levels[size] = merged
+        merged = _dealt(rows, self.parts).mapInArrow(_merge_scan(self.crowd, not last), _ROW)
+        if not last:
+            merged = self.scratch.keep(merged, f"level{size}", compression="zstd")
+        found = self.scratch.keep(merged.where(F.col("kind") != _ENTRY).drop("gram"), "found")
+        self.scratch.drop(*(self.levels.pop(k) for k in (list(self.levels) if last else range(size))))
+        if not last:
+            self.levels[size] = merged
+        del rows, merged
         self.scratch.sweep()
         return found
 
-    def close(self) -> None:
-        self.scratch.drop(*self.levels.values())
-        self.levels = {}
-
 
 _BLOCK = "key long, doc long, at long, ahead binary, behind binary"
 
@@ -341,15 +349,14 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for lo, hi in zip((pos - back).tolist(), (pos - fore).tolist(), strict=True):
                     h32, h64 = grams.gram_hashes(np.frombuffer(data[lo : hi + grams.WINDOW], np.uint8))
                     at = np.arange(hi - lo + 1)
-                    one, two = grams.window_hashes(h32, h64, at)
-                    parts.append([one.view(np.int64), two.view(np.int64), np.full(len(at), doc, np.int64), at + lo])
+                    parts.append([*grams.window_hashes(h32, h64, at), np.full(len(at), doc, np.int64), at + lo])
             if parts:
                 one, two, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order = np.lexsort((start, doc, two, one))
                 first = _first_of(one[order], two[order])
                 again, kept = order[~first], order[first]
                 yield _repeats(doc[again], start[again], start[again] + grams.WINDOW)
-                yield _rows(_ENTRY, one[kept], doc[kept], start[kept], two[kept])
+                yield _rows(_ENTRY, doc[kept], start[kept], two[kept].view(np.int64), one[kept].view(np.uint8).reshape(-1, 8))
 
 
 def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +365,9 @@ def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         entry = batch.column(0).to_numpy() == _ENTRY
         yield batch.filter(pa.array(~entry))
-        one, doc, start, two = (batch.column(k).to_numpy()[entry] for k in (1, 3, 4, 5))
-        if len(one):
+        if entry.any():
+            one, doc, start, two = _columns(batch.filter(pa.array(entry)))
+            one = np.ascontiguousarray(one).view(np.uint64).ravel()
             first = _first_of(one, two)
             first[0] = (one[0], two[0]) != last
             last = (one[-1], two[-1])
@@ -435,12 +443,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = None
     for lo, hi in zip(edges, edges[1:], strict=False):
         batch = rows if lo is None else rows.where(F.col("doc") > lo)
-        found = family.add(batch if hi is None else batch.where(F.col("doc") <= hi))
+        found = family.add(batch if hi is None else batch.where(F.col("doc") <= hi), last=hi is None)
         every = found if every is None else every.unionByName(found)
-    family.close()
 
     def of(kind: int) -> DataFrame:
-        blocks = every.where(F.col("kind") == kind).select("doc", "key", F.col("at").bitwiseAND(F.lit(-4)).alias("at")).distinct()
+        blocks = every.where(F.col("kind") == kind).select("doc", F.col("what").alias("key"), F.col("at").bitwiseAND(F.lit(-4)).alias("at")).distinct()
         return rows.select("doc", "data").join(blocks.groupBy("doc").agg(F.collect_list(F.struct("key", "at")).alias("blocks")), "doc").select("doc", "data", "blocks")
 
     def stretches(found: DataFrame) -> DataFrame:
@@ -449,7 +456,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = of(_OPEN).mapInArrow(_block_rows, _BLOCK).repartition(parts, "key").sortWithinPartitions("key", "ahead")
     repeats = stretches(every).unionByName(stretches(blocks.mapInArrow(_compared_blocks, _ROW)))
     if not every.where(F.col("kind") == _CROWDED).isEmpty():
-        windows = of(_CROWDED).mapInArrow(_window_rows, _ROW).repartition(parts, "key").sortWithinPartitions("key", "what", "doc", "at")
+        windows = _dealt(of(_CROWDED).mapInArrow(_window_rows, _ROW), parts)
         repeats = repeats.unionByName(stretches(windows.mapInArrow(_equal_windows, _ROW)))
     # no document has more stretches than its own length allows
     ranges = scratch.keep(repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")

@@ -32,7 +32,7 @@ def test_dense_repeats(spark, tiny_batches, batches, crowd):
 def test_an_id_far_from_the_others_does_not_unbalance_the_batches(spark, monkeypatch):
     sizes = []
     add = suffixes.SuffixFamily.add
-    monkeypatch.setattr(suffixes.SuffixFamily, "add", lambda self, batch: sizes.append(batch.count()) or add(self, batch))
+    monkeypatch.setattr(suffixes.SuffixFamily, "add", lambda self, batch, **more: sizes.append(batch.count()) or add(self, batch, **more))
     docs = [(k, "x" * k) for k in range(40)] + [(10**15, "far")]
     suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), batches=2).collect()
     assert sum(sizes) == 41 and max(sizes) <= 25
