@@ -20,17 +20,28 @@ def _op1() -> str:
 
 
 def _op2() -> str:
-    rows, idf, unknown = licenses.template_weights(licenses.TEMPLATES)
-    weights = ", ".join(f"({_quoted(t)}, {_quoted(w)}, {x!r}::DOUBLE)" for t, w, x in rows)
-    known = ", ".join(f"({_quoted(w)}, {x!r}::DOUBLE)" for w, x in idf.items())
-    return f"""WITH w(template, term, weight) AS (VALUES {weights}), k(term, idf) AS (VALUES {known}),
- parts AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS part FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
- s AS (SELECT DISTINCT doc_id, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS sentence FROM parts WHERE regexp_matches(part, {_quoted(licenses.CUE)})),
- t AS (SELECT sentence, term, count(*) AS n FROM (SELECT sentence, unnest(regexp_extract_all(lower(sentence), {_quoted(licenses.TERM)})) AS term FROM (SELECT DISTINCT sentence FROM s)) GROUP BY 1, 2),
- x AS (SELECT sentence, term, n * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM t LEFT JOIN k USING (term)),
- c AS (SELECT sentence, split_part(template, '#', 1) AS license, round(sum(x * weight) / any_value(norm), 6) AS score FROM x JOIN w USING (term) JOIN (SELECT sentence, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1) USING (sentence) GROUP BY sentence, template),
- o AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC) AS n FROM s JOIN c USING (sentence) WHERE score >= {licenses.THRESHOLD}) WHERE n = 1)
- SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, license, score, CASE WHEN license IS NULL THEN 'none' ELSE 'own' END AS origin FROM documents LEFT JOIN o USING (doc_id)"""
+    q = licenses
+    rank = lambda name: 0 if name in q.WEAK else 2 if name in q.NARROWER else 1
+    templates = ", ".join(f"({_quoted(f'{name}#{k}')}, {_quoted(name)}, {rank(name)}, {_quoted(x)})" for name, variants in q.TEMPLATES.items() for k, x in enumerate(variants))
+    stop, term, space, cue = ", ".join(map(_quoted, sorted(q.STOP))), _quoted(q.TERM), _quoted(q.SPACE + "+"), _quoted(q.cue_pattern(q.TEMPLATES))
+    words = lambda x: f"unnest(regexp_extract_all(lower({x}), {term}))"
+    trimmed = lambda x: f"trim(regexp_replace({x}, {space}, ' ', 'g'))"
+    sentences = lambda xs: f"flatten(list_transform({xs}, lambda x: string_split(regexp_replace(x, {_quoted('([.!?])' + q.SPACE + '+')}, '\\1' || chr(1), 'g'), chr(1))))"
+    return f"""WITH tp(template, license, rank, body) AS (VALUES {templates}),
+ tt AS (SELECT template, license, rank, term, count(*) AS n FROM (SELECT template, license, rank, {words('body')} AS term FROM tp) WHERE term NOT IN ({stop}) GROUP BY ALL),
+ k AS (SELECT term, ln((1 + (SELECT count(*) FROM tp)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tt GROUP BY 1),
+ w AS (SELECT template, license, rank, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS weight FROM tt JOIN k USING (term)),
+ d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, 'd' || doc_id // 256, CASE WHEN doc_id % 256 <> 0 THEN 'd' || doc_id // 16 END) AS dir, CASE WHEN doc_id % 16 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
+ f AS (SELECT doc_id, dir, name, text, regexp_replace(text, {_quoted(q.MARK)}, '\\1', 'g') AS plain FROM d WHERE regexp_matches(text, {cue})),
+ g AS (SELECT *, list_transform(regexp_split_to_array(plain, '\\n[\\x20\\x09-\\x0D]*\\n'), lambda x: {trimmed('x')}) AS paragraphs FROM f),
+ p AS (SELECT DISTINCT doc_id, unnest(list_filter(list_transform({sentences("string_split(text, chr(10))")}, lambda x: {trimmed('x')}) || {sentences('paragraphs')} || paragraphs || CASE WHEN name = 'LICENSE' THEN [{trimmed('plain')}] ELSE [] END, lambda x: regexp_matches(x, {cue}))) AS passage FROM g),
+ t AS (SELECT passage, term, count(*) AS n FROM (SELECT passage, {words('passage')} AS term FROM (SELECT DISTINCT passage FROM p)) WHERE term NOT IN ({stop}) GROUP BY 1, 2),
+ x AS (SELECT passage, term, n * coalesce(idf, ln(1 + (SELECT count(*) FROM tp)) + 1) AS x FROM t LEFT JOIN k USING (term)),
+ c AS (SELECT passage, license, rank, round(sum(x * weight) / any_value(norm), 6) AS score FROM x JOIN w USING (term) JOIN (SELECT passage, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1) USING (passage) GROUP BY passage, template, license, rank),
+ o AS (SELECT doc_id, license, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, score DESC, license DESC) AS n FROM p JOIN c USING (passage) WHERE score >= {q.THRESHOLD}) WHERE n = 1),
+ given AS (SELECT dir AS above, license, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY rank DESC, score DESC, license DESC) AS n FROM d JOIN o USING (doc_id) WHERE name = 'LICENSE') WHERE n = 1),
+ nearest AS (SELECT doc_id, arg_max(g.license, length(above)) AS license, arg_max(g.score, length(above)) AS score FROM d JOIN given g ON d.dir = above OR starts_with(d.dir, above || '/') GROUP BY 1)
+ SELECT doc_id, dir || '/' || name AS path, coalesce(o.license, r.license) AS license, coalesce(o.score, r.score) AS score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN r.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin FROM d LEFT JOIN o USING (doc_id) LEFT JOIN nearest r USING (doc_id)"""
 
 
 def _op4() -> str:

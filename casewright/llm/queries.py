@@ -22,9 +22,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # the table has no file names: source and language are the directories, the id is the name
-    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+    """The table has no file names: ids stand for a tree of two levels below each source, in which the
+    first document of a directory is its licence file."""
+    k = F.col("doc_id")
+    outer, inner = F.concat(F.lit("d"), F.expr("doc_id div 256").cast("string")), F.concat(F.lit("d"), F.expr("doc_id div 16").cast("string"))
+    path = F.concat_ws("/", "source", outer, F.when(k % 256 != 0, inner), F.when(k % 16 == 0, "LICENSE").otherwise(F.concat(k.cast("string"), F.lit(".txt"))))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
