@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import let
 from .literals import literal_rows
 
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
@@ -107,23 +108,46 @@ def cues(templates: Mapping[str, Sequence[str]], threshold: float = THRESHOLD) -
     return sorted(chosen)
 
 
-def cue_pattern(templates: Mapping[str, Sequence[str]]) -> str:
-    """One of the cues, as a term of its own in any case."""
-    return r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(x.replace(".", r"\.") for x in cues(templates)) + r")(?:[^a-z0-9]|$)"
+def pieces(text: Column) -> Column:
+    """The runs of letters and digits of a text; a term begins with one and may hold more."""
+    return F.split(F.lower(text), "[^a-z0-9]+", -1)
+
+
+def may_match(templates: Mapping[str, Sequence[str]], threshold: float = THRESHOLD):
+    """A test of passages that fails only for those whose cosine to every template is below the threshold.
+
+    The square of a cosine is at most the share that a passage's known terms have in its squared norm:
+    ``known`` terms weigh at most ``(known * largest idf) ** 2``, ``others`` different ones at least
+    ``others * unknown idf ** 2``.
+    """
+    _, idf, unknown = template_weights(templates)
+    known = sorted({x for t in idf for x in t.split(".")})
+    passed = sorted({*known, *STOP, ""})
+    ratio = threshold**2 / (1 - threshold**2) * unknown**2 / max(idf.values()) ** 2 * 0.99
+
+    def test(passage: Column) -> Column:
+        def of(words: Column) -> Column:
+            n = F.size(F.filter(words, lambda x: x.isin(*known)))
+            others = F.size(F.array_distinct(F.filter(words, lambda x: ~x.isin(*passed) & x.rlike("[a-z]"))))
+            return (n > 0) & (n * n >= others * F.lit(ratio))
+
+        return let(pieces(passage), of)
+
+    return test
 
 
 def _trimmed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, f"{SPACE}+", " "))
 
 
-def passages(text: Column, name: Column, cue: str) -> Column:
-    """The different passages of a text that hold a cue, white space made single."""
+def passages(text: Column, name: Column, test) -> Column:
+    """The different passages of a text that pass ``test``, white space made single."""
     sentences = lambda xs: F.flatten(F.transform(xs, lambda x: F.split(x, rf"(?<=[.!?]){SPACE}+", -1)))
     plain = F.regexp_replace(text, MARK, "$1")
     paragraphs = F.transform(F.split(plain, rf"\n{SPACE}*\n", -1), _trimmed)
     whole = F.when(name.rlike(LICENSE_FILE), F.array(_trimmed(plain))).otherwise(F.array().cast("array<string>"))
     every = F.concat(F.transform(sentences(F.split(text, "\n", -1)), _trimmed), sentences(paragraphs), paragraphs, whole)
-    return F.array_distinct(F.filter(every, lambda x: x.rlike(cue)))
+    return F.filter(F.array_distinct(every), test)
 
 
 def best_templates(spark: SparkSession, found: DataFrame, templates: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -158,11 +182,12 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
     """
     spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
-    key, cue = ["file_id", "path", "print"], cue_pattern(templates)
+    key = ["file_id", "path", "print"]
+    held = F.array(*(F.lit(x) for x in sorted({x.split(".")[0] for x in cues(templates)})))
     rows = files.select(F.col(file_id).alias("file_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("print", F.xxhash64("text")).withColumn("name", F.regexp_extract("path", r"[^/]*$", 0))
     every = rows.groupBy(*key, "name").agg(F.count("*").alias("times"))
-    found = rows.where(F.col("text").rlike(cue)).select(*key, F.explode(passages(F.col("text"), F.col("name"), cue)).alias("words")).select(*key, "words", F.md5("words").alias("passage"))
+    found = rows.where(F.arrays_overlap(pieces(F.col("text")), held)).select(*key, F.explode(passages(F.col("text"), F.col("name"), may_match(templates))).alias("words")).select(*key, "words", F.md5("words").alias("passage"))
     best = best_templates(spark, found.select("passage", "words"), templates)
     own = found.select(*key, "passage").join(best, "passage").groupBy(*key).agg(F.max(F.struct("rank", "score", "license")).alias("own"))
     every = every.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))

@@ -23,7 +23,7 @@ def _op2() -> str:
     q = licenses
     rank = lambda name: 0 if name in q.WEAK else 2 if name in q.NARROWER else 1
     templates = ", ".join(f"({_quoted(f'{name}#{k}')}, {_quoted(name)}, {rank(name)}, {_quoted(x)})" for name, variants in q.TEMPLATES.items() for k, x in enumerate(variants))
-    stop, term, space, cue = ", ".join(map(_quoted, sorted(q.STOP))), _quoted(q.TERM), _quoted(q.SPACE + "+"), _quoted(q.cue_pattern(q.TEMPLATES))
+    stop, term, space = ", ".join(map(_quoted, sorted(q.STOP))), _quoted(q.TERM), _quoted(q.SPACE + "+")
     words = lambda x: f"unnest(regexp_extract_all(lower({x}), {term}))"
     trimmed = lambda x: f"trim(regexp_replace({x}, {space}, ' ', 'g'))"
     sentences = lambda xs: f"flatten(list_transform({xs}, lambda x: string_split(regexp_replace(x, {_quoted('([.!?])' + q.SPACE + '+')}, '\\1' || chr(1), 'g'), chr(1))))"
@@ -32,9 +32,9 @@ def _op2() -> str:
  k AS (SELECT term, ln((1 + (SELECT count(*) FROM tp)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tt GROUP BY 1),
  w AS (SELECT template, license, rank, term, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS weight FROM tt JOIN k USING (term)),
  d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, 'd' || doc_id // 256, CASE WHEN doc_id % 256 <> 0 THEN 'd' || doc_id // 16 END) AS dir, CASE WHEN doc_id % 16 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
- f AS (SELECT doc_id, dir, name, text, regexp_replace(text, {_quoted(q.MARK)}, '\\1', 'g') AS plain FROM d WHERE regexp_matches(text, {cue})),
+ f AS (SELECT doc_id, dir, name, text, regexp_replace(text, {_quoted(q.MARK)}, '\\1', 'g') AS plain FROM d),
  g AS (SELECT *, list_transform(regexp_split_to_array(plain, '\\n[\\x20\\x09-\\x0D]*\\n'), lambda x: {trimmed('x')}) AS paragraphs FROM f),
- p AS (SELECT DISTINCT doc_id, unnest(list_filter(list_transform({sentences("string_split(text, chr(10))")}, lambda x: {trimmed('x')}) || {sentences('paragraphs')} || paragraphs || CASE WHEN name = 'LICENSE' THEN [{trimmed('plain')}] ELSE [] END, lambda x: regexp_matches(x, {cue}))) AS passage FROM g),
+ p AS (SELECT DISTINCT doc_id, unnest(list_transform({sentences("string_split(text, chr(10))")}, lambda x: {trimmed('x')}) || {sentences('paragraphs')} || paragraphs || CASE WHEN name = 'LICENSE' THEN [{trimmed('plain')}] ELSE [] END) AS passage FROM g),
  t AS (SELECT passage, term, count(*) AS n FROM (SELECT passage, {words('passage')} AS term FROM (SELECT DISTINCT passage FROM p)) WHERE term NOT IN ({stop}) GROUP BY 1, 2),
  x AS (SELECT passage, term, n * coalesce(idf, ln(1 + (SELECT count(*) FROM tp)) + 1) AS x FROM t LEFT JOIN k USING (term)),
  c AS (SELECT passage, license, rank, round(sum(x * weight) / any_value(norm), 6) AS score FROM x JOIN w USING (term) JOIN (SELECT passage, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1) USING (passage) GROUP BY passage, template, license, rank),
