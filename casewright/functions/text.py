@@ -124,3 +124,24 @@ def confidence_interval(point: Column, n: Column) -> Column:
     half = F.least(F.lit(0.4), 1 / F.sqrt(n))
     low, high = F.greatest(F.lit(0.0), point - half), F.least(F.lit(1.0), point + half)
     return F.when(n <= 0, F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))).otherwise(F.struct(low.alias("low"), high.alias("high")))
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string in ASCII: quotes, backslashes, controls and all beyond the tilde escaped,
+    characters beyond the basic plane as two surrogates; null stays null."""
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        beyond = code - 0x10000
+        pair = F.concat(unit(F.shiftright(beyond, 10) + 0xD800), unit(beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        out = F.when(c.rlike(r"^[\x20-\x7E]$"), c).when(code > 0xFFFF, pair).otherwise(unit(code))
+        for raw, shown in short.items():
+            out = F.when(c == raw, shown).otherwise(out)
+        return out
+
+    def of(t: Column) -> Column:
+        return F.when(t.rlike(r'["\\]|[^\x20-\x7E]'), F.array_join(F.transform(F.split(t, ""), escaped), "")).otherwise(t)
+
+    return F.concat(F.lit('"'), let(text, of), F.lit('"'))

@@ -1,35 +1,74 @@
 """Tamper-evident custody log: chain hashes, verification, evidence ids and manifests.
 
-The hash of an entry covers its content and the hash before it. Building a chain is a fold over its
-entries; verification is not: every link and every content hash is recomputed in parallel. A log is
-sharded by chain (one per case), so no window spans more than one chain.
+The hash of an entry covers all its fields and the hash before it. Building a chain is a fold, which
+streams over the sorted entries; verification is not: every link and every content hash is recomputed in
+parallel. A log is sharded by chain (one per case), so nothing spans more than one chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from hashlib import sha256 as digest
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..functions.text import json_text
 
 GENESIS = "0" * 64
-CONTENT = ("action", "log_id", "notes", "timestamp")
+# The fields that the hash of an entry covers, besides the hash before it, in order of name.
+CONTENT = ("action", "analyst", "artifact_id", "case_id", "notes", "sha256", "target_id", "timestamp")
+NUMBERS = ("artifact_id", "target_id")
+
 
+def canonical(log: DataFrame) -> tuple[Column, Column]:
+    """An entry as compact JSON in ASCII, keys in order, nulls kept: the parts before and after the value
+    of the previous hash. A field that the log does not have is null."""
 
-def canonical(previous: Column, row=F.col) -> Column:
-    """The entry's content as sorted compact JSON with nulls kept, in UTF-8."""
-    fields = {c: row(c).cast("string") for c in CONTENT} | {"previous_hash": previous}
-    return F.to_json(F.struct(*(fields[c].alias(c) for c in sorted(fields))), {"ignoreNullFields": "false"})
+    def shown(name: str) -> Column:
+        if name not in log.columns:
+            return F.lit("null")
+        return F.coalesce(F.col(name).cast("long").cast("string") if name in NUMBERS else json_text(F.col(name).cast("string")), F.lit("null"))
 
+    def fields(names: tuple[str, ...]) -> Column:
+        return F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), shown(n)) for n in names))
 
-def build_chain(log: DataFrame, chain: str = "case_id") -> DataFrame:
-    """``log`` with previous_hash and entry_hash, chained by log_id within ``chain``."""
-    rows = log.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col("log_id").alias("at"), *(F.col(c).cast("string").alias(c) for c in CONTENT)))).alias("rows"))
-    state = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<log_id:bigint,previous_hash:string,entry_hash:string>>").alias("out"))
+    cut = CONTENT.index("notes") + 1
+    return F.concat(F.lit("{"), fields(CONTENT[:cut]), F.lit(',"previous_hash":')), F.concat(F.lit(","), fields(CONTENT[cut:]), F.lit("}"))
 
-    def step(done: Column, row: Column) -> Column:
-        entry = F.sha2(canonical(done["last"], lambda c: row[c]), 256)
-        return F.struct(entry.alias("last"), F.concat(done["out"], F.array(F.struct(row["at"].cast("long").alias("log_id"), done["last"].alias("previous_hash"), entry.alias("entry_hash")))).alias("out"))
 
-    folded = rows.select(chain, F.explode(F.aggregate("rows", state, step, lambda s: s["out"])).alias("h")).select(chain, "h.*")
-    return log.join(folded, [chain, "log_id"])
+def build_chain(log: DataFrame, chain: str = "case_id", known: DataFrame | None = None) -> DataFrame:
+    """``log`` with previous_hash and entry_hash, chained by log_id within ``chain``.
+
+    Chains go on from the last hashed entry of ``known``, a log that is chained already, else from the
+    genesis hash. Entries of a chain are hashed one after the other as they stream by, whatever their number.
+    """
+    names = log.columns
+    start = F.lit(GENESIS)
+    rows = log
+    if known is not None:
+        last = known.where("entry_hash is not null").groupBy(F.col(chain).alias("__chain")).agg(F.max_by("entry_hash", "log_id").alias("__last"))
+        rows = rows.join(last, F.col(chain).eqNullSafe(F.col("__chain")), "left")
+        start = F.coalesce("__last", start)
+    head, tail = canonical(log)
+    rows = rows.select(*names, F.col(chain).cast("string").alias("__key"), start.alias("__start"), head.alias("__head"), tail.alias("__tail"))
+    rows = rows.repartition(chain).sortWithinPartitions(chain, "log_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[str | None] | None = None
+        last = GENESIS
+        for batch in batches:
+            before, hashes = [], []
+            for key, start, head, tail in zip(*(batch.column(len(names) + k).to_pylist() for k in range(4)), strict=True):
+                if now != (key,):
+                    now, last = (key,), start
+                before.append(last)
+                last = digest(f'{head}"{last}"{tail}'.encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*names, "previous_hash", "entry_hash"])
+
+    schema = T.StructType([*log.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    return rows.mapInArrow(run, schema)
 
 
 def verify_chain(log: DataFrame, chain: str = "case_id") -> DataFrame:
@@ -40,11 +79,13 @@ def verify_chain(log: DataFrame, chain: str = "case_id") -> DataFrame:
     """
     w = Window.partitionBy(chain).orderBy("log_id")
     rows = log.where("entry_hash is not null")
+    # contents are hashed before the rows are sorted, and only the verdict travels with them
+    head, tail = canonical(rows)
+    content = F.sha2(F.concat(head, F.coalesce(json_text(F.col("previous_hash")), F.lit("null")), tail), 256) == F.col("entry_hash")
+    rows = rows.select(chain, "log_id", "previous_hash", "entry_hash", content.alias("same"))
     rows = rows.withColumn("expected", F.lag("entry_hash", 1, GENESIS).over(w)).withColumn("position", F.row_number().over(w))
     link = F.col("previous_hash").eqNullSafe(F.col("expected"))
-    content = F.sha2(canonical(F.col("previous_hash")), 256) == F.col("entry_hash")
-    broken = F.when(~link, "broken link").when(~content, "content does not match its hash")
-    rows = rows.withColumn("broken", broken)
+    rows = rows.withColumn("broken", F.when(~link, "broken link").when(~F.col("same"), "content does not match its hash"))
     first = F.min(F.when(F.col("broken").isNotNull(), F.struct("position", "log_id", "broken")))
     out = rows.groupBy(chain).agg(F.count("*").alias("entries"), first.alias("first"))
     return out.select(chain, F.col("first").isNull().alias("intact"), F.coalesce(F.col("first.position") - 1, F.col("entries")).cast("long").alias("entries_checked"), F.col("first.log_id").alias("broken_log_id"), F.col("first.broken").alias("reason"))

@@ -18,9 +18,11 @@ PROXY_SIGNALS = {"TOR": "ip2proxy_tor", "VPN": "ip2proxy_vpn", "PUB": "ip2proxy_
 PROXY_TYPES = (*PROXY_SIGNALS, "SES", "CDN", "-")
 FLAG_AT, MIN_EXIT_LIST, STALE_HOURS = 50, 100, 48
 RESERVED = (
-    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15",
-    "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
+    "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
+#: Global addresses inside those ranges.
+ASSIGNED = ("192.0.0.9/32", "192.0.0.10/32")
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -31,13 +33,17 @@ def ipv4_number(ip: Column) -> Column:
 
 
 def is_global(number: Column) -> Column:
-    """Whether an address number lies outside all reserved ranges."""
-    inside = F.lit(False)
-    for net in RESERVED:
-        base, bits = net.split("/")
-        low = sum(int(x) << 8 * (3 - k) for k, x in enumerate(base.split(".")))
-        inside = inside | number.between(low, low + (1 << 32 - int(bits)) - 1)
-    return ~inside
+    """Whether an address number lies outside all reserved ranges, or in an assigned part of them."""
+
+    def within(nets: tuple[str, ...]) -> Column:
+        inside = F.lit(False)
+        for net in nets:
+            base, bits = net.split("/")
+            low = sum(int(x) << 8 * (3 - k) for k, x in enumerate(base.split(".")))
+            inside = inside | number.between(low, low + (1 << 32 - int(bits)) - 1)
+        return inside
+
+    return ~within(RESERVED) | within(ASSIGNED)
 
 
 def _ipv6_global(ip: str | None) -> bool | None:

@@ -8,17 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, types as T, functions as F
 
-# Kinds in order of application, with pattern and placeholder.
+from ..functions.text import let
+
+# Digits and white space of any script, as the masks mean them.
+_D, _S = r"\p{Nd}", r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_OCTET = rf"(?:25[0-5]|2[0-4]{_D}|1?{_D}?{_D})"
+_GAP = rf"[{_S[1:-1]}.\-]?"
+# Kinds in order of application, with pattern and placeholder. Look-behinds, \G and possessive
+# quantifiers spare starts and retries that cannot match, and the recursion of nested repeats; what is
+# matched is the same as without them.
 KINDS: dict[str, tuple[str, str]] = {
-    "email": (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[REDACTED - EMAIL]"),
-    "ssn": (r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", "[REDACTED - SSN]"),
-    "ipv4": (r"(?<!\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d)", "[REDACTED - IP]"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[REDACTED - EMAIL]"),
+    "ssn": (rf"(?<!{_D}){_D}{{3}}-{_D}{{2}}-{_D}{{4}}(?!{_D})", "[REDACTED - SSN]"),
+    "ipv4": (rf"(?<!{_D})(?:{_OCTET}\.){{3}}{_OCTET}(?!{_D})", "[REDACTED - IP]"),
     "ipv6": (
-        r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]*[A-Fa-f][0-9A-Fa-f]*:){2,}[0-9A-Fa-f]+)(?![0-9A-Fa-f:])",
+        r"(?<![0-9A-Fa-f:])(?=[0-9A-Fa-f]++:)((?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9]*+[A-Fa-f][0-9A-Fa-f]*+:){2,}+[0-9A-Fa-f]++)(?![0-9A-Fa-f:])",
         "[REDACTED - IP]",
     ),
-    "phone": (r"(?<!\d)(?:\+?\d{1,3}[\s.\-]?)?(?:\(?\d{3}\)?[\s.\-]?)\d{3}[\s.\-]?\d{4}(?!\d)", "[REDACTED - PHONE]"),
+    "phone": (rf"(?<!{_D})(?:\+?{_D}{{1,3}}{_GAP})?(?:\(?{_D}{{3}}\)?{_GAP}){_D}{{3}}{_GAP}{_D}{{4}}(?!{_D})", "[REDACTED - PHONE]"),
 }
+#: What a text must hold for a mask to match at all; texts without it are not searched further.
+_NEEDS = {"email": "@", "ssn": "-", "ipv4": ".", "ipv6": ":"}
 #: Policies differ in the placeholder of tagged values.
 POLICIES = {"standard": "[REDACTED - PROTECTED]", "minor_involved": "[REDACTED - MINOR]"}
 
@@ -29,17 +39,32 @@ def placeholder(policy: str) -> str:
     return POLICIES[policy]
 
 
+def _mask(text: Column, kind: str) -> Column:
+    pattern, mark = KINDS[kind]
+    found = F.regexp_replace(text, pattern, mark)
+    return F.when(F.contains(text, F.lit(_NEEDS[kind])), found).otherwise(text) if kind in _NEEDS else found
+
+
+def _masker(kind: str):
+    return lambda text: _mask(text, kind)
+
+
 def mask_patterns(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` masked and one count column for each kind."""
-    for kind, (pattern, mark) in KINDS.items():
-        df = df.withColumn(f"n_{kind}", F.regexp_count(F.col(column), F.lit(pattern)).cast("long")).withColumn(column, F.regexp_replace(F.col(column), pattern, mark))
+    """``df`` with ``column`` masked and one count column for each kind; null texts count zero.
+
+    Matches are counted only in texts that the mask changes.
+    """
+    for kind, (pattern, _) in KINDS.items():
+        df = df.withColumn("__masked", _mask(F.col(column), kind))
+        changed = F.col("__masked") != F.col(column)
+        df = df.withColumn(f"n_{kind}", F.when(changed, F.regexp_count(F.col(column), F.lit(pattern))).otherwise(0).cast("long")).withColumn(column, F.col("__masked")).drop("__masked")
     return df
 
 
 def masked(text: Column, protected: tuple[str, ...] = (), policy: str = "standard") -> Column:
     """``text`` with all patterns and then the protected values masked; null stays null."""
-    for pattern, mark in KINDS.values():
-        text = F.regexp_replace(text, pattern, mark)
+    for kind in KINDS:
+        text = let(text, _masker(kind))
     for value in protected:
         text = F.regexp_replace(text, F.lit(r"(?iu)\Q" + value.replace(r"\E", r"\E\\E\Q") + r"\E"), F.lit(placeholder(policy)))
     return text

@@ -40,17 +40,25 @@ def build(cases: DataFrame, targets: DataFrame, artifacts: DataFrame | None = No
         direct = named.where("case_id is not null")
         by_target = named.where("case_id is null").drop("case_id").join(owner, "target_id")
         rows = direct.unionByName(by_target.select(*direct.columns))
-        parts.append(_event(rows, case_id=key, timestamp=normalised_time(F.col("timestamp")), kind=F.concat(F.lit("custody_"), F.coalesce("action", F.lit("entry"))), description=F.coalesce("notes", "action", F.lit("custody entry")), source_table=F.lit("evidence_log"), source_ref=_text("log_id"), target_id=F.col("target_id")))
+        parts.append(_event(rows, case_id=key, timestamp=normalised_time(F.col("timestamp")), kind=F.concat(F.lit("custody_"), F.coalesce("action", F.lit("entry"))), description=F.coalesce("notes", "action", F.lit("custody entry")), source_table=F.lit("evidence_log"), source_ref=_text("log_id"), target_id=F.col("target_id"), **{c: _text(c) for c in ("analyst", "sha256") if c in rows.columns}))
     if notes is not None:
-        parts.append(_event(notes, case_id=key, timestamp=normalised_time(F.col("created_at")), kind=F.lit("analyst_note"), description=_text("note"), source_table=F.lit("analyst_notes"), source_ref=_text("note_id"), analyst=_text("analyst"), detail=F.when(F.col("finding_ref").isNotNull(), F.concat(F.lit("finding_ref="), F.col("finding_ref"))).otherwise("")))
+        parts.append(_event(notes, case_id=key, timestamp=normalised_time(F.col("created_at")), kind=F.lit("analyst_note"), description=_text("note"), source_table=F.lit("analyst_notes"), source_ref=_text("note_id"), analyst=_text("analyst"), target_id=F.col("target_id") if "target_id" in notes.columns else F.lit(None).cast("long"), detail=F.when(F.col("finding_ref").isNotNull(), F.concat(F.lit("finding_ref="), F.col("finding_ref"))).otherwise("")))
     if entities is not None:
         parts.append(_event(entities, case_id=key, timestamp=normalised_time(F.col("promoted_at")), kind=F.lit("entity_promoted"), description=F.concat(F.lit("Entity "), _text("entity_id"), F.lit(" ('"), _text("canonical_handle"), F.lit("') resolved by analyst decision")), source_table=F.lit("entities"), source_ref=_text("entity_id"), analyst=_text("promoted_by")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def ordered(events: DataFrame) -> DataFrame:
-    """Events by case, then time text, source and reference text."""
-    return events.orderBy("case_id", "timestamp", "source_table", "source_ref")
+    """Events of each case together, by time text, source and reference text; the cases themselves stand
+    in no order, so no range of them is sampled and a case never spans two parts."""
+    return events.repartition("case_id").sortWithinPartitions("case_id", "timestamp", "source_table", "source_ref")
+
+
+def serialised(events: DataFrame) -> DataFrame:
+    """(case_id, events): the timeline of each case as one JSON text, its events in order."""
+    event = F.struct(*(F.col(c) for c in COLUMNS if c != "case_id"))
+    rows = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "source_table", "source_ref", event.alias("event")))).alias("all"))
+    return rows.select("case_id", F.to_json(F.transform("all", lambda x: x["event"]), {"ignoreNullFields": "false"}).alias("events"))
 
 
 def chosen(events: DataFrame, kind: str | None = None, target_id: int | None = None) -> DataFrame:

@@ -22,16 +22,27 @@ def _dated_cases(s, d):
 _DATED = with_views("cases", "targets", "artifacts", "analyses") + f", dated AS (SELECT case_id, status, CASE WHEN case_id % 7 = 0 THEN NULL ELSE min(added_at) END AS created_at FROM cases JOIN targets USING (case_id) GROUP BY 1, 2), due AS (SELECT case_id, (epoch(TIMESTAMP '{_AS_OF}' - created_at::TIMESTAMP) / 86400)::DOUBLE AS age FROM dated WHERE created_at::TIMESTAMP < TIMESTAMP '{_AS_OF}' - INTERVAL {_DAYS} DAY)"
 
 
+def _opened(s, d):
+    """Cases with a time of opening."""
+    return D.cases(s, d).withColumn("created_at", F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), (F.col("case_id") % 1000).cast("int")), "yyyy-MM-dd HH:mm:ss"))
+
+
+def _events(s, d):
+    return T.build(_opened(s, d), D.targets(s, d), D.artifacts(s, d), D.analyses(s, d), D.custody(s, d), D.notes(s, d), D.entities(s, d))
+
+
 def _timeline(s, d):
-    events = T.build(D.cases(s, d), D.targets(s, d), D.artifacts(s, d), D.analyses(s, d), D.custody(s, d))
-    return T.ordered(events).select("case_id", "timestamp", "kind", "description", "source_table", "source_ref", "target_id", "detail")
+    return T.ordered(_events(s, d)).select("case_id", "timestamp", "kind", "description", "source_table", "source_ref", "analyst", "target_id", "detail")
 
 
-_EVENTS = with_views("targets", "artifacts", "analyses", "custody") + f""", ev AS (
- SELECT case_id, {_ISO.format('added_at')} AS timestamp, 'target_added' AS kind, 'Target ' || platform || ':' || username || ' added to case' AS description, 'targets' AS source_table, target_id::VARCHAR AS source_ref, target_id, '' AS detail FROM targets
- UNION ALL SELECT case_id, {_ISO.format('collected_at')}, 'artifact_collected', module_name || ' collected ' || artifact_type || ' artifact', 'artifacts', artifact_id::VARCHAR, target_id, '' FROM artifacts JOIN targets USING (target_id)
- UNION ALL SELECT case_id, {_ISO.format('analyzed_at')}, 'analysis_recorded', 'analysis recorded', 'analysis_results', result_id::VARCHAR, target_id, CASE WHEN risk_score IS NULL THEN '' ELSE printf('risk_score=%.2f', risk_score) END FROM analyses JOIN targets USING (target_id)
- UNION ALL SELECT case_id, {_ISO.format('timestamp')}, 'custody_' || action, notes, 'evidence_log', log_id::VARCHAR, NULL, '' FROM custody)
+_EVENTS = with_views("cases", "targets", "artifacts", "analyses", "custody", "notes", "entities") + f""", ev AS (
+ SELECT case_id, {_ISO.format("strftime(DATE '1992-01-01' + (case_id % 1000)::INT, '%Y-%m-%d %H:%M:%S')")} AS timestamp, 'case_opened' AS kind, 'Case ''' || case_name || ''' opened' AS description, 'cases' AS source_table, case_id::VARCHAR AS source_ref, analyst_name AS analyst, NULL::BIGINT AS target_id, '' AS detail FROM cases
+ UNION ALL SELECT case_id, {_ISO.format('added_at')}, 'target_added', 'Target ' || platform || ':' || username || ' added to case', 'targets', target_id::VARCHAR, '', target_id, '' FROM targets
+ UNION ALL SELECT case_id, {_ISO.format('collected_at')}, 'artifact_collected', module_name || ' collected ' || artifact_type || ' artifact', 'artifacts', artifact_id::VARCHAR, '', target_id, '' FROM artifacts JOIN targets USING (target_id)
+ UNION ALL SELECT case_id, {_ISO.format('analyzed_at')}, 'analysis_recorded', 'analysis recorded', 'analysis_results', result_id::VARCHAR, '', target_id, CASE WHEN risk_score IS NULL THEN '' ELSE printf('risk_score=%.2f', risk_score) END FROM analyses JOIN targets USING (target_id)
+ UNION ALL SELECT case_id, {_ISO.format('timestamp')}, 'custody_' || action, notes, 'evidence_log', log_id::VARCHAR, analyst, target_id, '' FROM custody
+ UNION ALL SELECT case_id, {_ISO.format('created_at')}, 'analyst_note', note, 'analyst_notes', note_id::VARCHAR, analyst, target_id, coalesce('finding_ref=' || finding_ref, '') FROM notes
+ UNION ALL SELECT case_id, {_ISO.format('promoted_at')}, 'entity_promoted', 'Entity ' || entity_id || ' (''' || canonical_handle || ''') resolved by analyst decision', 'entities', entity_id, promoted_by, NULL, '' FROM entities)
 """
 
 
@@ -39,22 +50,38 @@ def _chained(s, d):
     return V.build_chain(D.custody(s, d))
 
 
+#: Fields that are edited after the chain was built, each in the entries of one remainder by 97.
+_EDITED = {"notes": 0, "analyst": 1, "sha256": 2, "timestamp": 3, "action": 4}
+_RENUMBERED = {"artifact_id": 5, "target_id": 6}
+
+
 def _tampered(s, d):
-    """The chain with one edited note and one deleted entry in some cases."""
-    rows = _chained(s, d).withColumn("notes", F.when(F.col("log_id") % 97 == 0, "edited").otherwise(F.col("notes")))
+    """The chain with every field edited in some entries, and some entries deleted."""
+    rows = _chained(s, d)
+    for name, k in _EDITED.items():
+        rows = rows.withColumn(name, F.when(F.col("log_id") % 97 == k, "edited").otherwise(F.col(name)))
+    for name, k in _RENUMBERED.items():
+        rows = rows.withColumn(name, F.when(F.col("log_id") % 97 == k, -1).otherwise(F.col(name)))
     return V.verify_chain(rows.where("log_id % 89 <> 5"))
 
 
-_JSON = "'{{\"action\":' || to_json({0}.action) || ',\"log_id\":\"' || {0}.log_id || '\",\"notes\":' || to_json({0}.notes) || ',\"previous_hash\":\"' || {1} || '\",\"timestamp\":\"' || {0}.timestamp || '\"}}'"
+_FIELD = {
+    **{n: f"coalesce(to_json({{0}}.{n})::VARCHAR, 'null')" for n in ("action", "analyst", "notes", "sha256", "timestamp")},
+    **{n: f"coalesce({{0}}.{n}::VARCHAR, 'null')" for n in ("artifact_id", "target_id")},
+    "case_id": "'\"' || {0}.case_id || '\"'", "previous_hash": "'\"' || {1} || '\"'",
+}
+_JSON = "'{{' || " + " || ',' || ".join(f"'\"{n}\":' || {x}" for n, x in sorted(_FIELD.items())) + " || '}}'"
 _CHAIN = with_views("custody").replace("WITH ", "WITH RECURSIVE ", 1) + f""", num AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY log_id) AS n FROM custody),
- chain(case_id, log_id, action, notes, timestamp, n, previous_hash, entry_hash) AS (SELECT case_id, log_id, action, notes, timestamp, n, repeat('0', 64), sha256({_JSON.format('num', "repeat('0', 64)")}) FROM num WHERE n = 1
- UNION ALL SELECT num.case_id, num.log_id, num.action, num.notes, num.timestamp, num.n, c.entry_hash, sha256({_JSON.format('num', 'c.entry_hash')}) FROM chain c JOIN num ON num.case_id = c.case_id AND num.n = c.n + 1)
+ chain AS (SELECT num.*, repeat('0', 64) AS previous_hash, sha256({_JSON.format('num', "repeat('0', 64)")}) AS entry_hash FROM num WHERE n = 1
+ UNION ALL SELECT num.*, c.entry_hash, sha256({_JSON.format('num', 'c.entry_hash')}) FROM chain c JOIN num ON num.case_id = c.case_id AND num.n = c.n + 1)
 """
-_VERIFY = """, edited AS (SELECT * REPLACE (CASE WHEN log_id % 97 = 0 THEN 'edited' ELSE notes END AS notes) FROM chain WHERE log_id % 89 <> 5),
+_VERIFY = """, edited AS (SELECT * REPLACE ({0}) FROM chain WHERE {1}),
  checked AS (SELECT *, lag(entry_hash, 1, repeat('0', 64)) OVER w AS expected, row_number() OVER w AS position FROM edited WINDOW w AS (PARTITION BY case_id ORDER BY log_id)),
- judged AS (SELECT *, CASE WHEN previous_hash <> expected THEN 'broken link' WHEN sha256({}) <> entry_hash THEN 'content does not match its hash' END AS broken FROM checked)
+ judged AS (SELECT *, CASE WHEN previous_hash <> expected THEN 'broken link' WHEN sha256({2}) <> entry_hash THEN 'content does not match its hash' END AS broken FROM checked)
  SELECT case_id, count(broken) = 0 AS intact, coalesce(min(position) FILTER (WHERE broken IS NOT NULL) - 1, count(*)) AS entries_checked, arg_min(log_id, position) FILTER (WHERE broken IS NOT NULL) AS broken_log_id, arg_min(broken, position) FILTER (WHERE broken IS NOT NULL) AS reason FROM judged GROUP BY 1
-""".format(_JSON.format("checked", "checked.previous_hash"))
+"""
+_STORED = _JSON.format("checked", "checked.previous_hash")
+_EDITS = ", ".join([f"CASE WHEN log_id % 97 = {k} THEN 'edited' ELSE {n} END AS {n}" for n, k in _EDITED.items()] + [f"CASE WHEN log_id % 97 = {k} THEN -1 ELSE {n} END AS {n}" for n, k in _RENUMBERED.items()])
 
 
 def _redacted(s, d):
@@ -130,7 +157,7 @@ def _servers(s, d):
 
 QUERIES = {
     "investigation_timeline": lambda s, d: _timeline(s, d),
-    "timeline_custody_only": lambda s, d: T.chosen(T.build(D.cases(s, d), D.targets(s, d), custody=D.custody(s, d)), "custody_").groupBy("kind").agg(F.count("*").alias("n")),
+    "timeline_custody_only": lambda s, d: T.chosen(_events(s, d), "custody_").groupBy("kind").agg(F.count("*").alias("n")),
     "custody_fold": lambda s, d: _chained(s, d).select("case_id", "log_id", "previous_hash", "entry_hash"),
     "custody_verify": lambda s, d: V.verify_chain(_chained(s, d)),
     "custody_tamper": _tampered,
@@ -158,8 +185,8 @@ ORACLE_SQL = {
     "investigation_timeline": _EVENTS + "SELECT * FROM ev",
     "timeline_custody_only": with_views("custody") + "SELECT 'custody_' || action AS kind, count(*) AS n FROM custody GROUP BY 1",
     "custody_fold": _CHAIN + "SELECT case_id, log_id, previous_hash, entry_hash FROM chain",
-    "custody_verify": with_views("custody") + "SELECT case_id, true AS intact, count(*) AS entries_checked, NULL::BIGINT AS broken_log_id, NULL::VARCHAR AS reason FROM custody GROUP BY 1",
-    "custody_tamper": _CHAIN + _VERIFY,
+    "custody_verify": _CHAIN + _VERIFY.format("notes AS notes", "true", _STORED),
+    "custody_tamper": _CHAIN + _VERIFY.format(_EDITS, "log_id % 89 <> 5", _STORED),
     "evidence_manifest": with_views("targets", "artifacts", "custody") + "SELECT case_id, artifact_id, platform, sha256, coalesce(n, 0) AS custody_events, last_event FROM artifacts JOIN targets USING (target_id) LEFT JOIN (SELECT case_id, count(*) AS n, max(timestamp) AS last_event FROM custody GROUP BY 1) USING (case_id)",
     "package_verify": with_views("artifacts") + "SELECT CASE artifact_id % 10 WHEN 3 THEN 'unlisted' WHEN 4 THEN 'missing' WHEN 5 THEN 'altered' ELSE 'ok' END AS status, count(DISTINCT artifact_id) AS n FROM artifacts GROUP BY 1",
     "redact_email": "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) AS n_email, sha256(regexp_replace(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}', '[REDACTED - EMAIL]', 'g')) AS text_sha256 FROM documents",

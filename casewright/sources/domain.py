@@ -39,8 +39,32 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def custody(spark: SparkSession, d: str) -> DataFrame:
+    """Log entries; every third names an artifact with its hash, every fourth a target."""
+    k = F.col("event_id")
+    named = k % 3 == 0
     return table(spark, d, "events").select(
-        F.col("event_id").alias("log_id"), F.date_format("ts", _TIME).alias("timestamp"), F.col("event_type").alias("action"), F.col("user_id").alias("case_id"), F.col("props").alias("notes"),
+        k.alias("log_id"), F.date_format("ts", _TIME).alias("timestamp"), F.col("event_type").alias("action"), F.col("user_id").alias("case_id"), F.col("props").alias("notes"),
+        F.when(named, k * 10 + 1).alias("artifact_id"), F.when(k % 4 == 1, k).alias("target_id"), F.concat(F.lit("analyst-"), (F.col("user_id") % 25).cast("string")).alias("analyst"),
+        F.when(named, F.sha2(F.concat(F.lit("artifact "), k.cast("string")), 256)).alias("sha256"),
+    )
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """Analyst notes; some are on a finding, some on a target."""
+    k = F.col("doc_id")
+    return table(spark, d, "labels").select(
+        k.alias("note_id"), (k % 150).alias("case_id"), F.when(k % 3 == 0, k).alias("target_id"), F.when(F.col("toxic") == 1, F.concat(F.lit("finding-"), k.cast("string"))).alias("finding_ref"),
+        F.concat(F.lit("analyst-"), (k % 25).cast("string")).alias("analyst"), F.when(k % 10 == 7, "  ").otherwise(F.concat(F.lit(" quality "), F.col("quality").cast("string"), F.lit(" "))).alias("note"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), _TIME).alias("created_at"),
+    )
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities resolved by analysts."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(
+        F.concat(F.lit("entity-"), k.cast("string")).alias("entity_id"), k.alias("case_id"), F.col("s_name").alias("canonical_handle"), F.concat(F.lit("analyst-"), F.col("s_nationkey").cast("string")).alias("promoted_by"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), _TIME).alias("promoted_at"),
     )
 
 
@@ -114,7 +138,9 @@ SQL = {
     "targets": "SELECT o_orderkey AS target_id, o_custkey AS case_id, lower(o_orderpriority) AS platform, 'user' || o_custkey AS username, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS added_at FROM orders",
     "analyses": "SELECT l_orderkey * 10 + l_linenumber AS result_id, l_orderkey AS target_id, CASE WHEN l_returnflag <> 'A' THEN l_quantity / 5 END AS risk_score, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS analyzed_at FROM lineitem",
     "artifacts": "SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS target_id, l_returnflag AS module_name, l_linestatus AS artifact_type, sha256(l_orderkey || '|' || l_linenumber) AS sha256, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS collected_at FROM lineitem",
-    "custody": "SELECT event_id AS log_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, user_id AS case_id, props AS notes FROM events",
+    "custody": "SELECT event_id AS log_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, user_id AS case_id, props AS notes, CASE WHEN event_id % 3 = 0 THEN event_id * 10 + 1 END AS artifact_id, CASE WHEN event_id % 4 = 1 THEN event_id END AS target_id, 'analyst-' || user_id % 25 AS analyst, CASE WHEN event_id % 3 = 0 THEN sha256('artifact ' || event_id) END AS sha256 FROM events",
+    "notes": "SELECT doc_id AS note_id, doc_id % 150 AS case_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS target_id, CASE WHEN toxic = 1 THEN 'finding-' || doc_id END AS finding_ref, 'analyst-' || doc_id % 25 AS analyst, CASE WHEN doc_id % 10 = 7 THEN '  ' ELSE ' quality ' || quality || ' ' END AS note, strftime(DATE '2024-01-01' + (doc_id % 300)::INT, '%Y-%m-%d %H:%M:%S') AS created_at FROM labels",
+    "entities": "SELECT 'entity-' || s_suppkey AS entity_id, s_suppkey AS case_id, s_name AS canonical_handle, 'analyst-' || s_nationkey AS promoted_by, strftime(DATE '2024-01-01' + (s_suppkey % 300)::INT, '%Y-%m-%d %H:%M:%S') AS promoted_at FROM supplier",
     "messages": "SELECT conv_id AS profile_id, turn AS message_index, text FROM conversations",
     "hours": "SELECT DISTINCT user_id AS profile_id, hour(ts) AS hour FROM events",
     "connections": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
