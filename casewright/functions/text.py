@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import IntegerType
 
 # Name parts that many accounts share, and words whose use tells writers apart.
 COMMON_PARTS = "gamer player pro noob official real the xx yt ttv king queen boss god lord cool epic super mega ultra best top".split()
@@ -39,25 +41,23 @@ def handle_rarity(handle: Column) -> Column:
     return F.when(name == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rarity)))
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two texts, as a fold over rows of the table."""
+def _common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hits = row & places.get(c, 0)
+        row = (row + hits | row - hits) & full
+    return len(a) - row.bit_count()
 
-    def rows(bs: Column) -> Column:
-        zero = F.transform(bs, lambda _: F.lit(0))
 
-        def row(above: Column, c: Column) -> Column:
-            def cell(done: Column, x: Column, i: Column) -> Column:
-                left = F.coalesce(F.get(done, i - 1), F.lit(0))
-                diagonal = F.coalesce(F.get(above, i - 1), F.lit(0))
-                return F.concat(done, F.array(F.when(x == c, diagonal + 1).otherwise(F.greatest(left, F.get(above, i)))))
-
-            indexed = F.transform(bs, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-            return F.aggregate(indexed, F.array().cast("array<int>"), lambda done, p: cell(done, p["x"], p["i"]))
-
-        last = F.aggregate(chars(a), zero, row)
-        return F.coalesce(F.element_at(last, -1), F.lit(0))
-
-    return F.when((a == "") | (b == ""), 0).otherwise(let(chars(b), rows))
+@F.arrow_udf(IntegerType())
+def common_subsequence(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two texts; null if either is."""
+    return pa.array([None if x is None or y is None else _common_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

@@ -8,11 +8,13 @@ weights the bound may fail; then ``candidates`` must be given by the caller.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from . import blocks
 from .components import connected_components
 from .scratch import Scratch
 
@@ -37,41 +39,81 @@ def profiles(df: DataFrame) -> DataFrame:
 
 
 def network_candidates(p: DataFrame) -> DataFrame:
-    """Pairs that share a connection. A node's members are joined by equality; adaptive execution splits
-    the rows of a node with very many."""
-    side = p.select("profile_id", F.explode("connections").alias("node"))
+    """Pairs that share a connection and may be a lead by it.
+
+    Style needs messages of both. Without them, handle below ``MIN_USERNAME`` and timing leave a lead only
+    to a full network signal: shared weights of at least log2(connections + 1). A profile without messages
+    therefore leaves out its most popular connections as long as their weights stay below that: the least
+    popular connection of such a pair is then still kept on both sides.
+    """
+    spoken = F.coalesce(F.size("messages") > 0, F.lit(False))
+    own = F.coalesce(F.try_element_at("connection_degrees", F.col("node")), F.lit(1))
+    side = p.select("profile_id", spoken.alias("spoken"), F.size("connections").alias("size"), "connection_degrees", F.explode("connections").alias("node"))
+    side = side.select("profile_id", "spoken", "size", "node", own.alias("degree"))
+    popular = side.groupBy("node").agg(F.max("degree").alias("most"))
+    upto = Window.partitionBy("profile_id").orderBy(F.desc("most"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.sum(X.degree_weight(F.col("degree"))).over(upto)
+    kept = side.join(popular, "node").withColumn("running", running).where(F.col("spoken") | (F.col("running") >= 0.999 * F.log2(F.col("size") + 1)))
+    side = kept.select("profile_id", "node")
     return _pairs(side, side, ["node"])
 
 
 def avatar_candidates(p: DataFrame) -> DataFrame:
-    """Pairs with a hash within ``NEAR_BITS``: nine bands, of which one at least must then be equal."""
-    bands = NEAR_BITS + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    hashes = p.select("profile_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"avatar_{k}").alias("hash")) for k in ("phash", "dhash")))).alias("h")).select("profile_id", "h.*")
-    hashes = hashes.where(F.col("hash").rlike("^[0-9a-fA-F]{16}$"))
-    bits = F.lpad(F.conv("hash", 16, 2), 64, "0")
-    banded = hashes.select("profile_id", "kind", "hash", F.posexplode(F.array(*(F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)))).alias("band", "value"))
-    near = X.hamming(F.col("l.hash"), F.col("r.hash")) <= NEAR_BITS
-    return _pairs(banded, banded, ["kind", "band", "value"], near)
+    """Pairs with a hash within ``NEAR_BITS``, by blocks of bits that must then agree."""
+    every = None
+    for kind in ("avatar_phash", "avatar_dhash"):
+        hashes = p.select("profile_id", blocks.number(F.col(kind)).alias("hash")).where("hash is not null")
+        distinct = hashes.select("hash").distinct()
+        keys = blocks.keyed(distinct, "hash", blocks.masks(NEAR_BITS, blocks.agreeing(distinct.count(), NEAR_BITS)))
+        l, r = keys.alias("l"), keys.alias("r")
+        near = F.bit_count(F.col("l.hash").bitwiseXOR(F.col("r.hash"))) <= NEAR_BITS
+        met = l.join(r, (F.col("l.which") == F.col("r.which")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.hash") <= F.col("r.hash")) & near).select(F.col("l.hash").alias("x"), F.col("r.hash").alias("y")).distinct()
+        one, two = hashes.select(F.col("hash").alias("x"), F.col("profile_id").alias("p")), hashes.select(F.col("hash").alias("y"), F.col("profile_id").alias("q"))
+        found = met.join(one, "x").join(two, "y").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        every = found if every is None else every.unionByName(found)
+    return every.distinct()
+
+
+def similar_handles(handles: DataFrame, least: Callable[[Column], Column]) -> DataFrame:
+    """(a, b, ratio, mean) for handles (name, rarity) with a < b whose ratio reaches ``least`` of their mean
+    rarity, which must not grow with it.
+
+    A common subsequence takes common letters, each as often as it occurs. A pair that reaches the ratio
+    shares a number of them that follows from the lengths; so it also shares one among the rarest letters
+    of each, all but that number and one more. Handles meet by those letters only.
+    """
+    needed = F.greatest(F.lit(1e-9), F.least(F.lit(1.0), least((F.col("rarity") + 1) / 2)))
+    cs = F.array_sort(X.chars(F.col("name")))
+    lettered = handles.select("name", "rarity", F.length("name").alias("n"), needed.alias("needed"), F.transform(cs, lambda c, i: F.concat(c, (i - F.array_position(cs, c)).cast("string"))).alias("letters"))
+    each = lettered.select("name", "rarity", "n", "needed", F.explode("letters").alias("letter"))
+    common = each.groupBy("letter").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("times", "letter"))
+    # the shortest partner has needed / (2 - needed) of the length
+    shared = F.ceil(F.col("needed") * F.col("n") / (2 - F.col("needed")) - 1e-9)
+    kept = each.join(common, "letter").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - shared + 1).select("name", "rarity", "letter")
+    l, r = kept.alias("l"), kept.alias("r")
+    mean = (F.col("l.rarity") + F.col("r.rarity")) / 2
+    possible = X.length_bound(F.col("l.name"), F.col("r.name")) >= least(mean)
+    met = l.join(r, (F.col("l.letter") == F.col("r.letter")) & (F.col("l.name") < F.col("r.name")) & possible).select(F.col("l.name").alias("a"), F.col("r.name").alias("b"), mean.alias("mean")).distinct()
+    return met.withColumn("ratio", X.indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least(F.col("mean"))).select("a", "b", "ratio", "mean")
 
 
 def username_candidates(p: DataFrame) -> DataFrame:
-    """Pairs of distinct handles whose similarity times mean rarity reaches ``MIN_USERNAME``.
+    """Pairs of distinct handles whose similarity times mean rarity may make a lead.
 
-    Similar handles share a letter at least, so distinct handles meet by letter; the bound by lengths and
-    rarity prunes them in the join, before the common subsequence is computed.
+    A handle adds a quarter of that at most. Without messages of both, no handle lifts timing to a lead;
+    without hours of both, only a strength of 0.8 lifts style; else ``MIN_USERNAME`` does.
     """
-    names = p.where(F.length("username") > 0).select("profile_id", F.lower("username").alias("name"))
-    distinct = names.groupBy("name").agg(F.min("profile_id").alias("profile_id")).withColumn("rarity", X.handle_rarity(F.col("name")))
-    letters = distinct.select("name", "rarity", F.explode(F.array_distinct(X.chars(F.col("name")))).alias("letter"))
-    l, r = letters.alias("l"), letters.alias("r")
-    mean = (F.col("l.rarity") + F.col("r.rarity")) / 2
-    possible = X.length_bound(F.col("l.name"), F.col("r.name")) * mean >= MIN_USERNAME
-    shared = l.join(r, (F.col("l.letter") == F.col("r.letter")) & (F.col("l.name") < F.col("r.name")) & possible).select(F.col("l.name").alias("a"), F.col("r.name").alias("b"), mean.alias("mean")).distinct()
-    similar = shared.where(X.indel_ratio(F.col("a"), F.col("b")) * F.col("mean") >= MIN_USERNAME).select("a", "b")
-    both = similar.unionByName(distinct.select(F.col("name").alias("a"), F.col("name").alias("b")))
-    left, right = names.select(F.col("name").alias("a"), F.col("profile_id").alias("x")), names.select(F.col("name").alias("b"), F.col("profile_id").alias("y"))
-    return both.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    spoken = F.coalesce(F.size("messages") > 0, F.lit(False))
+    awake = F.coalesce(F.size("active_hours") > 0, F.lit(False))
+    names = p.where(F.length("username") > 0).where(spoken).select("profile_id", F.lower("username").alias("name"), awake.alias("awake"))
+    distinct = names.select("name").distinct().withColumn("rarity", X.handle_rarity(F.col("name")))
+    similar = similar_handles(distinct, lambda mean: F.lit(MIN_USERNAME) / F.greatest(mean, F.lit(1e-9))).select("a", "b", (F.col("ratio") * F.col("mean")).alias("strength"))
+    both = similar.unionByName(distinct.select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("rarity").alias("strength")))
+    left = names.select(F.col("name").alias("a"), F.col("profile_id").alias("x"), F.col("awake").alias("ax"))
+    right = names.select(F.col("name").alias("b"), F.col("profile_id").alias("y"), F.col("awake").alias("ay"))
+    found = both.join(left, "a").join(right, "b").where("x <> y").where((F.col("ax") & F.col("ay")) | (F.col("strength") >= 0.799))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _pairs(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None = None) -> DataFrame:
@@ -191,7 +233,8 @@ def hour_overlap(hours: DataFrame) -> DataFrame:
     weight = lambda hs: F.aggregate(hs, F.lit(0.0), lambda a, h: a + X.hour_weight(h))
     one = distinct.select(F.col("mask").alias("mask_a"), F.col("profiles").alias("profiles_a"), F.explode("hours").alias("h"), F.col("hours").alias("x"))
     two = distinct.select(F.col("mask").alias("mask_b"), F.col("profiles").alias("profiles_b"), F.explode("hours").alias("h"), F.col("hours").alias("y"))
-    met = one.join(two, "h").where("mask_a < mask_b").drop("h").distinct()
+    # a pair meets at its first common hour only
+    met = one.join(two, "h").where("mask_a < mask_b AND (mask_a & mask_b & (shiftleft(1L, h) - 1)) = 0").drop("h")
     return met.select("mask_a", "mask_b", "profiles_a", "profiles_b", (weight(F.array_sort(F.array_intersect("x", "y"))) / weight(F.array_sort(F.array_union("x", "y")))).alias("score"))
 
 
@@ -202,14 +245,17 @@ def clusters(p: DataFrame, scored: DataFrame, scratch: Scratch | None = None) ->
     return p.select("profile_id").join(labels.select(F.col("node").alias("profile_id"), "component"), "profile_id", "left").select("profile_id", F.coalesce("component", "profile_id").alias("component_id"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 100_000) -> DataFrame:
     """The ``k`` nearest rows by cosine for each row of ``queries``, within the same label.
 
-    The stated queries meet all rows of their label; the rank filter is pushed below the shuffle, so each
-    task passes on at most ``k`` rows a query.
+    The stated queries meet all rows of their label, dealt into blocks of about ``block`` rows, so a label
+    of any size spreads over many tasks; the rank filter is pushed below the shuffle, so each task passes
+    on at most ``k`` rows a query.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    met = q.join(rows.select("vec_id", "label", "embedding"), "label").where("vec_id <> query_id")
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    q = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")).join(sizes, "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = rows.select("vec_id", "label", "embedding").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    met = q.join(dealt, ["label", "block"]).where("vec_id <> query_id")
     scored = met.select("query_id", "vec_id", X.cosine(F.col("q"), F.col("embedding")).alias("similarity"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")

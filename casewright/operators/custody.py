@@ -122,3 +122,35 @@ def verify_package(manifest_rows: DataFrame, actual: DataFrame, key: str = "arti
     rows = manifest_rows.select(key, "sha256").join(held, key, "full")
     status = F.when(F.col("sha256").isNull(), "unlisted").when(F.col("actual_sha256").isNull(), "missing").when(F.col("sha256") == F.col("actual_sha256"), "ok").otherwise("altered")
     return rows.select(key, status.alias("status"))
+
+
+def custody_manifest(targets: DataFrame, artifacts: DataFrame, custody: DataFrame) -> DataFrame:
+    """One row per artifact (case_id, artifact_id, evidence_id, platform, module_name, artifact_type, sha256,
+    collected_at, custody_events): its evidence record with every custody event on it, in order of log_id."""
+    event = F.struct("log_id", F.col("timestamp").cast("string").alias("timestamp"), "action", "analyst", "notes")
+    events = custody.where("artifact_id is not null").groupBy("artifact_id").agg(F.array_sort(F.collect_list(event)).alias("custody_events"))
+    rows = artifacts.join(targets.select("target_id", "case_id", "platform"), "target_id").join(events, "artifact_id", "left")
+    listed = F.coalesce("custody_events", F.array().cast(events.schema["custody_events"].dataType))
+    return rows.select("case_id", "artifact_id", evidence_id(F.col("artifact_id"), F.col("sha256")).alias("evidence_id"), "platform", "module_name", "artifact_type", "sha256", "collected_at", listed.alias("custody_events"))
+
+
+def manifest_header(manifest_rows: DataFrame, notes: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row per case: number of artifacts, events and notes, and whether its chain withstood
+    verification; a case without a chain says that none is available."""
+    sizes = manifest_rows.groupBy("case_id").agg(F.count("*").alias("artifact_count"), F.sum(F.size("custody_events")).alias("event_count"))
+    written = notes.groupBy("case_id").agg(F.count("*").alias("note_count"))
+    rows = sizes.join(written, "case_id", "left").join(verdicts, "case_id", "left")
+    return rows.select("case_id", "artifact_count", "event_count", F.coalesce("note_count", F.lit(0).cast("long")).alias("note_count"), F.col("intact").isNotNull().alias("chain_available"), F.col("intact").alias("chain_intact"), F.col("entries_checked").alias("chain_entries"))
+
+
+def sealed_package(files: DataFrame, version: str = "1.0") -> DataFrame:
+    """(case_id, manifest, manifest_sha256) from files (case_id, file_name, sha256): the manifest lists the
+    files in order with their hashes, and its own hash seals it."""
+    rows = files.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("file_name", "sha256"))).alias("files"))
+    body = F.to_json(F.struct("case_id", "files", F.lit(version).alias("package_version")))
+    return rows.select("case_id", body.alias("manifest"), F.sha2(body, 256).alias("manifest_sha256"))
+
+
+def seal_holds(packages: DataFrame) -> DataFrame:
+    """(case_id, intact): whether each manifest still has the hash that its seal records."""
+    return packages.select("case_id", F.coalesce(F.sha2("manifest", 256) == F.col("manifest_sha256"), F.lit(False)).alias("intact"))

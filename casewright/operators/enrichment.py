@@ -69,16 +69,55 @@ def parse_exit_list(lines: DataFrame, column: str = "value") -> DataFrame:
 def validate_authority(entries: DataFrame) -> DataFrame:
     """Entries of the network authority with the first rule that each breaks, null if none.
 
-    Needs asn, organization, category and source; asn must be a number and unique; two categories exist.
+    Needs asn, organization, category and source, may have a confidence and nothing else (a column
+    ``extra_keys`` lists other keys); asn must be a number and unique; two categories exist.
     """
     blank = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", ""), F.lit("")) == ""
     missing = blank("asn") | blank("organization") | blank("category") | blank("source")
     numeric = F.col("asn").cast("string").rlike(r"^\d+$")
     earlier = F.row_number().over(Window.partitionBy(F.col("asn").cast("string")).orderBy("position")) > 1
-    problem = F.when(missing, "missing field").when(~numeric, "asn is not a number").when(~F.col("category").isin(*CATEGORIES), "unrecognised category").when(earlier, "duplicate asn")
+    extra = F.coalesce(F.size("extra_keys") > 0, F.lit(False)) if "extra_keys" in entries.columns else F.lit(False)
+    problem = F.when(missing, "missing field").when(extra, "unexpected field").when(~numeric, "asn is not a number").when(~F.col("category").isin(*CATEGORIES), "unrecognised category").when(earlier, "duplicate asn")
     return entries.withColumn("problem", problem)
 
 
+def accepted_authority(entries: DataFrame, strict: bool = False) -> DataFrame:
+    """The valid entries; with ``strict``, an invalid one refuses the whole file."""
+    judged = validate_authority(entries)
+    if strict and not judged.where("problem is not null").isEmpty():
+        raise ValueError("the network authority holds invalid entries")
+    return judged.where("problem is null").drop("problem")
+
+
+def accepted_exit_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Distinct addresses of an exit list; a list of fewer than ``MIN_EXIT_LIST`` addresses is refused."""
+    entries = parse_exit_list(lines, column).where(ipv4_number(F.col("ip")).isNotNull() | ipv6_is_global(F.col("ip")).isNotNull())
+    if entries.limit(MIN_EXIT_LIST).count() < MIN_EXIT_LIST:
+        raise ValueError("the exit list is too short to be whole")
+    return entries
+
+
+def with_lookups(addresses: DataFrame, exits: DataFrame, networks: DataFrame, authority: DataFrame, proxies: DataFrame) -> DataFrame:
+    """``addresses`` (ip) with what the lists say of them, as ``assess`` takes it: exits (ip), networks
+    (ip_start, ip_end, asn), authority (asn, category, organization) and proxies (ip, proxy_type,
+    usage_type). Lists are joined by key, networks by range; lists of a size worth it are broadcast by
+    the planner's own measure."""
+    rows = addresses.withColumn("ip_number", ipv4_number(F.col("ip")))
+    rows = rows.join(exits.select("ip").distinct().withColumn("on_tor_list", F.lit(True)), "ip", "left")
+    rows = with_ranges(rows, networks, "asn")
+    known = authority.groupBy(F.col("asn").cast("long").alias("asn")).agg(F.max(F.struct(F.col("category").alias("asn_category"), F.col("organization").alias("asn_organization"))).alias("n")).select("asn", "n.*")
+    one = proxies.groupBy("ip").agg(F.max(F.struct(F.upper("proxy_type").alias("proxy_type"), F.upper("usage_type").alias("usage_type"))).alias("p")).select("ip", "p.*")
+    return rows.join(known, "asn", "left").join(one, "ip", "left").withColumn("on_tor_list", F.coalesce("on_tor_list", F.lit(False))).drop("ip_number")
+
+
+def lookup_custody(assessed: DataFrame, sources: DataFrame, at: str) -> DataFrame:
+    """One custody record per lookup: time, address, all that was found, the sources and those absent."""
+    held = sources.agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "loaded_at", "available")))).alias("databases"), F.array_sort(F.collect_list(F.when(~F.col("available"), F.col("name")))).alias("absent_sources"))
+    found = F.to_json(F.struct(*(F.col(c) for c in ("status", "confidence", "network_type", "is_anonymized", "signals", "rationale"))))
+    # one row: the state of the sources
+    return assessed.select(F.lit("ip_enrichment").alias("event"), F.lit(at).alias("timestamp"), F.col("ip").alias("input_ip"), found.alias("output")).join(F.broadcast(held))
+
+
 def with_ranges(addresses: DataFrame, ranges: DataFrame, *columns: str) -> DataFrame:
     """``addresses`` (with ip_number) joined with the range (ip_start, ip_end) that holds each, if any.
 
@@ -128,3 +167,12 @@ def source_status(sources: DataFrame, as_of: str) -> DataFrame:
     """Sources (name, loaded_at, available) with their age in hours and whether they are stale or missing."""
     age = (F.to_timestamp(F.lit(as_of)).cast("long") - F.try_to_timestamp(F.col("loaded_at")).cast("long")) / 3600
     return sources.select("name", age.alias("age_hours"), F.coalesce(F.col("available") & (F.col("name") == "tor_exit_list") & (age > STALE_HOURS), F.lit(False)).alias("stale"), (~F.col("available")).alias("degraded"))
+
+
+def database_status(files: DataFrame, as_of: str, stale_days: int = 7) -> DataFrame:
+    """Databases (name, modified_at) that cannot be fetched: present, age in whole days, stale, and whether
+    somebody has to act."""
+    present = F.col("modified_at").isNotNull()
+    age = F.floor((F.to_timestamp(F.lit(as_of)).cast("long") - F.try_to_timestamp(F.col("modified_at")).cast("long")) / 86400)
+    stale = F.coalesce(age > stale_days, F.lit(False))
+    return files.select("name", present.alias("present"), age.cast("long").alias("age_days"), stale.alias("stale"), (~present | stale).alias("manual_action_required"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import hamming
+from . import blocks
 
 LIMIT = 10
 
@@ -13,22 +13,15 @@ def match_first(queries: DataFrame, stored: DataFrame, limit: int = LIMIT) -> Da
     """(query_hash, label, distance, confidence, requires_human_review) for each distinct query.
 
     Among stored hashes within ``limit`` bits the one inserted first wins, even if another is nearer.
-    Hashes within reach agree on one of ``limit + 1`` bands, so the join is an equality on bands. A query
-    without a match has null label and needs no review; any match does.
+    Hashes within reach agree on some blocks of bits, more of them the more hashes are stored, so the join
+    is an equality on blocks. A query without a match has null label and needs no review; any match does.
     """
-    bands = limit + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-
-    def banded(df: DataFrame, column: str) -> DataFrame:
-        bits = F.lpad(F.conv(F.col(column), 16, 2), 64, "0")
-        return df.select("*", F.posexplode(F.array(*(F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)))).alias("band", "value"))
-
     distinct = queries.select("query_hash").distinct()
-    asked = banded(distinct.where(F.col("query_hash").rlike("^[0-9a-fA-F]{16}$")), "query_hash")
     # of equal hashes only the one inserted first can win
-    earliest = stored.where(F.col("hash").rlike("^[0-9a-fA-F]{16}$")).groupBy("hash").agg(F.min(F.struct("position", "label")).alias("e")).select("hash", "e.position", "e.label")
-    held = banded(earliest, "hash")
-    near = asked.join(held, ["band", "value"]).withColumn("distance", hamming(F.col("query_hash"), F.col("hash"))).where(F.col("distance") <= limit)
+    held = stored.withColumn("held", blocks.number(F.col("hash"))).where("held is not null").groupBy("held").agg(F.min(F.struct("position", "label")).alias("e")).select("held", "e.position", "e.label")
+    chosen = blocks.masks(limit, blocks.agreeing(held.count(), limit))
+    asked = blocks.keyed(distinct.withColumn("asked", blocks.number(F.col("query_hash"))).where("asked is not null"), "asked", chosen)
+    near = asked.join(blocks.keyed(held, "held", chosen), ["which", "value"]).withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("held")))).where(F.col("distance") <= limit)
     first = near.groupBy("query_hash").agg(F.min(F.struct("position", "distance", "label")).alias("m"))
     out = distinct.join(first, "query_hash", "left")
     return out.select("query_hash", "m.label", F.col("m.distance").cast("int").alias("distance"), F.round(1 - F.col("m.distance") / 64, 3).alias("confidence"), F.col("m").isNotNull().alias("requires_human_review"))
@@ -37,3 +30,13 @@ def match_first(queries: DataFrame, stored: DataFrame, limit: int = LIMIT) -> Da
 def layers(found: DataFrame) -> DataFrame:
     """Result of the layered check; the adapters beyond the local list need approval and stay disabled."""
     return found.withColumn("layer", F.when(F.col("label").isNotNull(), "local").otherwise("none")).withColumn("external_adapters", F.lit("disabled"))
+
+
+#: Detection adapters; those beyond the local list need an approval that this engine does not have.
+ADAPTERS = (("local_database", True), ("photodna", False), ("ncmec", False))
+
+
+def adapter_status(spark: SparkSession) -> DataFrame:
+    """(adapter, status) of every adapter."""
+    rows = ", ".join(f"('{name}', '{'active' if on else 'disabled (approval pending)'}')" for name, on in ADAPTERS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(adapter, status)")

@@ -5,6 +5,8 @@ Leads are reasons for a human to look, never findings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .custody import uuid5
@@ -109,3 +111,65 @@ def relationship_objects(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
     end = lambda side: accounts.select(F.col("profile_id").alias(side), F.col("id").alias(f"{side}_ref"))
     confidence = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.col("strength") * 100).cast("int")))
     return pairs.join(end("a"), "a").join(end("b"), "b").select(F.col("a_ref").alias("source_ref"), F.col("b_ref").alias("target_ref"), confidence.alias("confidence"), F.when(F.col("has_contradiction"), "contradiction observed").otherwise("correlation lead").alias("note"))
+
+
+#: Name space of the stable ids of an exchange bundle.
+NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def stable_id(kind: str, *parts: Column) -> Column:
+    """``kind--uuid`` from the parts of an object that do not change."""
+    return F.concat(F.lit(f"{kind}--"), uuid5(F.concat_ws("|", F.lit(kind), *(p.cast("string") for p in parts)), NAMESPACE))
+
+
+def identity_objects(entities: DataFrame, as_of: str) -> DataFrame:
+    """One identity per resolved entity (case_id, id, name, identity_class, created): a human decision over
+    accounts, not a claim about a person."""
+    return entities.select("case_id", "entity_id", stable_id("identity", F.lit("entity"), F.col("entity_id")).alias("id"), F.col("canonical_handle").alias("name"), F.lit("unknown").alias("identity_class"), F.lit(as_of).alias("created"))
+
+
+def membership_objects(entities: DataFrame, members: DataFrame, as_of: str) -> DataFrame:
+    """Relationships between an entity's identity and the accounts of its members."""
+    rows = members.join(entities.select("entity_id", "case_id"), "entity_id")
+    account = F.concat(F.lit("user-account--"), uuid5(F.concat_ws(":", "platform", "username")))
+    return rows.select("case_id", stable_id("relationship", F.lit("membership"), F.col("entity_id"), F.col("profile_id")).alias("id"), stable_id("identity", F.lit("entity"), F.col("entity_id")).alias("source_ref"), account.alias("target_ref"), F.lit(as_of).alias("created"))
+
+
+def grouping_objects(objects: DataFrame, as_of: str) -> DataFrame:
+    """One grouping per case over its objects (case_id, id), in order of their ids."""
+    rows = objects.groupBy("case_id").agg(F.array_sort(F.collect_set("id")).alias("object_refs"))
+    return rows.select("case_id", stable_id("grouping", F.col("case_id")).alias("id"), F.lit("suspicious-activity").alias("context"), F.lit(as_of).alias("created"), "object_refs")
+
+
+class Registry:
+    """Platforms by name in lower case: how their rows are normalised, which leads they yield, and whether
+    they are available."""
+
+    def __init__(self):
+        self._held: dict[str, tuple[dict[str, str], Callable[[DataFrame], DataFrame] | None, bool]] = {}
+
+    def register(self, platform: str, mapping: dict[str, str], leads: Callable[[DataFrame], DataFrame] | None = None, available: bool = True) -> None:
+        self._held[platform.lower()] = (mapping, leads, available)
+
+    def platforms(self) -> list[str]:
+        return sorted(self._held)
+
+    def capabilities(self) -> dict[str, bool]:
+        return {name: self._held[name][2] for name in self.platforms()}
+
+    def normalised(self, platform: str | None, rows: DataFrame) -> DataFrame | None:
+        """``rows`` in the normalised shape; None for a platform that is not registered."""
+        found = self._held.get((platform or "").lower())
+        return None if found is None else normalise(rows, platform.lower(), found[0])
+
+    def leads(self, platform: str | None, rows: DataFrame) -> DataFrame | None:
+        found = self._held.get((platform or "").lower())
+        return None if found is None or found[1] is None else found[1](rows)
+
+
+def default_registry() -> Registry:
+    """The two platforms whose rows the review rules know."""
+    out = Registry()
+    out.register("roblox", {"user_id": "profile_id", "display_name": "display_name", "description": "description"}, account_leads)
+    out.register("discord", {"user_id": "profile_id", "display_name": "display_name", "description": "description"}, server_leads)
+    return out

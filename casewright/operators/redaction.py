@@ -108,3 +108,42 @@ def protected_tags(notes: DataFrame, key: str = "case_id", text: str = "text", p
     found = lines.select(key, position, "line_no", value.alias("value")).where("value <> ''")
     first = found.groupBy(key, "value").agg(F.min(F.struct(position, "line_no")).alias("at"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def tagged_values(cases: DataFrame, targets: DataFrame, analyses: DataFrame, parties: DataFrame | None = None) -> DataFrame:
+    """(case_id, values): protected values of each case from the notes of its targets, its description, the
+    notes on its analyses, and a table of protected parties if there is one; distinct, as first seen in
+    that order."""
+
+    def surface(rows: DataFrame, rank: int, order: str, text: str) -> DataFrame:
+        return rows.where(F.col(text).isNotNull()).select("case_id", F.struct(F.lit(rank).alias("surface"), F.col(order).cast("long").alias("row")).alias("position"), F.col(text).alias("text"))
+
+    owned = analyses.join(targets.select("target_id", "case_id"), "target_id")
+    rows = surface(targets, 0, "target_id", "notes").unionByName(surface(cases.withColumn("__n", F.lit(0)), 1, "__n", "description")).unionByName(surface(owned, 2, "result_id", "analyst_notes"))
+    if parties is not None:
+        rows = rows.unionByName(surface(parties.where("value <> ''").withColumns({"__n": F.monotonically_increasing_id(), "__t": F.concat(F.lit("protected: "), "value")}), 3, "__n", "__t"))
+    return protected_tags(rows)
+
+
+def case_export(cases: DataFrame, targets: DataFrame, analyses: DataFrame, artifacts: DataFrame, values: DataFrame, policy: str = "standard") -> DataFrame:
+    """(case_id, case_name, description, targets): each case with its targets, their analyses, newest first,
+    and artifacts in order, all text masked by the patterns and then by the case's protected values. Ids,
+    hashes, platforms and times are text like any other and masked where they look like personal data."""
+    newest = F.array_sort(F.collect_list(F.struct("analyzed_at", "result_id", "risk_score", "analyst_notes")))
+    found = analyses.groupBy("target_id").agg(F.transform(F.reverse(newest), lambda x: F.struct(x["risk_score"].alias("risk_score"), x["analyst_notes"].alias("analyst_notes"), x["analyzed_at"].alias("analyzed_at"))).alias("analyses"))
+    held = artifacts.groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("artifact_id", "module_name", "artifact_type", "collected_at"))), lambda x: F.struct(x["module_name"].alias("module_name"), x["artifact_type"].alias("artifact_type"), x["collected_at"].alias("collected_at"))).alias("artifacts"))
+    rows = targets.join(found, "target_id", "left").join(held, "target_id", "left")
+    own = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "platform", "username", "notes", "analyses", "artifacts"))).alias("targets"))
+    out = cases.select("case_id", "case_name", "description").join(own, "case_id", "left").join(values, "case_id", "left")
+    kinds, hidden = out.schema, F.coalesce("values", F.array().cast("array<string>"))
+
+    def walk(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return mask_protected(masked(c), hidden, policy)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: walk(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(walk(c[f.name], f.dataType).alias(f.name) for f in kind)))
+        return c
+
+    return out.select("case_id", *(walk(F.col(c), kinds[c].dataType).alias(c) for c in ("case_name", "description", "targets")))

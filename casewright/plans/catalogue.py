@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linkage, records, reporting, scoring
+from . import assembly, linkage, records, reporting, scoring
 
-_FAMILIES = (reporting, scoring, linkage, records)
+_FAMILIES = (reporting, scoring, linkage, records, assembly)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _family in _FAMILIES:

@@ -73,14 +73,8 @@ def _styles(s, d):
 
 def _handle_pairs(s, d):
     """Pairs with a ratio of 0.6 or more, or whose ratio times mean rarity may carry a lead."""
-    h = D.handles(s, d).withColumn("rarity", X.handle_rarity(F.col("handle")))
-    mean = (F.col("l.rarity") + F.col("r.rarity")) / 2
-    bound = X.length_bound(F.col("l.handle"), F.col("r.handle"))
-    near = (bound >= 0.6) | (bound * mean >= C.MIN_USERNAME)
-    letters = lambda side: side.withColumn("letter", F.explode(F.array_distinct(X.chars(F.col("handle")))))
-    l, r = letters(h).alias("l"), letters(h).alias("r")
-    pairs = l.join(r, (F.col("l.letter") == F.col("r.letter")) & (F.col("l.handle") < F.col("r.handle")) & near).select(F.col("l.handle").alias("a"), F.col("r.handle").alias("b"), mean.alias("mean")).distinct()
-    scored = pairs.select("a", "b", X.indel_ratio(F.col("a"), F.col("b")).alias("ratio"), "mean").where((F.col("ratio") >= 0.6) | (F.col("ratio") * F.col("mean") >= C.MIN_USERNAME))
+    h = D.handles(s, d).select(F.col("handle").alias("name"), X.handle_rarity(F.col("handle")).alias("rarity"))
+    scored = C.similar_handles(h, lambda mean: F.least(F.lit(0.6), C.MIN_USERNAME / F.greatest(mean, F.lit(1e-9))))
     return scored.select("a", "b", F.round("ratio", 9).alias("ratio"), F.round(F.col("ratio") * F.col("mean"), 9).alias("strength"))
 
 

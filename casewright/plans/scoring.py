@@ -45,8 +45,13 @@ def _hits_query_sql(pack: C.RulePack) -> str:
     return with_views("messages") + ", " + _hits_sql(pack) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT profile_id, '{c}' AS category, sum({c})::BIGINT AS hits FROM hits GROUP BY 1" for c in pack.rules) + ") WHERE hits > 0"
 
 
-def _classified(pack: C.RulePack):
-    return lambda s, d: C.classify(D.messages(s, d), rules=pack).select("profile_id", "message_count", "flagged_count", "sequence_bonus", F.round("score", 9).alias("score"), "decision")
+def _probed(sql: str) -> str:
+    """The statement over probed messages."""
+    return sql.replace(with_views("messages"), with_views("probed").replace("WITH probed AS", "WITH messages AS"), 1)
+
+
+def _classified(pack: C.RulePack, messages=D.messages):
+    return lambda s, d: C.classify(messages(s, d), rules=pack).select("profile_id", "message_count", "flagged_count", "sequence_bonus", F.round("score", 9).alias("score"), "decision")
 
 
 _P = "coalesce(graph_lead_platforms, platform_count)"
@@ -78,18 +83,18 @@ def _risk_components(s, d):
 
 def _labelled(s, d):
     """Labels with a made-up score: toxic rows higher, spread by id."""
-    return table(s, d, "labels").select("doc_id", "toxic", (F.col("doc_id") * 7 % 45 / 10.0 + F.col("toxic") * 1.5).alias("score"))
+    return table(s, d, "labels").select("doc_id", "toxic", (F.col("doc_id") * 7 % 18 / 10.0 + F.col("toxic") * 1.7).alias("score"))
 
 
-_LABELLED = "WITH l AS (SELECT doc_id, toxic, doc_id * 7 % 45 / 10.0::DOUBLE + toxic * 1.5::DOUBLE AS score FROM labels)"
+_LABELLED = "WITH l AS (SELECT doc_id, toxic, doc_id * 7 % 18 / 10.0::DOUBLE + toxic * 1.7::DOUBLE AS score FROM labels)"
 _RATES = "(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END)::DOUBLE AS precision, (CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END)::DOUBLE AS recall, (CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END)::DOUBLE AS fpr, (CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0 END)::DOUBLE AS fnr"
 _F1 = "(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END)::DOUBLE AS f1"
 _SWEEP = _LABELLED + f", t AS (SELECT range AS t FROM range(10, 45)), m AS (SELECT t / 10.0::DOUBLE AS threshold, count(*) FILTER (WHERE score * 10 + 1e-9 >= t AND toxic = 1) AS tp, count(*) FILTER (WHERE score * 10 + 1e-9 >= t AND toxic = 0) AS fp, count(*) FILTER (WHERE score * 10 + 1e-9 < t AND toxic = 0) AS tn, count(*) FILTER (WHERE score * 10 + 1e-9 < t AND toxic = 1) AS fn FROM l, t GROUP BY t), r AS (SELECT *, {_RATES}, (CASE WHEN tp + fp + tn + fn > 0 THEN (tp + tn) / (tp + fp + tn + fn) ELSE 0 END)::DOUBLE AS accuracy FROM m), f AS (SELECT *, {_F1} FROM r)"
 
 QUERIES = {
-    "message_category_hits": lambda s, d: C.category_hits(D.messages(s, d)),
+    "message_category_hits": lambda s, d: C.category_hits(D.probed(s, d)),
     "message_category_hits_neutral": lambda s, d: C.category_hits(D.messages(s, d), NEUTRAL),
-    "classifier_profile": _classified(C.pack()),
+    "classifier_profile": _classified(C.pack(), D.probed),
     "classifier_profile_neutral": _classified(NEUTRAL),
     "classifier_match_details": lambda s, d: C.match_details(D.messages(s, d), NEUTRAL),
     "risk_score": lambda s, d: _scored(s, d).select("case_id", F.round("synergy", 9).alias("synergy"), "risk_score", "tier", "confidence"),
@@ -104,9 +109,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "message_category_hits": _hits_query_sql(C.pack()),
+    "message_category_hits": _probed(_hits_query_sql(C.pack())),
     "message_category_hits_neutral": _hits_query_sql(NEUTRAL),
-    "classifier_profile": _profile_sql(C.pack()),
+    "classifier_profile": _probed(_profile_sql(C.pack())),
     "classifier_profile_neutral": _profile_sql(NEUTRAL),
     "risk_score": _RISK + f"SELECT case_id, round(synergy, 9) AS synergy, risk_score, {_TIER} AS tier, CASE WHEN cg = 'high' AND low = 0 THEN 'high' WHEN cg = 'low' OR low >= 2 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",
     "risk_components": _RISK + " UNION ALL ".join(f"SELECT case_id, '{n}' AS name, round({c}, 9) AS raw, round({c} * {w}::DOUBLE, 9) AS weighted, {k} AS confidence FROM scored" for n, c, w, k in _COMPONENTS),

@@ -38,6 +38,19 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def collected(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts with JSON payloads of two modules; some are broken, some of another shape or type."""
+    k, p = F.col("l_linenumber"), F.col("l_partkey")
+    quoted = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    profile = quoted(
+        '{"created": "', F.date_format("l_shipdate", "yyyy-MM-dd"), 'T08:00:00Z", "friend_count": ', F.col("l_quantity").cast("int"), ', "description": "', F.when(p % 5 != 0, quoted(" hello ", p)).otherwise(" "), '", "groups": [{"name": "',
+        F.when(p % 7 == 0, "Vibe Club").otherwise("Builders"), '"}], "games": [{"name": "', F.when(F.col("l_suppkey") % 9 == 0, "Condo 3").otherwise("Obby"), '"}], "avatar_phash": "', F.substring(F.md5(p.cast("string")), 1, 16), '"}',
+    )
+    raw = F.when(p % 11 == 0, '{"created": ').when(k % 3 == 1, profile).when((k % 3 == 2) & (p % 13 == 0), '{"platforms_found": "9"}').when(k % 3 == 2, quoted('{"platforms_found": ', p % 6, "}")).otherwise("[1, 2]")
+    module = F.when(k % 3 == 1, "RobloxOSINT").when(k % 3 == 2, "SherlockIntegration").otherwise("other")
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + k).alias("artifact_id"), F.col("l_orderkey").alias("target_id"), module.alias("module_name"), raw.alias("raw_data"))
+
+
 def custody(spark: SparkSession, d: str) -> DataFrame:
     """Log entries; every third names an artifact with its hash, every fourth a target."""
     k = F.col("event_id")
@@ -72,6 +85,17 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("profile_id"), F.col("turn").alias("message_index"), "text")
 
 
+#: Sentences that the rules look for, one in every third message of probed profiles.
+PROBES = ("how old are you", "dm me on", "reward you", "for your age")
+
+
+def probed(spark: SparkSession, d: str) -> DataFrame:
+    """Messages, a sentence that some rule looks for added to every third."""
+    said = F.get(F.array(*map(F.lit, PROBES)), (F.col("conv_id") % 4 + F.col("turn") % 2).cast("int"))
+    text = F.when(F.col("turn") % 3 == 0, F.concat_ws(" ", "text", F.coalesce(said, F.lit("")))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("profile_id"), F.col("turn").alias("message_index"), text.alias("text"))
+
+
 def hours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("profile_id"), F.hour("ts").alias("hour")).distinct()
 
@@ -88,14 +112,18 @@ def handles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def avatars(spark: SparkSession, d: str) -> DataFrame:
-    """64-bit hashes from embeddings: bit i of phash is e[i] > 0, of dhash e[i] > e[i + 1]."""
+    """64-bit hashes from embeddings. Bit i of phash is e[i] > 0 for the first vector of every three, its
+    last digit that of the own id, so the three are near; bit i of dhash is e[i] > e[i + 1]."""
     def packed(bit) -> F.Column:
         nibble = lambda k: F.element_at(F.split(F.lit("0123456789abcdef"), ""), (8 * bit(4 * k) + 4 * bit(4 * k + 1) + 2 * bit(4 * k + 2) + bit(4 * k + 3) + 1))
         return F.concat(*(nibble(k) for k in range(16)))
 
-    e = F.col("embedding")
+    e, k = F.col("embedding"), F.col("vec_id")
     rows = table(spark, d, "embeddings").where(F.size("embedding") == 64)
-    return rows.select(F.col("vec_id").alias("profile_id"), packed(lambda i: (e[i] > 0).cast("int")).alias("phash"), packed(lambda i: (e[i] > e[(i + 1) % 64]).cast("int")).alias("dhash"))
+    first = rows.where("vec_id % 3 = 0").select(k.alias("__first"), F.substring(packed(lambda i: (e[i] > 0).cast("int")), 1, 15).alias("__p"))
+    own = rows.select(k.alias("profile_id"), (k - k % 3).alias("__first"), packed(lambda i: (e[i] > e[(i + 1) % 64]).cast("int")).alias("dhash"))
+    digit = F.lower(F.hex(F.col("profile_id") % 16))
+    return own.join(first, "__first").select("profile_id", F.concat("__p", digit).alias("phash"), "dhash")
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +157,8 @@ def _nibble(bit, k: int) -> str:
     return f"substr('0123456789abcdef', 8*{bit(4 * k)} + 4*{bit(4 * k + 1)} + 2*{bit(4 * k + 2)} + {bit(4 * k + 3)} + 1, 1)"
 
 
-_P = " || ".join(_nibble(lambda i: f"(embedding[{i + 1}] > 0)::int", k) for k in range(16))
-_D = " || ".join(_nibble(lambda i: f"(embedding[{i + 1}] > embedding[{(i + 1) % 64 + 1}])::int", k) for k in range(16))
+_P = " || ".join(_nibble(lambda i: f"(b.embedding[{i + 1}] > 0)::int", k) for k in range(15))
+_D = " || ".join(_nibble(lambda i: f"(e.embedding[{i + 1}] > e.embedding[{(i + 1) % 64 + 1}])::int", k) for k in range(16))
 
 #: The same views for DuckDB, as common table expressions.
 SQL = {
@@ -138,15 +166,17 @@ SQL = {
     "targets": "SELECT o_orderkey AS target_id, o_custkey AS case_id, lower(o_orderpriority) AS platform, 'user' || o_custkey AS username, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS added_at FROM orders",
     "analyses": "SELECT l_orderkey * 10 + l_linenumber AS result_id, l_orderkey AS target_id, CASE WHEN l_returnflag <> 'A' THEN l_quantity / 5 END AS risk_score, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS analyzed_at FROM lineitem",
     "artifacts": "SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS target_id, l_returnflag AS module_name, l_linestatus AS artifact_type, sha256(l_orderkey || '|' || l_linenumber) AS sha256, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS collected_at FROM lineitem",
+    "collected": """SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS target_id, CASE l_linenumber % 3 WHEN 1 THEN 'RobloxOSINT' WHEN 2 THEN 'SherlockIntegration' ELSE 'other' END AS module_name, CASE WHEN l_partkey % 11 = 0 THEN '{"created": ' WHEN l_linenumber % 3 = 1 THEN '{"created": "' || strftime(l_shipdate, '%Y-%m-%d') || 'T08:00:00Z", "friend_count": ' || l_quantity::INT || ', "description": "' || CASE WHEN l_partkey % 5 <> 0 THEN ' hello ' || l_partkey ELSE ' ' END || '", "groups": [{"name": "' || CASE WHEN l_partkey % 7 = 0 THEN 'Vibe Club' ELSE 'Builders' END || '"}], "games": [{"name": "' || CASE WHEN l_suppkey % 9 = 0 THEN 'Condo 3' ELSE 'Obby' END || '"}], "avatar_phash": "' || substr(md5(l_partkey::VARCHAR), 1, 16) || '"}' WHEN l_linenumber % 3 = 2 AND l_partkey % 13 = 0 THEN '{"platforms_found": "9"}' WHEN l_linenumber % 3 = 2 THEN '{"platforms_found": ' || l_partkey % 6 || '}' ELSE '[1, 2]' END AS raw_data FROM lineitem""",
     "custody": "SELECT event_id AS log_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, user_id AS case_id, props AS notes, CASE WHEN event_id % 3 = 0 THEN event_id * 10 + 1 END AS artifact_id, CASE WHEN event_id % 4 = 1 THEN event_id END AS target_id, 'analyst-' || user_id % 25 AS analyst, CASE WHEN event_id % 3 = 0 THEN sha256('artifact ' || event_id) END AS sha256 FROM events",
     "notes": "SELECT doc_id AS note_id, doc_id % 150 AS case_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS target_id, CASE WHEN toxic = 1 THEN 'finding-' || doc_id END AS finding_ref, 'analyst-' || doc_id % 25 AS analyst, CASE WHEN doc_id % 10 = 7 THEN '  ' ELSE ' quality ' || quality || ' ' END AS note, strftime(DATE '2024-01-01' + (doc_id % 300)::INT, '%Y-%m-%d %H:%M:%S') AS created_at FROM labels",
     "entities": "SELECT 'entity-' || s_suppkey AS entity_id, s_suppkey AS case_id, s_name AS canonical_handle, 'analyst-' || s_nationkey AS promoted_by, strftime(DATE '2024-01-01' + (s_suppkey % 300)::INT, '%Y-%m-%d %H:%M:%S') AS promoted_at FROM supplier",
     "messages": "SELECT conv_id AS profile_id, turn AS message_index, text FROM conversations",
+    "probed": f"SELECT conv_id AS profile_id, turn AS message_index, CASE WHEN turn % 3 = 0 THEN concat_ws(' ', text, coalesce({list(PROBES)}[conv_id % 4 + turn % 2 + 1], '')) ELSE text END AS text FROM conversations",
     "hours": "SELECT DISTINCT user_id AS profile_id, hour(ts) AS hour FROM events",
     "connections": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "handles": "SELECT min(p_partkey) AS profile_id, p_name AS handle FROM part GROUP BY p_name",
     "signals": "SELECT c_custkey AS case_id, CASE WHEN c_custkey % 6 <> 0 THEN (c_custkey % 10) / 10.0::DOUBLE END AS classifier_score, CASE WHEN c_custkey % 10 >= 6 THEN 'escalate' ELSE 'allow' END AS decision, c_custkey % 25 AS message_count, c_custkey % 4 AS flagged_count, c_custkey % 5 + 1 AS platform_count, c_custkey % 7 = 0 AS is_tor, c_custkey % 5 = 0 AS is_vpn, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 120 END AS account_age_days, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey * 3 % 400 END AS friend_count, c_custkey % 4 = 0 AS late_night_activity, c_custkey % 3 AS game_history_flags, c_custkey % 5 - 1 AS prior_case_flags, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END AS graph_lead_platforms, c_custkey % 3 = 1 AS graph_has_contradictions FROM customer",
-    "avatars": f"SELECT vec_id AS profile_id, {_P} AS phash, {_D} AS dhash FROM embeddings WHERE len(embedding) = 64",
+    "avatars": f"SELECT e.vec_id AS profile_id, {_P} || substr('0123456789abcdef', e.vec_id % 16 + 1, 1) AS phash, {_D} AS dhash FROM embeddings e JOIN embeddings b ON b.vec_id = e.vec_id - e.vec_id % 3 WHERE len(e.embedding) = 64 AND len(b.embedding) = 64",
 }
 
 
