@@ -56,11 +56,12 @@ def line_fails(line: Column) -> Column:
     navigation = (separators >= NAV_SEPARATORS) & (separators * NAV_WORDS_PER_SEPARATOR >= n_words)
     junk = (symbols >= 3) & (symbols * WORDS_PER_SYMBOL_RUN > n_words)
     shouting = (shouts >= MIN_SHOUTS) & (shouts * 4 > n_words)
+    marked = line.rlike(r"[|»›·•>]|[!?]{2}|" + SYMBOL) & (navigation | junk | shouting)  # no mark, no count
     stutters = F.regexp_count(line, F.lit(r"(?<!\S)(\S++)(?=\s+\1(?!\S))"))
     stutter = (stutters >= MIN_STUTTERS) & (stutters * WORDS_PER_STUTTER > n_words)
     boilerplate = line.rlike(_BOILERPLATE) & (n_words <= 40)
     unpunctuated = ~line.rlike(_SENTENCE) & (n_words >= LONG_LINE)
-    return navigation | junk | shouting | stutter | boilerplate | unpunctuated
+    return marked | unpunctuated | boilerplate | stutter
 
 
 def repeated_words(words: Column) -> Column:
@@ -118,26 +119,21 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         )
 
     def lines(t: Column) -> Column:
-        def of(every: Column) -> Column:
-            worded = F.filter(every, lambda x: x.rlike(WORD))
-            return F.struct(
-                let(worded, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")).alias("n_dup_lines"),
-                F.filter(every, lambda x: ~x.rlike(WORD) | ~line_fails(x)).alias("good"),
-                F.size(every).alias("n"),
-            )
-
-        return let(F.split(t, "\n", -1), of)
-
-    out = base.select("doc_id", measures(F.col("text")).alias("m"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"))
-    out = out.select("doc_id", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.good").alias("good"), F.col("l.n").alias("n_lines"))
+        worded = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+        return let(worded, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), F.filter(a, line_fails).alias("failing")))
+
+    symbols = F.length("text") - F.length(F.translate("text", SYMBOL[1:-1], ""))
+    out = base.select("doc_id", "text", measures(F.col("text")).alias("m"), lines(F.col("text")).alias("l"), symbols.cast("long").alias("n_symbols"))
+    out = out.select("doc_id", "text", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.failing").alias("failing"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-    out = out.withColumn("clean_text", F.array_join("good", "\n"))
-    out = out.withColumn("left_chars", F.length(F.regexp_replace("clean_text", f"{SPACE}+", "")))
-    out = out.withColumn("clean_text", F.when(F.col("left_chars") == 0, "").otherwise(F.col("clean_text")))
+    # few lines fail, so their characters are counted and not those of the rest
+    lost = F.aggregate("failing", F.lit(0).cast("long"), lambda a, x: a + F.length(F.regexp_replace(x, f"{SPACE}+", "")))
+    out = out.withColumn("left_chars", F.col("word_chars") - lost)
     out = out.withColumn("loss", F.when(F.col("word_chars") == 0, F.lit(0.0)).otherwise(1 - F.col("left_chars") / F.col("word_chars")))
+    stays = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("failing"), x)), "\n")
+    clean = F.when(F.col("left_chars") == 0, "").when(F.size("failing") == 0, F.col("text")).otherwise(stays)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (F.col("n_lines") - F.size("good")).cast("long").alias("n_lines_removed"), "loss", "clean_text",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.size("failing").cast("long").alias("n_lines_removed"), "loss", clean.alias("clean_text"),
         (~F.col("base_failed") & (F.col("loss") <= MAX_LOSS)).alias("kept"),
     )
 
