@@ -37,7 +37,7 @@ PART = 128 << 20
 #: Longest stretch of a block before its anchor, and from it on.
 _BACK, _FORE = grams.WINDOW - grams.GRAM, grams.WINDOW
 #: Entries gathered in a task before their repeats are settled.
-_LOT = 1 << 18
+_LOT = 1 << 17
 
 # Kinds of rows. An entry is a suffix: ``at`` packs its position, block and role, ``what`` is the block's
 # fingerprint. A repeat is a stretch of bytes from ``at`` to ``what``. Open and crowded rows are blocks
@@ -289,7 +289,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _later_windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> pa.RecordBatch:
+def _later_windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Windows of blocks that an earlier block of the same key holds as well.
 
     Rows come in the order of key and ``ahead``. The window that starts ``d`` bytes before the anchor is
@@ -302,22 +302,22 @@ def _later_windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ahead: np.n
     backwards = np.where(_first_of(key[order]), -1, _common(behind[order]))
     pos, back, fore = _place(at)
     oldest = np.lexsort((at, doc))
-    docs, starts = [], []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     group = np.empty(n, np.int64)
     for d in range(_BACK + 1):
         use = oldest[((fore <= d) & (d <= back))[oldest]]
-        if len(use) < 2:
-            continue
-        group[order] = np.cumsum(backwards < d)
-        same = (np.cumsum(forwards < grams.WINDOW - d) * (n + 1) + group)[use]
-        again = np.ones(len(use), bool)
-        again[np.unique(same, return_index=True)[1]] = False
-        docs.append(doc[use[again]])
-        starts.append(pos[use[again]] - d)
-    if not docs:
-        return _repeats(*(np.empty(0, np.int64),) * 3)
-    start = np.concatenate(starts)
-    return _repeats(np.concatenate(docs), start, start + grams.WINDOW)
+        if len(use) > 1:
+            group[order] = np.cumsum(backwards < d)
+            same = (np.cumsum(forwards < grams.WINDOW - d) * (n + 1) + group)[use]
+            again = np.ones(len(use), bool)
+            again[np.unique(same, return_index=True)[1]] = False
+            found.append((doc[use[again]], pos[use[again]] - d))
+            held += int(again.sum())
+        if found and (held > _LOT or d == _BACK):
+            docs, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield _repeats(docs, start, start + grams.WINDOW)
+            found, held = [], 0
 
 
 def _compared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +332,9 @@ def _compared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         cut = int(np.flatnonzero(_first_of(rows[0]))[-1])
         held = [x[cut:] for x in rows]
         if cut:
-            yield _later_windows(*(x[:cut] for x in rows))
+            yield from _later_windows(*(x[:cut] for x in rows))
     if held is not None:
-        yield _later_windows(*held)
+        yield from _later_windows(*held)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
