@@ -18,6 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import let
+from ..operators.scratch import Scratch
 from .literals import literal_rows
 
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
@@ -188,6 +189,7 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
     rows = rows.withColumn("print", F.xxhash64("text")).withColumn("name", F.regexp_extract("path", r"[^/]*$", 0))
     every = rows.groupBy(*key, "name").agg(F.count("*").alias("times"))
     found = rows.where(F.arrays_overlap(pieces(F.col("text")), held)).select(*key, F.explode(passages(F.col("text"), F.col("name"), may_match(templates))).alias("words")).select(*key, "words", F.md5("words").alias("passage"))
+    found = Scratch(spark, "licenses").keep(found, "passages")  # few, and read three times
     best = best_templates(spark, found.select("passage", "words"), templates)
     own = found.select(*key, "passage").join(best, "passage").groupBy(*key).agg(F.max(F.struct("rank", "score", "license")).alias("own"))
     every = every.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .literals import literal_rows
+
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 _AFTER = "\U0010ffff"  # sorts behind every continuation of a path
@@ -24,7 +26,7 @@ PARTS = 4
 
 def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """Rules given as literals: host, path, verdict."""
-    return spark.createDataFrame([(h.lower(), p, v) for h, p, v in rules], "host string, path string, verdict string")
+    return literal_rows(spark, "host string, path string, verdict string", [(h.lower(), p, v) for h, p, v in rules])
 
 
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
