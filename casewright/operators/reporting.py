@@ -30,13 +30,18 @@ def scored_targets(targets: DataFrame, analyses: DataFrame) -> DataFrame:
 def primary_platform(targets: DataFrame) -> DataFrame:
     """The most frequent platform of each case; ties go to the alphabetically first."""
     counts = targets.groupBy("case_id", "platform").agg(F.count("*").alias("n"))
-    return first_per(counts, ["case_id"], F.desc("n"), F.asc("platform")).select("case_id", F.col("platform").alias("primary_platform"))
+    return counts.groupBy("case_id").agg(F.min(F.struct((-F.col("n")).alias("by"), "platform"))["platform"].alias("primary_platform"))
+
+
+def _newest() -> Column:
+    """The newest analysis of a group by time, then id, then score."""
+    return F.max(F.struct("analyzed_at", "result_id", "risk_score", "target_id"))
 
 
 def latest_signal(targets: DataFrame, analyses: DataFrame) -> DataFrame:
     """The newest analysis of each case by time, then id, then score."""
-    rows = scored_targets(targets, analyses)
-    return first_per(rows, ["case_id"], F.desc("analyzed_at"), F.desc("result_id"), F.desc_nulls_last("risk_score")).select("case_id", "result_id", "target_id", F.col("risk_score").alias("latest_risk"), "analyzed_at")
+    rows = scored_targets(targets, analyses).groupBy("case_id").agg(_newest().alias("x"))
+    return rows.select("case_id", "x.result_id", "x.target_id", F.col("x.risk_score").alias("latest_risk"), "x.analyzed_at")
 
 
 def peak_risk(targets: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -45,11 +50,14 @@ def peak_risk(targets: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def case_registry(cases: DataFrame, targets: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One row per case with counts, primary platform, latest and peak score; unscored cases last."""
+    """One row per case with counts, primary platform, latest and peak score; unscored cases last.
+
+    Targets and analyses are joined once, and both scores come from one aggregation over them.
+    """
     counts = targets.groupBy("case_id").agg(F.count("*").alias("target_count"))
-    latest = latest_signal(targets, analyses).select("case_id", "latest_risk", "analyzed_at")
-    peak = peak_risk(targets, analyses).select("case_id", "peak_risk", "analysis_count")
-    out = cases.join(counts, "case_id", "left").join(primary_platform(targets), "case_id", "left").join(latest, "case_id", "left").join(peak, "case_id", "left")
+    scores = scored_targets(targets, analyses).groupBy("case_id").agg(_newest().alias("x"), F.max("risk_score").alias("peak_risk"), F.count("risk_score").alias("analysis_count"))
+    scores = scores.select("case_id", F.col("x.risk_score").alias("latest_risk"), "x.analyzed_at", "peak_risk", "analysis_count")
+    out = cases.join(counts, "case_id", "left").join(primary_platform(targets), "case_id", "left").join(scores, "case_id", "left")
     zero = F.lit(0).cast("long")
     out = out.withColumns({"target_count": F.coalesce("target_count", zero), "analysis_count": F.coalesce("analysis_count", zero)})
     return out.orderBy(F.col("peak_risk").desc_nulls_last(), F.desc("case_id"))

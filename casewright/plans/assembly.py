@@ -10,7 +10,7 @@ from ..operators.scratch import Scratch
 from ..sources import domain as S
 from ..sources.domain import with_views
 from ..sources.tables import table
-from .linkage import _NET, _edges
+from .linkage import _NET, ORACLE_SQL as _LINKED, _edges
 from .scoring import _RISK, _TIER
 
 _AS_OF = "2001-01-01 00:00:00"
@@ -42,11 +42,15 @@ def _profiles(s, d):
     return rows.select("target_id", "profile_key", F.size("messages").cast("long").alias("messages"), F.coalesce(F.get("messages", F.lit(0)), F.lit("")).alias("first_message"), "avatar_phash", "avatar_dhash")
 
 
+def _avatar_scored(s, d):
+    p = R.profiles(S.profiles(s, d))
+    return R.score_pairs(p, R.avatar_candidates(p), A.DEFAULT_AVATARS)
+
+
 def _sealed(s, d):
     """Pairs of profiles with near avatars, sealed by the nation of their customers."""
     p = R.profiles(S.profiles(s, d))
-    scored = R.score_pairs(p, R.avatar_candidates(p), A.DEFAULT_AVATARS)
-    kept = Scratch(s, "sealed").keep(scored, "scored")
+    kept = Scratch(s, "sealed").keep(_avatar_scored(s, d), "scored")
     keys = table(s, d, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_nationkey").alias("case_id"))
     return A.sealed_correlation(kept, R.clusters(p, kept), keys)
 
@@ -109,6 +113,7 @@ QUERIES = {
     "target_findings": _findings,
     "artifact_profiles": _profiles,
     "sealed_correlation": lambda s, d: _sealed(s, d).select("case_id", "artifact_type", F.size(F.from_json("raw_data", "groups array<array<bigint>>")["groups"]).cast("long").alias("groups"), F.sha2("raw_data", 256).alias("sha256")),
+    "pair_evidence": lambda s, d: A.normalised_pairs(_avatar_scored(s, d)).select("a", "b", F.round("strength", 9).alias("strength"), "is_lead", "contradiction_note", F.size("top_signals").cast("long").alias("top_signals")),
     "address_lookups": lambda s, d: _looked_up(s, d).select("event_id", "status", "on_tor_list", "asn", "proxy_type", "confidence", "network_type", "is_anonymized"),
     "custody_manifest": lambda s, d: V.manifest_header(V.custody_manifest(S.targets(s, d), S.artifacts(s, d), S.custody(s, d)), O.valid(S.notes(s, d)), V.verify_chain(V.build_chain(S.custody(s, d)))),
     "package_seal": lambda s, d: V.sealed_package(S.targets(s, d).select("case_id", F.concat(F.col("target_id").cast("string"), F.lit(".json")).alias("file_name"), F.sha2(F.col("target_id").cast("string"), 256).alias("sha256"))).drop("manifest"),
@@ -148,9 +153,12 @@ _TAGGED = with_views("cases", "targets", "analyses") + """, v AS (SELECT case_id
 """
 _INSIDE = _NET + ", inside AS (SELECT x.entity AS case_id, e.* FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = y.entity)"
 _UUID5 = "(WITH u AS (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || {0}::BLOB) AS h) SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM u)"
+_REACHED = _NET.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs(node, hops) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT e.other, hops + 1 FROM bfs JOIN ends e ON e.node = bfs.node WHERE hops < 12), d AS (SELECT node, min(hops) AS hops FROM bfs GROUP BY 1), v AS (SELECT d.node, d.hops, min(q.node) AS via FROM d LEFT JOIN ends e ON e.other = d.node LEFT JOIN d q ON q.node = e.node AND q.hops = d.hops - 1 GROUP BY 1, 2)"
 _NOTES = with_views("notes") + ", ok AS (SELECT note_id AS log_id, created_at AS timestamp, 'analyst_note_added' AS action, case_id, analyst, 'note ' || note_id || coalesce(' on finding ' || finding_ref, '') || coalesce(' (target ' || target_id || ')', '') AS notes FROM notes WHERE trim(note) <> '')"
 _NOTE_JSON = """'{{"action":"' || num.action || '","analyst":"' || num.analyst || '","artifact_id":null,"case_id":"' || num.case_id || '","notes":"' || num.notes || '","previous_hash":"' || {0} || '","sha256":null,"target_id":null,"timestamp":"' || num.timestamp || '"}}'"""
 
+_CANDIDATES = _LINKED["entity_candidates"]
+
 ORACLE_SQL = {
     "target_signals": _COLLECTED + "SELECT target_id, case_id, messages, platform_count, account_age_days, friend_count, len(leads)::INT AS game_history_flags, array_to_string(leads, '|') AS review_leads FROM (SELECT sig.* REPLACE (CASE WHEN target_id IN (SELECT target_id FROM prof) THEN account_age_days END AS account_age_days) FROM sig)",
     "target_scores": _SIGNALS + f"SELECT case_id AS target_id, round(synergy, 9) AS synergy, risk_score, {_TIER} AS tier, CASE WHEN cg = 'high' AND low = 0 THEN 'high' WHEN cg = 'low' OR low >= 2 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",
@@ -162,6 +170,10 @@ ORACLE_SQL = {
     "notes_custody": _NOTES.replace("WITH ", "WITH RECURSIVE ", 1) + f", num AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY log_id) AS n FROM ok), chain AS (SELECT case_id, log_id, notes, n, sha256({_NOTE_JSON.format(chr(39) + '0' * 64 + chr(39))}) AS entry_hash FROM num WHERE n = 1 UNION ALL SELECT num.case_id, num.log_id, num.notes, num.n, sha256({_NOTE_JSON.format('c.entry_hash')}) FROM chain c JOIN num ON num.case_id = c.case_id AND num.n = c.n + 1) SELECT case_id, log_id, notes, entry_hash FROM chain",
     "audit_events": with_views("custody") + """SELECT 'artifact_collected' AS event, 'info' AS level, analyst, count(*) AS n, min('{"artifact_id":' || artifact_id || ',"sha256":"' || substr(sha256, 1, 16) || '..."}') AS first_details FROM custody WHERE artifact_id IS NOT NULL GROUP BY 3""",
     "protected_values": _TAGGED + "SELECT case_id, string_agg(value, '|' ORDER BY spot) AS tagged FROM f GROUP BY 1",
+    "path_with_evidence": _REACHED + ", way AS (SELECT * FROM v WHERE node = 5 UNION ALL SELECT v.* FROM way JOIN v ON v.node = way.via) SELECT hops - 1 AS position, via AS node_from, node AS node_to, strength, is_lead, has_contradiction FROM way JOIN edges ON a = least(node, via) AND b = greatest(node, via)",
+    "shortest_path": _REACHED + " SELECT node, hops, via FROM v",
+    "evidence_ids": with_views("artifacts") + f"SELECT artifact_id, {_UUID5.format(chr(40) + 'artifact_id || ' + chr(39) + ':' + chr(39) + ' || sha256)')} AS evidence_id FROM artifacts",
+    "entity_promotion": "SELECT 'entity-' || component_id AS entity_id, first_member::VARCHAR AS canonical_handle, 'A. Analyst' AS promoted_by, members, mean_strength FROM (" + _CANDIDATES + ")",
     "edge_justification": _NET + "SELECT n.node + 1 AS a, n.node AS b, strength, is_lead, has_contradiction FROM nodes n LEFT JOIN edges e ON e.a = n.node AND e.b = n.node + 1",
     "canonical_graph": _INSIDE + "SELECT n.case_id, n.nodes, coalesce(m.edges, 0) AS edges FROM (SELECT entity AS case_id, count(*) AS nodes FROM nodes GROUP BY 1) n LEFT JOIN (SELECT case_id, count(*) AS edges FROM inside GROUP BY 1) m USING (case_id)",
     "graph_links": _INSIDE + "SELECT a AS source, b AS target, strength, is_lead AS lead, has_contradiction AS contradicted FROM inside",

@@ -107,3 +107,31 @@ def test_timeline_as_json(spark):
     row = timeline.serialised(timeline.build(cases, targets, notes=notes)).first()
     events = json.loads(row.events)
     assert [e["kind"] for e in events] == ["target_added", "case_opened", "analyst_note"] and (events[2]["target_id"], events[2]["detail"], events[0]["analyst"]) == (10, "finding_ref=f1", "")
+
+
+def test_redaction_queries_by_rule(spark, sf_dir):
+    from casewright.plans.catalogue import QUERIES
+
+    docs = {r.doc_id: by_rule(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: (r.text_sha256, [r[f"n_{k}"] for k in redaction.KINDS]) for r in QUERIES["redact_documents"](spark, sf_dir).collect()}
+    assert got == {k: (hashlib.sha256(t.encode()).hexdigest(), n) for k, (t, n) in docs.items()}
+    tally = {r.kind: r.n for r in QUERIES["redaction_tally"](spark, sf_dir).collect()}
+    assert tally == dict(zip(MASKS, map(sum, zip(*(n for _, n in docs.values()), strict=True)), strict=True)) and sum(tally.values()) > 0
+
+
+def test_style_by_rule(spark, sf_dir):
+    from casewright.functions.text import FUNCTION_WORDS, STYLE
+    from casewright.plans.catalogue import QUERIES
+
+    said = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/conversations.parquet").collect(), key=lambda r: r.turn):
+        said.setdefault(r.conv_id, []).append(r.text or "")
+    for r in QUERIES["style_vector"](spark, sf_dir).collect():
+        texts = said[r.profile_id]
+        raw, n = " ".join(texts), len(texts)
+        tokens = re.findall(r"\b\w+\b", raw.lower())
+        want = [
+            sum(t in FUNCTION_WORDS for t in tokens) / max(len(tokens), 1), sum(c in ".,!?;:'\"-" for c in raw) / max(len(raw), 1), raw.count("!") / max(len(raw), 1), raw.count("?") / max(len(raw), 1), min(1, raw.count("...") / n),
+            sum(c.isupper() for c in raw) / max(sum(c.isalpha() for c in raw), 1), 0.0, min(1, sum(map(len, texts)) / n / 120),
+        ]
+        assert [r[k] for k in STYLE] == pytest.approx(want, abs=2e-3), r.profile_id
