@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.scratch import Scratch
 from .literals import literal_rows
 
 #: (host, path, verdict)
@@ -77,8 +78,10 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     # ending null: the row itself, whichever rules there are
     probes = urls.select("page_id", "host", "path", "times", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.when(F.col("deepest") > 0, ending).otherwise(F.array().cast("array<string>")))).alias("ending"))
     ruled = probes.join(bounds.select("ending").distinct().withColumn("met", F.lit(True)), "ending", "left").where("met or ending is null").drop("met")
+    scratch = Scratch(spark, "urls")
+    ruled = scratch.keep(ruled, "ruled")  # counted first, then swept
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * PARTS
-    sizes = ruled.groupBy("ending").agg(F.count("*").alias("n"))
+    sizes = scratch.keep(ruled.groupBy("ending").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n").alias("total"))
     dealt = sizes.join(F.broadcast(total)).select("ending", F.ceil(F.col("n") * parts / F.col("total")).cast("int").alias("parts"))
     known = dealt.where("ending is not null")
