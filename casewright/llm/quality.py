@@ -56,12 +56,11 @@ def line_fails(line: Column) -> Column:
     navigation = (separators >= NAV_SEPARATORS) & (separators * NAV_WORDS_PER_SEPARATOR >= n_words)
     junk = (symbols >= 3) & (symbols * WORDS_PER_SYMBOL_RUN > n_words)
     shouting = (shouts >= MIN_SHOUTS) & (shouts * 4 > n_words)
-    marked = line.rlike(r"[|»›·•>]|[!?]{2}|" + SYMBOL) & (navigation | junk | shouting)  # no mark, no count
     stutters = F.regexp_count(line, F.lit(r"(?<!\S)(\S++)(?=\s+\1(?!\S))"))
     stutter = (stutters >= MIN_STUTTERS) & (stutters * WORDS_PER_STUTTER > n_words)
     boilerplate = line.rlike(_BOILERPLATE) & (n_words <= 40)
     unpunctuated = ~line.rlike(_SENTENCE) & (n_words >= LONG_LINE)
-    return marked | unpunctuated | boilerplate | stutter
+    return navigation | junk | shouting | stutter | boilerplate | unpunctuated
 
 
 def repeated_words(words: Column) -> Column:
@@ -101,10 +100,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     base_failed, n_lines_removed, loss, clean_text, kept.
 
     ``clean_text`` is the text without the lines that fail; blank lines stay, so a text of which no line
-    fails is its own clean text, unless it has no word at all: then ``clean_text`` is empty. A null text has no words and fails the base rules, as an empty one does;
-    its ``clean_text`` is empty. A null doc_id stays null, repeated rows stay repeated, other columns are
-    ignored, an empty table gives no rows. Texts of any length are judged whole, in one row and one pass
-    without a shuffle or Python.
+    fails is its own clean text, unless no word is left: then it is empty. A null text has no words and
+    fails the base rules, as an empty one does. A null doc_id stays null, repeated rows stay repeated,
+    other columns are ignored, an empty table gives no rows. Texts of any length are judged whole, in one
+    row and one pass without a shuffle or Python.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
@@ -120,20 +119,20 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def lines(t: Column) -> Column:
         worded = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-        return let(worded, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), F.filter(a, line_fails).alias("failing")))
+        return let(worded, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), F.filter(a, lambda x: ~line_fails(x)).alias("good"), F.size(a).alias("n")))
 
-    symbols = F.length("text") - F.length(F.translate("text", SYMBOL[1:-1], ""))
-    out = base.select("doc_id", "text", measures(F.col("text")).alias("m"), lines(F.col("text")).alias("l"), symbols.cast("long").alias("n_symbols"))
-    out = out.select("doc_id", "text", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.failing").alias("failing"))
+    out = base.select("doc_id", "text", measures(F.col("text")).alias("m"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"))
+    out = out.select("doc_id", "text", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.good").alias("good"), F.col("l.n").alias("n_lines"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-    # few lines fail, so their characters are counted and not those of the rest
-    lost = F.aggregate("failing", F.lit(0).cast("long"), lambda a, x: a + F.length(F.regexp_replace(x, f"{SPACE}+", "")))
-    out = out.withColumn("left_chars", F.col("word_chars") - lost)
+    out = out.withColumn("left_chars", F.length(F.regexp_replace(F.array_join("good", "\n"), f"{SPACE}+", "")))
     out = out.withColumn("loss", F.when(F.col("word_chars") == 0, F.lit(0.0)).otherwise(1 - F.col("left_chars") / F.col("word_chars")))
-    stays = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("failing"), x)), "\n")
-    clean = F.when(F.col("left_chars") == 0, "").when(F.size("failing") == 0, F.col("text")).otherwise(stays)
+    every = F.split("text", "\n", -1)
+    # equal lines pass or fail together
+    stays = let(F.array_except(F.filter(every, lambda x: x.rlike(WORD)), F.col("good")), lambda failing: F.array_join(F.filter(every, lambda x: ~F.array_contains(failing, x)), "\n"))
+    clean = F.when(F.col("left_chars") == 0, "").when(F.size("good") == F.col("n_lines"), F.col("text")).otherwise(stays)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.size("failing").cast("long").alias("n_lines_removed"), "loss", clean.alias("clean_text"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (F.col("n_lines") - F.size("good")).cast("long").alias("n_lines_removed"), "loss", clean.alias("clean_text"),
         (~F.col("base_failed") & (F.col("loss") <= MAX_LOSS)).alias("kept"),
     )
 
@@ -143,4 +142,6 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     columns as they were."""
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
     judged = judge(docs.select(others.alias("row"), F.col(f"`{text}`").alias("text")), "row", "text")
-    return judged.where("kept").select("doc_id.*", F.col("clean_text").alias(text)).select(*(f"`{c}`" for c in docs.columns))
+    # a row number holds the filter above the measures; below them it would derive them once more
+    judged = judged.withColumn("__n", F.monotonically_increasing_id()).where("kept AND __n >= 0")
+    return judged.select("doc_id.*", F.col("clean_text").alias(text)).select(*(f"`{c}`" for c in docs.columns))
