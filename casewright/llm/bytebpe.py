@@ -69,6 +69,7 @@ def sentencepiece_model(entries: list[bytes]) -> bytes:
 
 @lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> PieceCoder:
+    import public_tokenizers
     import regex
     import sentencepiece
 
@@ -89,7 +90,7 @@ def _coder(path: str, pattern: str) -> PieceCoder:
             out.append(array("I", own).tobytes())
         return out
 
-    return PieceCoder(encode_many)
+    return PieceCoder(encode_many, cutting=pattern == public_tokenizers.PATTERN)
 
 
 @lru_cache(maxsize=2)

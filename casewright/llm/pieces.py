@@ -29,18 +29,19 @@ class PieceCoder:
     """Encodes texts piece by piece.
 
     ``encode_many`` turns strings into the bytes of their ids. The memo holds at most ``limit`` pieces
-    and is emptied when full, so memory stays bounded however many different words there are.
+    and is emptied when full, so memory stays bounded however many different words there are. The cuts
+    hold for one pre-token pattern; with another, ``cutting`` must be off and texts are encoded whole.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000):
-        self._encode_many, self._limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000, cutting: bool = True):
+        self._encode_many, self._limit, self._cutting = encode_many, limit, cutting
         self._heads: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
         self._break = encode_many(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; ``texts`` should be a few MB together (see ``in_small_lots``)."""
-        cuts = [cut(x) for x in texts]
+        cuts = [cut(x) if self._cutting else [[x]] for x in texts]
         heads, tails = set(), set()
         for lines in cuts:
             for line in lines:
