@@ -43,14 +43,14 @@ def _profiles(s, d):
 
 
 def _avatar_scored(s, d):
-    p = R.profiles(S.profiles(s, d))
-    return R.score_pairs(p, R.avatar_candidates(p), A.DEFAULT_AVATARS)
+    p = Scratch(s, "profiles").keep(R.profiles(S.profiles(s, d)), "profiles")
+    return p, R.score_pairs(p, R.avatar_candidates(p), A.DEFAULT_AVATARS)
 
 
 def _sealed(s, d):
     """Pairs of profiles with near avatars, sealed by the nation of their customers."""
-    p = R.profiles(S.profiles(s, d))
-    kept = Scratch(s, "sealed").keep(_avatar_scored(s, d), "scored")
+    p, scored = _avatar_scored(s, d)
+    kept = Scratch(s, "sealed").keep(scored, "scored")
     keys = table(s, d, "customer").select(F.col("c_custkey").alias("profile_id"), F.col("c_nationkey").alias("case_id"))
     return A.sealed_correlation(kept, R.clusters(p, kept), keys)
 
@@ -113,7 +113,7 @@ QUERIES = {
     "target_findings": _findings,
     "artifact_profiles": _profiles,
     "sealed_correlation": lambda s, d: _sealed(s, d).select("case_id", "artifact_type", F.size(F.from_json("raw_data", "groups array<array<bigint>>")["groups"]).cast("long").alias("groups"), F.sha2("raw_data", 256).alias("sha256")),
-    "pair_evidence": lambda s, d: A.normalised_pairs(_avatar_scored(s, d)).select("a", "b", F.round("strength", 9).alias("strength"), "is_lead", "contradiction_note", F.size("top_signals").cast("long").alias("top_signals")),
+    "pair_evidence": lambda s, d: A.normalised_pairs(_avatar_scored(s, d)[1]).select("a", "b", F.round("strength", 9).alias("strength"), "is_lead", "contradiction_note", F.size("top_signals").cast("long").alias("top_signals")),
     "address_lookups": lambda s, d: _looked_up(s, d).select("event_id", "status", "on_tor_list", "asn", "proxy_type", "confidence", "network_type", "is_anonymized"),
     "custody_manifest": lambda s, d: V.manifest_header(V.custody_manifest(S.targets(s, d), S.artifacts(s, d), S.custody(s, d)), O.valid(S.notes(s, d)), V.verify_chain(V.build_chain(S.custody(s, d)))),
     "package_seal": lambda s, d: V.sealed_package(S.targets(s, d).select("case_id", F.concat(F.col("target_id").cast("string"), F.lit(".json")).alias("file_name"), F.sha2(F.col("target_id").cast("string"), 256).alias("sha256"))).drop("manifest"),

@@ -19,7 +19,7 @@ THRESHOLD = 0.2
 
 def _scored(s, d):
     """All candidate pairs of the profiles, scored once and kept, as several consumers read them."""
-    p = C.profiles(D.profiles(s, d))
+    p = Scratch(s, "profiles").keep(C.profiles(D.profiles(s, d)), "profiles")
     pairs = C.network_candidates(p).unionByName(C.avatar_candidates(p)).unionByName(C.username_candidates(p)).distinct()
     return p, C.score_pairs(p, pairs)
 
@@ -50,14 +50,17 @@ def _groups(s, d):
 
 
 def _avatar_pairs(s, d):
-    p = C.profiles(D.avatars(s, d).withColumnsRenamed({"phash": "avatar_phash", "dhash": "avatar_dhash"}))
+    p = Scratch(s, "avatars").keep(C.profiles(D.avatars(s, d).withColumnsRenamed({"phash": "avatar_phash", "dhash": "avatar_dhash"})), "avatars")
     side = lambda k: p.select(F.col("profile_id").alias(k), F.col("avatar_phash").alias(f"p{k}"), F.col("avatar_dhash").alias(f"d{k}"))
     found = C.avatar_candidates(p).join(side("a"), "a").join(side("b"), "b")
     return found.select("a", "b", X.hamming(F.col("pa"), F.col("pb")).alias("phash_bits"), X.hamming(F.col("da"), F.col("db")).alias("dhash_bits"))
 
 
-def _stored(s, d):
-    return D.avatars(s, d).select(F.col("phash").alias("hash"), F.concat(F.lit("stored-"), F.col("profile_id").cast("string")).alias("label"), F.col("profile_id").alias("position"))
+def _matched(s, d):
+    """Every hash looked up among all of them, the first ones counting as stored earliest."""
+    rows = Scratch(s, "hashes").keep(D.avatars(s, d).select("profile_id", "phash"), "hashes")
+    stored = rows.select(F.col("phash").alias("hash"), F.concat(F.lit("stored-"), F.col("profile_id").cast("string")).alias("label"), F.col("profile_id").alias("position"))
+    return M.layers(M.match_first(rows.select(F.col("phash").alias("query_hash")), stored))
 
 
 def _knn(s, d):
@@ -105,7 +108,7 @@ QUERIES = {
     "hour_overlap_pairs": lambda s, d: C.hour_overlap(D.hours(s, d)).withColumn("score", F.round("score", 9)),
     "network_overlap_pairs": lambda s, d: C.network_overlap(D.connections(s, d)).withColumn("score", F.round("score", 9)),
     "avatar_hamming_pairs": _avatar_pairs,
-    "hash_match_first": lambda s, d: M.layers(M.match_first(D.avatars(s, d).select(F.col("phash").alias("query_hash")), _stored(s, d))),
+    "hash_match_first": _matched,
     "semantic_knn": _knn,
     "correlation_fused": lambda s, d: _scored(s, d)[1].select("a", "b", F.round("strength", 9).alias("strength"), "is_lead", "has_contradiction"),
     "correlation_top_signal": lambda s, d: C.top_signal(_scored(s, d)[1]),
