@@ -142,6 +142,7 @@ def json_text(text: Column) -> Column:
         return out
 
     def of(t: Column) -> Column:
-        return F.when(t.rlike(r'["\\]|[^\x20-\x7E]'), F.array_join(F.transform(F.split(t, ""), escaped), "")).otherwise(t)
+        letter_by_letter = F.array_join(F.transform(F.split(t, ""), escaped), "")
+        return F.when(t.rlike(r"[^\x20-\x7E]"), letter_by_letter).when(t.rlike(r'["\\]'), F.regexp_replace(t, r'(["\\])', r"\\$1")).otherwise(t)
 
     return F.concat(F.lit('"'), let(text, of), F.lit('"'))
