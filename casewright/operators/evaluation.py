@@ -6,10 +6,13 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .profiles import any_term
+
 # Targets, sweep, night hours.
 TARGETS = {"fpr_max": 0.15, "fnr_max": 0.15, "f1_min": 0.70, "precision_min": 0.75, "recall_min": 0.80}
 SWEEP = (10, 44)
 NIGHT = (22, 23, 0, 1, 2, 3)
+GAME_MARKERS = ("condo", "18plus", "adult", "private_rp", "secretmeet", "nokids", "mature", "hidden")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -60,6 +63,11 @@ def best_threshold(swept: DataFrame) -> DataFrame:
     return ok.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def flagged_games(games: Column) -> Column:
+    """How many games of an array hold a marker in their name."""
+    return F.size(F.filter(F.coalesce(games, F.array().cast("array<string>")), lambda g: any_term(g, GAME_MARKERS)))
+
+
 def late_night(hours: Column) -> Column:
     return F.exists(hours, lambda h: h.isin(*NIGHT))
 

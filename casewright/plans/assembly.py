@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly as A, classifier as C, correlation as R, custody as V, enrichment as N, graph as G, matching as M, notes as O, profiles as P, redaction as D, risk as K
+from ..operators import assembly as A, classifier as C, correlation as R, custody as V, enrichment as N, graph as G, matching as M, notes as O, profiles as P, redaction as D, referral as X, risk as K
 from ..operators.scratch import Scratch
 from ..sources import domain as S
 from ..sources.domain import with_views
@@ -107,7 +107,14 @@ def _export(s, d):
     return out.select("case_id", "description", F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("targets"), F.expr("coalesce(aggregate(targets, 0L, (a, t) -> a + coalesce(size(t.analyses), 0)), 0L)").alias("analyses"), F.expr("coalesce(aggregate(targets, 0L, (a, t) -> a + coalesce(size(t.artifacts), 0)), 0L)").alias("artifacts"))
 
 
+def _referrals(s, d):
+    """Referrals in digest: handles, scores and numbers of their sections."""
+    out = X.document(S.cases(s, d), S.targets(s, d), S.analyses(s, d), S.artifacts(s, d))
+    return out.select("case_id", F.col("reporting.analyst").alias("analyst"), F.col("incident.status").alias("status"), F.col("incident.highest_risk_score").alias("highest_risk_score"), F.size("subjects").cast("long").alias("subjects"), F.col("supporting_evidence.artifact_count").cast("long").alias("artifacts"), F.col("provenance.sealed_package").alias("sealed_package"))
+
+
 QUERIES = {
+    "case_referral": _referrals,
     "target_signals": _signal_rows,
     "target_scores": lambda s, d: _scored_targets(s, d).select("target_id", F.round("synergy", 9).alias("synergy"), "risk_score", "tier", "confidence"),
     "target_findings": _findings,
@@ -160,6 +167,7 @@ _NOTE_JSON = """'{{"action":"' || num.action || '","analyst":"' || num.analyst |
 _CANDIDATES = _LINKED["entity_candidates"]
 
 ORACLE_SQL = {
+    "case_referral": with_views("cases", "targets", "analyses", "artifacts") + ", l AS (SELECT target_id, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY analyzed_at DESC, result_id DESC, risk_score DESC NULLS LAST) AS n FROM analyses) WHERE n = 1), h AS (SELECT case_id, count(*) AS subjects, max(risk_score) AS highest FROM targets LEFT JOIN l USING (target_id) GROUP BY 1), e AS (SELECT case_id, count(*) AS n FROM artifacts JOIN targets USING (target_id) GROUP BY 1) SELECT case_id, analyst_name AS analyst, status, highest AS highest_risk_score, coalesce(subjects, 0) AS subjects, coalesce(n, 0) AS artifacts, 'no sealed package' AS sealed_package FROM cases LEFT JOIN h USING (case_id) LEFT JOIN e USING (case_id)",
     "target_signals": _COLLECTED + "SELECT target_id, case_id, messages, platform_count, account_age_days, friend_count, len(leads)::INT AS game_history_flags, array_to_string(leads, '|') AS review_leads FROM (SELECT sig.* REPLACE (CASE WHEN target_id IN (SELECT target_id FROM prof) THEN account_age_days END AS account_age_days) FROM sig)",
     "target_scores": _SIGNALS + f"SELECT case_id AS target_id, round(synergy, 9) AS synergy, risk_score, {_TIER} AS tier, CASE WHEN cg = 'high' AND low = 0 THEN 'high' WHEN cg = 'low' OR low >= 2 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",
     "target_findings": _SIGNALS + f"SELECT case_id AS target_id, 'risk_engine_v1' AS analysis_type, risk_score, {_TIER} AS tier, 'RiskEngine' AS engine, len(leads) > 0 AS names_leads FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import assembly, custody, enrichment, graph, matching, notes, profiles, redaction, risk
+from casewright.operators import assembly, custody, enrichment, evaluation, graph, matching, notes, profiles, redaction, referral, risk
 from casewright.sources import schemas
 
 TARGETS = "target_id long, case_id long, platform string, username string"
@@ -136,3 +136,21 @@ def test_registry_and_schemas(spark):
         assert schemas.empty(spark, name).count() == 0
     odd = schemas.conformed(spark.createDataFrame([("c", "n", "lost"), (None, "n", "open"), ("d", "n", "open")], "case_id string, case_name string, status string"), "cases")
     assert sorted(r.problem for r in schemas.problems(odd, "cases").collect()) == ["case_id is missing", "unknown status"]
+
+
+def test_referral_document(spark):
+    cases = spark.createDataFrame([(7, "n", "mail a@b.org", "open"), (8, "m", None, "closed")], "case_id long, case_name string, description string, status string")
+    targets = spark.createDataFrame([(1, 7, "p", "zed")], TARGETS)
+    analyses = spark.createDataFrame([(1, 1, 2.0, "2024-01-01"), (2, 1, 3.5, "2024-02-01")], "result_id long, target_id long, risk_score double, analyzed_at string")
+    artifacts = spark.createDataFrame([(5, 1, "1234567890abcdef")], "artifact_id long, target_id long, sha256 string")
+    packages = spark.createDataFrame([(7, "ff")], "case_id long, manifest_sha256 string")
+    got = {r.case_id: r for r in referral.document(cases, targets, analyses, artifacts, packages).collect()}
+    assert (got[7].incident.concern, got[7].incident.highest_risk_score, got[7].subjects[0].reported_username) == ("mail [REDACTED - EMAIL]", 3.5, "zed")
+    assert got[7].supporting_evidence.artifacts[0].sha256 == "1234567890abcdef" and got[7].provenance.sealed_package == "ff"
+    assert (got[8].subjects, got[8].supporting_evidence.artifact_count, got[8].provenance.sealed_package) == ([], 0, "no sealed package")
+    assert referral.document(cases, targets, analyses, artifacts, redacted=False).where("case_id = 7").first().incident.concern == "mail a@b.org"
+
+
+def test_flagged_games(spark):
+    frame = spark.createDataFrame([(["Big CONDO", "Obby", "my18plus"],), (None,), ([],)], "g array<string>")
+    assert [r[0] for r in frame.select(evaluation.flagged_games(F.col("g"))).collect()] == [2, 0, 0]
