@@ -62,6 +62,8 @@ NARROWER = frozenset({"BSD-3-Clause"})
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.6
+#: Parts over which the files of one passage are dealt.
+PARTS = 32
 SPACE = r"[\x20\x09-\x0D]"
 #: The start of a line with its indentation and comment mark.
 MARK = r"(\A|\n)[\x20\x09\x0B-\x0D]*(?:[#;%*/!|]+|<!--|--+)?[\x20\x09\x0B-\x0D]*"
@@ -191,7 +193,10 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
     found = rows.where(F.arrays_overlap(pieces(F.col("text")), held)).select(*key, F.explode(passages(F.col("text"), F.col("name"), may_match(templates))).alias("words")).select(*key, "words", F.md5("words").alias("passage"))
     found = Scratch(spark, "licenses").keep(found, "passages")  # few, and read three times
     best = best_templates(spark, found.select("passage", "words"), templates)
-    own = found.select(*key, "passage").join(best, "passage").groupBy(*key).agg(F.max(F.struct("rank", "score", "license")).alias("own"))
+    # a passage may stand in very many files: its rows are dealt over parts, its one best template is copied to them
+    dealt = found.select(*key, "passage", F.pmod(F.xxhash64(*key), F.lit(PARTS)).alias("part"))
+    best = best.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    own = dealt.join(best, ["passage", "part"]).groupBy(*key).agg(F.max(F.struct("rank", "score", "license")).alias("own"))
     every = every.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     null_safe = [every[k].eqNullSafe(own[k]) for k in key]
     marked = every.join(own, null_safe, "left").select(*(every[k] for k in key), every["times"], every["dir"], every["name"], own["own"])
