@@ -72,4 +72,12 @@ def _op5() -> str:
  SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(lowest, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(lowest, vec_id)) AS kept FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 
-ORACLE_SQL = {"op1_url_filter": _op1(), "op2_licenses": _op2(), "op4_quality": _op4(), "op5_embeddings": _op5()}
+def _op13() -> str:
+    letters = _quoted("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+ n AS (SELECT *, sha1(h) AS d, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS k, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS named FROM p)
+ SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr({letters}, (((('0x' || substr(d, i // 8 * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN named END AS refers_to FROM n"""
+
+
+ORACLE_SQL = {"op1_url_filter": _op1(), "op2_licenses": _op2(), "op4_quality": _op4(), "op5_embeddings": _op5(), "op13_warc": _op13()}
