@@ -72,6 +72,39 @@ def _op5() -> str:
  SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(lowest, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(lowest, vec_id)) AS kept FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 
+def _op12() -> str:
+    """Damage with a table-free CRC-32, faults by windows, then a forward pass that keeps for each of the four
+    states its cheapest edits as one text, the cost in eight digits before the letters, so the least text wins."""
+    pay = lambda x, cost, letter: f"(lpad((substr({x}, 1, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({x}, 9) || '{letter}')"
+    late, never = "(CASE WHEN cut THEN 5 ELSE 0 END)", "'50000000~'"
+    opened = "least(s0, s1, i3)"
+    entered = "least(s0, s1, s3)"
+    role = "CASE WHEN e % 2 = 1 THEN 'user' ELSE 'assistant' END"
+    space = _quoted(r"[^\x20\x09-\x0D]")
+    return f"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS named FROM conversations),
+ table_of AS (SELECT list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crcs),
+ h AS (SELECT o.*, xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(named)), lambda k: ('0x' || substr(hex(named), 2 * k + 1, 2))::BIGINT)), lambda x, b: xor(x >> 8, crcs[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS harm FROM o, table_of),
+ d AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE harm <> 0),
+ f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, list_last(regexp_extract_all(text, {space})) AS tail FROM d),
+ g AS (SELECT conv_id, turn, n, role, text, substr(role, 1, 1) AS initial, tail IS NULL AS blank, tail IS NOT NULL AND seen > 1 AS duplicate, tail IS NOT NULL AND seen = 1 AND tail NOT IN ('.', '!', '?') AS cut, substr(lead(role) OVER (PARTITION BY conv_id ORDER BY n), 1, 1) AS following, lead(n) OVER (PARTITION BY conv_id ORDER BY n) IS NOT NULL AS more FROM f),
+ z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE more AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM g GROUP BY 1),
+ walk(conv_id, n, s0, s1, s2, s3) AS (SELECT conv_id, 0::BIGINT, '00000000', {never}, {never}, {never} FROM z UNION ALL
+  SELECT w.conv_id, g.n, {pay("s0", 2, "D")},
+   least({pay("s1", 2, "D")}, CASE WHEN initial = 's' AND NOT blank AND NOT duplicate THEN {pay("s0", late, "K")} ELSE {never} END),
+   least({pay("i2", 2, "D")}, CASE WHEN blank OR duplicate THEN {never} ELSE least({pay(opened, "1 + " + late, "R")}, CASE WHEN initial = 'u' THEN {pay(opened, late, "K")} ELSE {never} END) END),
+   least({pay("i3", 2, "D")}, CASE WHEN blank OR duplicate THEN {never} ELSE least({pay("i2", "1 + " + late, "R")}, CASE WHEN initial = 'a' THEN {pay("i2", late, "K")} ELSE {never} END) END)
+  FROM (SELECT *, least(s3, {pay("i2", 5, "I")}) AS i3 FROM (SELECT *, least(s2, {pay(entered, 5, "I")}) AS i2 FROM walk)) w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.n + 1),
+ b AS (SELECT z.conv_id, least(s0, s3, {pay("least(s2, " + pay("s1", 5, "I") + ")", 5, "I")}) AS best FROM walk w JOIN z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.rows = w.n),
+ a AS (SELECT conv_id, substr(best, 1, 8)::BIGINT AS cost, substr(best, 9) AS audit FROM b),
+ l AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM a),
+ p AS (SELECT conv_id, k, substr(audit, k, 1) AS edit, length(replace(substr(audit, 1, k), 'I', '')) AS n FROM l),
+ q AS (SELECT p.conv_id, k, edit, g.role, g.text, edit = 'K' AND initial = 's' AS keeps_system FROM p LEFT JOIN g ON p.edit <> 'I' AND g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.n = p.n WHERE edit <> 'D'),
+ r AS (SELECT *, count(*) FILTER (WHERE NOT keeps_system) OVER (PARTITION BY conv_id ORDER BY k) AS e FROM q),
+ s AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role ELSE {role} END) || ':' || (CASE WHEN edit = 'I' THEN '' ELSE text END), chr(10) ORDER BY k) AS repaired FROM r GROUP BY 1)
+ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def _op13() -> str:
     letters = _quoted("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
     return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -80,4 +113,4 @@ def _op13() -> str:
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN named END AS refers_to FROM n"""
 
 
-ORACLE_SQL = {"op1_url_filter": _op1(), "op2_licenses": _op2(), "op4_quality": _op4(), "op5_embeddings": _op5(), "op13_warc": _op13()}
+ORACLE_SQL = {"op1_url_filter": _op1(), "op2_licenses": _op2(), "op4_quality": _op4(), "op5_embeddings": _op5(), "op12_repair": _op12(), "op13_warc": _op13()}
