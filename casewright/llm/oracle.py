@@ -72,6 +72,21 @@ def _op5() -> str:
  SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(lowest, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(lowest, vec_id)) AS kept FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 
+def _op11() -> str:
+    return """WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ('0x' || substr(sha256(coalesce(conv_id::VARCHAR, '') || ':' || turn), 1, 8))::BIGINT AS h FROM conversations WHERE turn IS NOT NULL),
+ f AS (SELECT conv_id, min(turn) AS first FROM o GROUP BY 1),
+ every AS (SELECT conv_id, turn, role, text, h % 8 AS batch FROM o UNION ALL SELECT conv_id, turn, 'user', text, (h + 3) % 8 FROM o WHERE h % 7 < 2),
+ a AS (SELECT conv_id, turn, batch, min(role || '|' || text) AS payload, arg_min(role, role || '|' || text) AS role FROM every GROUP BY 1, 2, 3),
+ heard AS (SELECT conv_id, batch, lead(batch) OVER (PARTITION BY conv_id ORDER BY batch) AS later FROM (SELECT DISTINCT conv_id, batch FROM a)),
+ c AS (SELECT conv_id, min(CASE WHEN batch + 3 <= 7 AND coalesce(later, 99) > batch + 3 THEN batch + 3 ELSE 8 END) AS ends FROM heard GROUP BY 1),
+ live AS (SELECT a.*, ends, first FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id),
+ k AS (SELECT conv_id, turn, first, ends, min(batch) AS batch, arg_min(payload, batch) AS payload, arg_min(role, batch) AS role FROM live WHERE batch <= ends GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 = turn - first AS gapless, max(batch) OVER (PARTITION BY conv_id ORDER BY turn) AS since, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) = turn - 1 AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role AS breaks FROM k)
+ SELECT 'release' AS event, conv_id, turn, since AS batch, sha256(payload) AS sha256, NULL::BIGINT AS n_missing, NULL::BIGINT AS n_breaks FROM r WHERE gapless
+ UNION ALL SELECT 'reject', conv_id, turn, batch, sha256(payload), NULL, NULL FROM live WHERE batch > ends
+ UNION ALL SELECT 'close', conv_id, -1, ends, sha256(coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE NOT gapless), '')), max(turn) - first + 1 - count(*), count(*) FILTER (WHERE breaks) FROM r GROUP BY conv_id, first, ends"""
+
+
 def _op12() -> str:
     """Damage with a table-free CRC-32, faults by windows, then a forward pass that keeps for each of the four
     states its cheapest edits as one text, the cost in eight digits before the letters, so the least text wins."""
@@ -113,4 +128,4 @@ def _op13() -> str:
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN named END AS refers_to FROM n"""
 
 
-ORACLE_SQL = {"op1_url_filter": _op1(), "op2_licenses": _op2(), "op4_quality": _op4(), "op5_embeddings": _op5(), "op12_repair": _op12(), "op13_warc": _op13()}
+ORACLE_SQL = {"op1_url_filter": _op1(), "op2_licenses": _op2(), "op4_quality": _op4(), "op5_embeddings": _op5(), "op11_reassembly": _op11(), "op12_repair": _op12(), "op13_warc": _op13()}

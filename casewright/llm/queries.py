@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import bytebpe, embeddings, licenses, packing, pii, quality, repair, secret_scan, simhash, suffixes, url_filter, warc
+from . import bytebpe, embeddings, licenses, packing, pii, quality, reassembly, repair, secret_scan, simhash, suffixes, url_filter, warc
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -83,6 +83,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reassembly.digested(reassembly.reassemble(reassembly.arrivals(table(spark, sf_dir, "conversations"))))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(table(spark, sf_dir, "conversations"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_reassembly": op11_reassembly,
     "op12_repair": op12_repair,
     "op13_warc": op13_warc,
 }
\ No newline at end of file
