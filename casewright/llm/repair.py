@@ -13,7 +13,7 @@ taking the least letter that leaves the frontier. (Letters fix the states: from
 come next besides a kept s, so the frontier holds one state.)
 
 No conversation has to fit into a task. All rows are put in order by ranges of (conv_id, turn), each stands in
-a block of BLOCK neighbours, and the rows of one conversation in one block are a piece. A piece is boiled down
+a block of ``block`` neighbours, and the rows of one conversation in one block are a piece. A piece is boiled down
 to sixteen numbers, the least costs between states, and one byte for each row; least costs before and behind
 each piece are then carried along the pieces, four numbers at a time; pieces find their tight arcs by
 themselves, for each state that they may be entered in; a last walk over the pieces tells which state that is.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -171,7 +172,7 @@ def _illegal(a: int, b: int) -> bool:
     return (a & 3, b & 3) not in ((SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (conv_id, pos, turn, code, fault) in the order of pos, as pieces of one conversation and block."""
 
     def close(key, rows: list[dict]) -> dict:
@@ -192,7 +193,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def run() -> Iterator[dict]:
         key, held = None, []
         for row in _rows(batches):
-            at = row["conv_id"], row["pos"] // BLOCK
+            at = row["conv_id"], row["pos"] // block
             if held and at != key:
                 yield close(key, held)
                 held = []
@@ -287,7 +288,7 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _dealt(run(), _STEP)
 
 
-def repair(rows: DataFrame) -> Repaired:
+def repair(rows: DataFrame, block: int = BLOCK) -> Repaired:
     """Repair every conversation of ``rows`` (conv_id, turn, role, text)."""
     scratch = Scratch(rows.sparkSession, "repair")
     shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
@@ -306,7 +307,7 @@ def repair(rows: DataFrame) -> Repaired:
     first_fault = F.when(F.col("fault") == 1, 1).when(F.col("first") < F.col("pos"), 2).otherwise(F.col("fault"))
     slim = slim.select("conv_id", "turn", "pos", "code", first_fault.alias("fault")).withColumn("code", (F.col("code") + F.when(F.col("fault").isin(1, 2), GONE).when(F.col("fault") == 3, CUT).otherwise(0)).cast("int"))
 
-    pieces = slim.repartition(F.floor(F.col("pos") / BLOCK)).sortWithinPartitions("pos").mapInArrow(_pieces, _ddl(_PIECE))
+    pieces = slim.repartition(F.floor(F.col("pos") / block)).sortWithinPartitions("pos").mapInArrow(partial(_pieces, block), _ddl(_PIECE))
     carried = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(_ahead, _ddl(_AHEAD)).sortWithinPartitions("conv_id", F.desc("at")).mapInArrow(_behind, _ddl(_BEHIND))
     walked = carried.repartition("conv_id", "at").mapInArrow(_walked, _ddl(_WALKED))
     chosen = scratch.keep(walked.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(_chosen, _ddl(_CHOSEN)), "chosen")
