@@ -37,7 +37,8 @@ def base32_sha1(data: Column) -> Column:
     digest = F.sha1(data)
     # ten hexadecimal digits are eight letters of five bits
     forty = F.array(*(F.conv(F.substring(digest, 10 * k + 1, 10), 16, 10).cast("long") for k in range(4)))
-    return F.array_join(F.transform(forty, lambda x: F.concat(*(F.substring(F.lit(BASE32), F.shiftright(x, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1)) for k in range(8)))), "")
+    letters = F.array_join(F.transform(forty, lambda x: F.concat(*(F.substring(F.lit(BASE32), F.shiftright(x, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1)) for k in range(8)))), "")
+    return F.when(data.isNotNull(), letters)
 
 
 def first_of_equal(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
