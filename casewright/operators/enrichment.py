@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import ipaddress
+from pyspark.sql import DataFrame, Window, functions as F
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType
+from .addresses import address_key, is_global, with_ranges
 
 # Signal weights, recognised categories and proxy types, thresholds, reserved ranges.
 WEIGHTS = {
@@ -17,46 +15,6 @@ CATEGORIES = ("known-vpn", "hosting-datacenter")
 PROXY_SIGNALS = {"TOR": "ip2proxy_tor", "VPN": "ip2proxy_vpn", "PUB": "ip2proxy_public_proxy", "RES": "ip2proxy_residential_proxy", "WEB": "ip2proxy_web_proxy", "DCH": "ip2proxy_datacenter"}
 PROXY_TYPES = (*PROXY_SIGNALS, "SES", "CDN", "-")
 FLAG_AT, MIN_EXIT_LIST, STALE_HOURS = 50, 100, 48
-RESERVED = (
-    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
-    "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
-)
-#: Global addresses inside those ranges.
-ASSIGNED = ("192.0.0.9/32", "192.0.0.10/32")
-
-
-def ipv4_number(ip: Column) -> Column:
-    """The address as a number; null for anything but four decimal parts up to 255."""
-    part = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    parts = F.split(F.when(ip.rlike(rf"^{part}(?:\.{part}){{3}}$"), ip), r"\.")
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
-
-
-def is_global(number: Column) -> Column:
-    """Whether an address number lies outside all reserved ranges, or in an assigned part of them."""
-
-    def within(nets: tuple[str, ...]) -> Column:
-        inside = F.lit(False)
-        for net in nets:
-            base, bits = net.split("/")
-            low = sum(int(x) << 8 * (3 - k) for k, x in enumerate(base.split(".")))
-            inside = inside | number.between(low, low + (1 << 32 - int(bits)) - 1)
-        return inside
-
-    return ~within(RESERVED) | within(ASSIGNED)
-
-
-def _ipv6_global(ip: str | None) -> bool | None:
-    try:
-        return ipaddress.IPv6Address(ip).is_global if ip and ":" in ip else None
-    except ValueError:
-        return None
-
-
-@F.arrow_udf(BooleanType())
-def ipv6_is_global(ip: pa.Array) -> pa.Array:
-    """Whether an IPv6 address is global; null for anything else."""
-    return pa.array([_ipv6_global(x) for x in ip.to_pylist()], pa.bool_())
 
 
 def parse_exit_list(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -91,7 +49,7 @@ def accepted_authority(entries: DataFrame, strict: bool = False) -> DataFrame:
 
 def accepted_exit_list(lines: DataFrame, column: str = "value") -> DataFrame:
     """Distinct addresses of an exit list; a list of fewer than ``MIN_EXIT_LIST`` addresses is refused."""
-    entries = parse_exit_list(lines, column).where(ipv4_number(F.col("ip")).isNotNull() | ipv6_is_global(F.col("ip")).isNotNull())
+    entries = parse_exit_list(lines, column).where(address_key(F.col("ip")).isNotNull())
     if entries.limit(MIN_EXIT_LIST).count() < MIN_EXIT_LIST:
         raise ValueError("the exit list is too short to be whole")
     return entries
@@ -99,15 +57,16 @@ def accepted_exit_list(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def with_lookups(addresses: DataFrame, exits: DataFrame, networks: DataFrame, authority: DataFrame, proxies: DataFrame) -> DataFrame:
     """``addresses`` (ip) with what the lists say of them, as ``assess`` takes it: exits (ip), networks
-    (ip_start, ip_end, asn), authority (asn, category, organization) and proxies (ip, proxy_type,
-    usage_type). Lists are joined by key, networks by range; lists of a size worth it are broadcast by
+    (network, or ip_start and ip_end; asn), authority (asn, category, organization) and proxies (ip,
+    proxy_type, usage_type). One row out for each row in. Lists are joined by the key of the address, so its
+    spelling does not matter, networks by the most specific range; lists of a size worth it are broadcast by
     the planner's own measure."""
-    rows = addresses.withColumn("ip_number", ipv4_number(F.col("ip")))
-    rows = rows.join(exits.select("ip").distinct().withColumn("on_tor_list", F.lit(True)), "ip", "left")
-    rows = with_ranges(rows, networks, "asn")
+    rows = with_ranges(addresses, networks, "asn").withColumn("__ip", address_key(F.col("ip")))
+    listed = exits.select(address_key(F.col("ip")).alias("__ip")).where("__ip IS NOT NULL").distinct().withColumn("on_tor_list", F.lit(True))
     known = authority.groupBy(F.col("asn").cast("long").alias("asn")).agg(F.max(F.struct(F.col("category").alias("asn_category"), F.col("organization").alias("asn_organization"))).alias("n")).select("asn", "n.*")
-    one = proxies.groupBy("ip").agg(F.max(F.struct(F.upper("proxy_type").alias("proxy_type"), F.upper("usage_type").alias("usage_type"))).alias("p")).select("ip", "p.*")
-    return rows.join(known, "asn", "left").join(one, "ip", "left").withColumn("on_tor_list", F.coalesce("on_tor_list", F.lit(False))).drop("ip_number")
+    one = proxies.groupBy(address_key(F.col("ip")).alias("__ip")).agg(F.max(F.struct(F.upper("proxy_type").alias("proxy_type"), F.upper("usage_type").alias("usage_type"))).alias("p")).where("__ip IS NOT NULL").select("__ip", "p.*")
+    rows = rows.join(listed, "__ip", "left").join(known, "asn", "left").join(one, "__ip", "left")
+    return rows.withColumn("on_tor_list", F.coalesce("on_tor_list", F.lit(False))).drop("__ip")
 
 
 def lookup_custody(assessed: DataFrame, sources: DataFrame, at: str) -> DataFrame:
@@ -118,25 +77,13 @@ def lookup_custody(assessed: DataFrame, sources: DataFrame, at: str) -> DataFram
     return assessed.select(F.lit("ip_enrichment").alias("event"), F.lit(at).alias("timestamp"), F.col("ip").alias("input_ip"), found.alias("output")).join(F.broadcast(held))
 
 
-def with_ranges(addresses: DataFrame, ranges: DataFrame, *columns: str) -> DataFrame:
-    """``addresses`` (with ip_number) joined with the range (ip_start, ip_end) that holds each, if any.
-
-    Ranges are cut at /16 borders, so the join is an equality on the upper half of the address with the
-    range test behind it.
-    """
-    blocks = ranges.select("ip_start", "ip_end", *columns, F.explode(F.sequence(F.shiftright("ip_start", 16), F.shiftright("ip_end", 16))).alias("block"))
-    rows = addresses.withColumn("block", F.shiftright("ip_number", 16)).alias("x")
-    found = rows.join(blocks.alias("r"), (F.col("x.block") == F.col("r.block")) & F.col("x.ip_number").between(F.col("r.ip_start"), F.col("r.ip_end")), "left")
-    return found.select("x.*", *(F.col(f"r.{c}") for c in columns)).drop("block")
-
-
 def assess(rows: DataFrame) -> DataFrame:
     """Rows (ip, on_tor_list, proxy_type, usage_type, asn, asn_category, asn_organization) with signals,
     confidence, network type, flag and rationale. Texts that are no IPv4 or IPv6 address
     and addresses that are not global get a status and no signals."""
-    # columns of their own, so that the parsing is not repeated in each of their uses
-    rows = rows.withColumn("__number", ipv4_number(F.col("ip"))).withColumn("__six", ipv6_is_global(F.col("ip")))
-    public = F.coalesce(is_global(F.col("__number")), F.col("__six"))
+    # a column of its own, so that the parsing is not repeated in each of its uses
+    rows = rows.withColumn("__key", address_key(F.col("ip")))
+    public = F.when(F.col("__key").isNotNull(), is_global(F.col("__key")))
     rows = rows.withColumn("status", F.when(public.isNull(), "invalid-address").when(~public, "non-global-address").otherwise("assessed"))
     proxy, usage, category = (F.coalesce(F.col(c), F.lit("")) for c in ("proxy_type", "usage_type", "asn_category"))
     tor = F.coalesce("on_tor_list", F.lit(False))
@@ -148,7 +95,7 @@ def assess(rows: DataFrame) -> DataFrame:
     fired = [(tor, "tor_exit_list")] + [(proxy == k, v) for k, v in PROXY_SIGNALS.items()] + [(category == "known-vpn", "asn_set_known_vpn"), (category == "hosting-datacenter", "asn_set_hosting_datacenter")]
     fired += [(odd_usage, "anomaly_trigger"), (odd_category, "anomaly_trigger"), (odd_proxy, "anomaly_trigger")]
     signals = F.array_compact(F.array(*(F.when((F.col("status") == "assessed") & on, F.struct(F.lit(name).alias("signal"), F.lit(WEIGHTS[name]).alias("weight"))) for on, name in fired)))
-    rows = rows.drop("__number", "__six").withColumn("signals", signals)
+    rows = rows.drop("__key").withColumn("signals", signals)
     confidence = F.least(F.lit(100), F.aggregate("signals", F.lit(0), lambda a, s: a + s["weight"]))
     anomalous = F.exists("signals", lambda s: s["signal"] == "anomaly_trigger")
     network = (

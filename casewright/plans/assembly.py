@@ -59,17 +59,36 @@ def _ip(number):
     return F.concat_ws(".", *(F.shiftright(number, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)))
 
 
+def _hex(number):
+    return F.lower(F.hex(number))
+
+
 def _looked_up(s, d):
-    """Addresses of events, looked up in lists made of events and suppliers."""
+    """Addresses of events, looked up in lists made of events and suppliers.
+
+    Every sixth address is an IPv6 one, spelt in two ways; each supplier has nested networks of both families.
+    """
     k = F.col("event_id")
-    number = k * 997 % 20_000_000 + 335_544_320
-    events = table(s, d, "events").select("event_id", _ip(number).alias("ip"))
+    groups = [k % 200, k * 37 % 65536, F.floor(k / 65536)]
+    short = F.concat(F.lit("2606:4700:"), F.concat_ws(":", *map(_hex, groups)), F.lit("::"), _hex(k % 65536))
+    full = F.upper(F.concat(F.lit("2606:4700:"), F.concat_ws(":", *(F.lpad(F.hex(g), 4, "0") for g in groups)), F.lit(":0:0:"), F.hex(k % 65536)))
+    four = _ip(k * 997 % 20_000_000 + 335_544_320)
+    events = table(s, d, "events").select("event_id", F.when(k % 6 != 5, four).when(k % 2 == 0, short).otherwise(full).alias("ip"))
+    listed = table(s, d, "events").select("event_id", F.when(k % 6 != 5, four).otherwise(short).alias("ip"))
     proxy = F.get(F.array(*map(F.lit, ("tor", "VPN", "PUB", "RES", "WEB", "DCH", "SES", "XYZ"))), (k % 8).cast("int"))
-    proxies = events.where(k % 9 == 1).select("ip", proxy.alias("proxy_type"), F.get(F.array(*map(F.lit, ("ISP", "COM", "MOB", "DCH"))), (k % 4).cast("int")).alias("usage_type"))
-    sup, asn = table(s, d, "supplier"), F.col("s_suppkey") + 64512
-    networks = sup.select((F.col("s_suppkey") * 100_000 + 335_544_320).alias("ip_start"), (F.col("s_suppkey") * 100_000 + 335_544_320 + 90_000).alias("ip_end"), asn.alias("asn"))
-    authority = sup.where("s_suppkey % 4 <> 3").select(asn.alias("asn"), F.when(F.col("s_suppkey") % 4 == 0, "known-vpn").when(F.col("s_suppkey") % 4 == 1, "hosting-datacenter").otherwise("other").alias("category"), F.col("s_name").alias("organization"))
-    return N.assess(N.with_lookups(events, events.where(k % 17 == 0), networks, authority, proxies))
+    proxies = listed.where(k % 9 == 1).select("ip", proxy.alias("proxy_type"), F.get(F.array(*map(F.lit, ("ISP", "COM", "MOB", "DCH"))), (k % 4).cast("int")).alias("usage_type"))
+    n = F.col("s_suppkey")
+    base, own = n * 65536 + 335_544_320, n % 16
+    six = F.concat(F.lit("2606:4700:"), _hex(n))
+    nested = [
+        (F.concat(_ip(base), F.lit("/16")), 0), (F.concat(_ip(base + own * 4096), F.lit("/20")), 1), (F.concat(_ip(base + own * 4096 + own * 256), F.lit("/24")), 2),
+        (F.concat(six, F.lit("::/48")), 0), (F.concat(six, F.lit(":"), _hex(own * 4096), F.lit("::/52")), 1),
+    ]
+    sup = table(s, d, "supplier")
+    networks = sup.select(F.explode(F.array(*(F.struct(network.alias("network"), (n + 64512 + level * 100_000).alias("asn")) for network, level in nested))).alias("x")).select("x.*")
+    authority = sup.where(n % 4 != 3).select((n + 64512).alias("asn"), F.when(n % 4 == 0, "known-vpn").when(n % 4 == 1, "hosting-datacenter").otherwise("other").alias("category"), F.col("s_name").alias("organization"))
+    authority = authority.unionByName(sup.where(n % 3 == 0).select((n + 164512).alias("asn"), F.lit("hosting-datacenter").alias("category"), F.col("s_name").alias("organization")))
+    return N.assess(N.with_lookups(events, listed.where(k % 17 == 0), networks, authority, proxies))
 
 
 def _nodes(s, d):
@@ -148,9 +167,11 @@ _COLLECTED = with_views("targets", "collected").replace("AS raw_data FROM lineit
 _SIGNALS = _COLLECTED + """, signals AS (SELECT target_id AS case_id, CASE WHEN messages > 0 THEN 0.0::DOUBLE END AS classifier_score, 'allow' AS decision, CASE WHEN messages > 0 THEN 1 END AS message_count, 0 AS flagged_count, platform_count, false AS is_tor, false AS is_vpn, CASE WHEN p_known THEN account_age_days END AS account_age_days, friend_count,
   false AS late_night_activity, len(leads) AS game_history_flags, 0 AS prior_case_flags, NULL::INT AS graph_lead_platforms, false AS graph_has_contradictions, leads FROM (SELECT sig.*, target_id IN (SELECT target_id FROM prof) AS p_known FROM sig))
 """ + _RISK[_RISK.index(",\n raw AS"):]
-_LOOKUPS = """WITH ev AS (SELECT event_id, event_id * 997 % 20000000 AS n FROM events),
- a AS (SELECT event_id, event_id % 17 = 0 AS tor, CASE WHEN s_suppkey IS NOT NULL THEN s_suppkey + 64512 END AS asn, CASE WHEN event_id % 9 = 1 THEN ['TOR', 'VPN', 'PUB', 'RES', 'WEB', 'DCH', 'SES', 'XYZ'][event_id % 8 + 1] END AS pt, CASE WHEN event_id % 9 = 1 THEN ['ISP', 'COM', 'MOB', 'DCH'][event_id % 4 + 1] ELSE '' END AS usage,
-  CASE s_suppkey % 4 WHEN 0 THEN 'known-vpn' WHEN 1 THEN 'hosting-datacenter' WHEN 2 THEN 'other' ELSE '' END AS cat FROM ev LEFT JOIN supplier ON n BETWEEN s_suppkey * 100000 AND s_suppkey * 100000 + 90000),
+_LOOKUPS = """WITH ev AS (SELECT event_id, event_id % 6 = 5 AS six, event_id * 997 % 20000000 AS n FROM events),
+ o AS (SELECT event_id, CASE WHEN six THEN event_id % 200 ELSE n // 65536 END AS owner, CASE WHEN six THEN event_id * 37 % 65536 // 4096 ELSE n % 65536 // 4096 END AS part, CASE WHEN NOT six THEN n % 4096 // 256 END AS deep FROM ev),
+ w AS (SELECT event_id, s_suppkey, CASE WHEN part <> s_suppkey % 16 THEN 0 WHEN deep = s_suppkey % 16 THEN 2 ELSE 1 END AS level FROM o LEFT JOIN supplier ON s_suppkey = owner),
+ a AS (SELECT event_id, event_id % 17 = 0 AS tor, s_suppkey + 64512 + level * 100000 AS asn, CASE WHEN event_id % 9 = 1 THEN ['TOR', 'VPN', 'PUB', 'RES', 'WEB', 'DCH', 'SES', 'XYZ'][event_id % 8 + 1] END AS pt, CASE WHEN event_id % 9 = 1 THEN ['ISP', 'COM', 'MOB', 'DCH'][event_id % 4 + 1] ELSE '' END AS usage,
+  CASE WHEN level = 0 THEN CASE s_suppkey % 4 WHEN 0 THEN 'known-vpn' WHEN 1 THEN 'hosting-datacenter' WHEN 2 THEN 'other' ELSE '' END WHEN level = 1 AND s_suppkey % 3 = 0 THEN 'hosting-datacenter' ELSE '' END AS cat FROM w),
  b AS (SELECT *, coalesce(pt, '') AS proxy, cat IN ('known-vpn', 'hosting-datacenter') AS rec FROM a),
  c AS (SELECT *, (usage IN ('ISP', 'COM') AND (rec OR proxy IN ('DCH', 'RES', 'PUB', 'WEB')) AND NOT tor AND proxy NOT IN ('VPN', 'TOR'))::INT + (cat = 'other')::INT + (proxy = 'XYZ')::INT AS odd FROM b),
  e AS (SELECT *, least(100, 60 * tor::INT + CASE proxy WHEN 'TOR' THEN 55 WHEN 'VPN' THEN 40 WHEN 'PUB' THEN 35 WHEN 'RES' THEN 35 WHEN 'WEB' THEN 30 WHEN 'DCH' THEN 35 ELSE 0 END + CASE cat WHEN 'known-vpn' THEN 40 WHEN 'hosting-datacenter' THEN 30 ELSE 0 END + 15 * odd) AS confidence FROM c)

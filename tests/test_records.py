@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.functions.text import json_text
-from casewright.operators import custody, enrichment, redaction, timeline
+from casewright.operators import addresses, custody, redaction, timeline
 
 # The masks as plain patterns, without the bounds that spare retries.
 MASKS = {
@@ -93,10 +93,10 @@ def test_json_text(spark, text):
 
 def test_global_addresses(spark):
     rng = random.Random(2)
-    nets = [ipaddress.ip_network(n) for n in (*enrichment.RESERVED, *enrichment.ASSIGNED, "224.0.0.0/4", "192.88.99.0/24", "100.128.0.0/10", "8.0.0.0/8")]
+    nets = [ipaddress.ip_network(n) for n in (*addresses.RESERVED_V4, *addresses.ASSIGNED_V4, "224.0.0.0/4", "192.88.99.0/24", "100.128.0.0/10", "8.0.0.0/8")]
     ips = {str(a) for n in nets for a in (n[0], n[-1], n[rng.randrange(n.num_addresses)])} | {str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(300)}
     ips |= {str(ipaddress.ip_address(int(n[0]) - 1)) for n in nets if int(n[0])} | {str(ipaddress.ip_address(int(n[-1]) + 1)) for n in nets if int(n[-1]) < 2**32 - 1}
-    rows = spark.createDataFrame([(x,) for x in sorted(ips)], "ip string").select("ip", enrichment.is_global(enrichment.ipv4_number(F.col("ip"))).alias("g")).collect()
+    rows = spark.createDataFrame([(x,) for x in sorted(ips)], "ip string").select("ip", addresses.is_global(addresses.address_key(F.col("ip"))).alias("g")).collect()
     assert {r.ip: r.g for r in rows} == {x: ipaddress.ip_address(x).is_global for x in ips}
 
 
