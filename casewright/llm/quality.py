@@ -118,17 +118,20 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         )
 
     def lines(t: Column) -> Column:
-        worded = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-        return let(worded, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), F.filter(a, lambda x: ~line_fails(x)).alias("good"), F.size(a).alias("n")))
+        def of(every: Column, fails: Column) -> Column:
+            good = F.filter(every, lambda x, k: x.rlike(WORD) & ~F.get(fails, k))
+            worded = F.filter(every, lambda x: x.rlike(WORD))
+            return let(worded, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), good.alias("good"), F.size(a).alias("n"), fails.alias("fails")))
+
+        return let(F.split(t, "\n", -1), lambda every: let(F.transform(every, lambda x: x.rlike(WORD) & line_fails(x)), lambda fails: of(every, fails)))
 
     out = base.select("doc_id", "text", measures(F.col("text")).alias("m"), lines(F.col("text")).alias("l"), F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"))
-    out = out.select("doc_id", "text", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.good").alias("good"), F.col("l.n").alias("n_lines"))
+    out = out.select("doc_id", "text", "m.*", "n_symbols", "l.n_dup_lines", F.col("l.good").alias("good"), F.col("l.n").alias("n_lines"), F.col("l.fails").alias("fails"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
     out = out.withColumn("left_chars", F.length(F.regexp_replace(F.array_join("good", "\n"), f"{SPACE}+", "")))
     out = out.withColumn("loss", F.when(F.col("word_chars") == 0, F.lit(0.0)).otherwise(1 - F.col("left_chars") / F.col("word_chars")))
-    every = F.split("text", "\n", -1)
-    # equal lines pass or fail together
-    stays = let(F.array_except(F.filter(every, lambda x: x.rlike(WORD)), F.col("good")), lambda failing: F.array_join(F.filter(every, lambda x: ~F.array_contains(failing, x)), "\n"))
+    # the flags of the pass that judged the lines, so nothing is searched for
+    stays = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.get(F.col("fails"), k)), "\n")
     clean = F.when(F.col("left_chars") == 0, "").when(F.size("good") == F.col("n_lines"), F.col("text")).otherwise(stays)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
