@@ -10,7 +10,7 @@ from ..operators.scratch import Scratch
 from ..sources import domain as S
 from ..sources.domain import with_views
 from ..sources.tables import table
-from .linkage import _NET, ORACLE_SQL as _LINKED, _edges
+from .linkage import _GRAPH, ORACLE_SQL as _LINKED, _edges, _paths, _start
 from .scoring import _RISK, _TIER
 
 _AS_OF = "2001-01-01 00:00:00"
@@ -102,6 +102,13 @@ def _members(s, d):
     return c.select(F.col("c_custkey").alias("member_id"), F.concat(F.lit("entity-"), F.col("c_nationkey").cast("string")).alias("entity_id"), F.concat_ws(":", platform, "c_name").alias("profile_id"), platform.alias("platform"), F.col("c_name").alias("username"), F.lit('{"supporting_edges": [{"a": "x", "b": "y", "strength": 0.5}]}').alias("justification"))
 
 
+def _far_path(s, d):
+    """The path from the node with the most edges to the one farthest from it."""
+    edges, seen = _paths(s, d)
+    far = seen.orderBy(F.desc("hops"), "node").first()
+    return G.path_with_evidence(edges, _start(edges), far.node if far else -1)
+
+
 def _graphs(s, d):
     """The graph of each nation's customers: edges with both ends in it."""
     nodes = _nodes(s, d)
@@ -147,8 +154,8 @@ QUERIES = {
     "audit_events": lambda s, d: O.audit_events(S.custody(s, d).where("artifact_id is not null"), "artifact_collected", "artifact_id", "sha256").groupBy("event", "level", "analyst").agg(F.count("*").alias("n"), F.min("details").alias("first_details")),
     "protected_values": lambda s, d: D.tagged_values(*_texts(s, d)).select("case_id", F.array_join("values", "|").alias("tagged")),
     "case_export": _export,
-    "path_with_evidence": lambda s, d: G.path_with_evidence(_edges(s, d), 1, 5).select(F.col("position").cast("long").alias("position"), "node_from", "node_to", "strength", "is_lead", "has_contradiction"),
-    "edge_justification": lambda s, d: G.edge_justification(_edges(s, d), _nodes(s, d).select((F.col("node") + 1).alias("a"), F.col("node").alias("b"))),
+    "path_with_evidence": lambda s, d: _far_path(s, d).select(F.col("position").cast("long").alias("position"), "node_from", "node_to", "strength", "is_lead", "has_contradiction"),
+    "edge_justification": lambda s, d: G.edge_justification(_edges(s, d), _nodes(s, d).select((F.col("node") + 1).alias("a"), F.col("node").alias("b")).unionByName(_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b")))),
     "canonical_graph": lambda s, d: G.canonical_graph(*_graphs(s, d)).select("case_id", F.get_json_object("graph", "$.node_count").cast("long").alias("nodes"), F.get_json_object("graph", "$.edge_count").cast("long").alias("edges")),
     "graph_links": lambda s, d: G.force_layout(_nodes(s, d).withColumns({"username": F.lit(""), "entity_id": F.lit("")}), _graphs(s, d)[1])[1],
     "resolved_entities": lambda s, d: A.stored_entities(S.entities(s, d), _members(s, d)).select("entity_id", "canonical_handle", F.size("members").cast("long").alias("members"), F.get(F.col("members"), F.lit(0))["member_id"].alias("first_member")),
@@ -179,9 +186,9 @@ _LOOKUPS = """WITH ev AS (SELECT event_id, event_id % 6 = 5 AS six, event_id * 9
 _TAGGED = with_views("cases", "targets", "analyses") + """, v AS (SELECT case_id, 0 AS surface, target_id AS r, username AS value FROM targets WHERE target_id % 3 = 0 UNION ALL SELECT case_id, 1, 0, case_name FROM cases UNION ALL SELECT case_id, 2, result_id, (result_id % 7)::VARCHAR FROM analyses JOIN targets USING (target_id) WHERE result_id % 5 = 0),
  f AS (SELECT case_id, value, min((surface, r)) AS spot FROM v GROUP BY 1, 2)
 """
-_INSIDE = _NET + ", inside AS (SELECT x.entity AS case_id, e.* FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = y.entity)"
+_INSIDE = _GRAPH + ", inside AS (SELECT x.entity AS case_id, e.* FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = y.entity)"
 _UUID5 = "(WITH u AS (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || {0}::BLOB) AS h) SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM u)"
-_REACHED = _NET.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs(node, hops) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT e.other, hops + 1 FROM bfs JOIN ends e ON e.node = bfs.node WHERE hops < 12), d AS (SELECT node, min(hops) AS hops FROM bfs GROUP BY 1), v AS (SELECT d.node, d.hops, min(q.node) AS via FROM d LEFT JOIN ends e ON e.other = d.node LEFT JOIN d q ON q.node = e.node AND q.hops = d.hops - 1 GROUP BY 1, 2)"
+_REACHED = _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs(node, hops) AS (SELECT node, 0::BIGINT FROM begin_at UNION SELECT e.other, hops + 1 FROM bfs JOIN ends e ON e.node = bfs.node WHERE hops < 40), d AS (SELECT node, min(hops) AS hops FROM bfs GROUP BY 1), v AS (SELECT d.node, d.hops, min(q.node) AS via FROM d LEFT JOIN ends e ON e.other = d.node LEFT JOIN d q ON q.node = e.node AND q.hops = d.hops - 1 GROUP BY 1, 2)"
 _NOTES = with_views("notes") + ", ok AS (SELECT note_id AS log_id, created_at AS timestamp, 'analyst_note_added' AS action, case_id, analyst, 'note ' || note_id || coalesce(' on finding ' || finding_ref, '') || coalesce(' (target ' || target_id || ')', '') AS notes FROM notes WHERE trim(note) <> '')"
 _NOTE_JSON = """'{{"action":"' || num.action || '","analyst":"' || num.analyst || '","artifact_id":null,"case_id":"' || num.case_id || '","notes":"' || num.notes || '","previous_hash":"' || {0} || '","sha256":null,"target_id":null,"timestamp":"' || num.timestamp || '"}}'"""
 
@@ -199,11 +206,11 @@ ORACLE_SQL = {
     "notes_custody": _NOTES.replace("WITH ", "WITH RECURSIVE ", 1) + f", num AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY log_id) AS n FROM ok), chain AS (SELECT case_id, log_id, notes, n, sha256({_NOTE_JSON.format(chr(39) + '0' * 64 + chr(39))}) AS entry_hash FROM num WHERE n = 1 UNION ALL SELECT num.case_id, num.log_id, num.notes, num.n, sha256({_NOTE_JSON.format('c.entry_hash')}) FROM chain c JOIN num ON num.case_id = c.case_id AND num.n = c.n + 1) SELECT case_id, log_id, notes, entry_hash FROM chain",
     "audit_events": with_views("custody") + """SELECT 'artifact_collected' AS event, 'info' AS level, analyst, count(*) AS n, min('{"artifact_id":' || artifact_id || ',"sha256":"' || substr(sha256, 1, 16) || '..."}') AS first_details FROM custody WHERE artifact_id IS NOT NULL GROUP BY 3""",
     "protected_values": _TAGGED + "SELECT case_id, string_agg(value, '|' ORDER BY spot) AS tagged FROM f GROUP BY 1",
-    "path_with_evidence": _REACHED + ", way AS (SELECT * FROM v WHERE node = 5 UNION ALL SELECT v.* FROM way JOIN v ON v.node = way.via) SELECT hops - 1 AS position, via AS node_from, node AS node_to, strength, is_lead, has_contradiction FROM way JOIN edges ON a = least(node, via) AND b = greatest(node, via)",
+    "path_with_evidence": _REACHED + ", way AS (SELECT * FROM (SELECT * FROM v ORDER BY hops DESC, node LIMIT 1) UNION ALL SELECT v.* FROM way JOIN v ON v.node = way.via) SELECT hops - 1 AS position, via AS node_from, node AS node_to, strength, is_lead, has_contradiction FROM way JOIN edges ON a = least(node, via) AND b = greatest(node, via)",
     "shortest_path": _REACHED + " SELECT node, hops, via FROM v",
     "evidence_ids": with_views("artifacts") + f"SELECT artifact_id, {_UUID5.format(chr(40) + 'artifact_id || ' + chr(39) + ':' + chr(39) + ' || sha256)')} AS evidence_id FROM artifacts",
     "entity_promotion": "SELECT 'entity-' || component_id AS entity_id, first_member::VARCHAR AS canonical_handle, 'A. Analyst' AS promoted_by, members, mean_strength FROM (" + _CANDIDATES + ")",
-    "edge_justification": _NET + "SELECT n.node + 1 AS a, n.node AS b, strength, is_lead, has_contradiction FROM nodes n LEFT JOIN edges e ON e.a = n.node AND e.b = n.node + 1",
+    "edge_justification": _GRAPH + "SELECT n.node + 1 AS a, n.node AS b, strength, is_lead, has_contradiction FROM nodes n LEFT JOIN edges e ON e.a = n.node AND e.b = n.node + 1 UNION ALL SELECT b, a, strength, is_lead, has_contradiction FROM edges",
     "canonical_graph": _INSIDE + "SELECT n.case_id, n.nodes, coalesce(m.edges, 0) AS edges FROM (SELECT entity AS case_id, count(*) AS nodes FROM nodes GROUP BY 1) n LEFT JOIN (SELECT case_id, count(*) AS edges FROM inside GROUP BY 1) m USING (case_id)",
     "graph_links": _INSIDE + "SELECT a AS source, b AS target, strength, is_lead AS lead, has_contradiction AS contradicted FROM inside",
     "resolved_entities": with_views("entities") + "SELECT entity_id, canonical_handle, count(c_custkey) AS members, min(c_custkey) AS first_member FROM entities LEFT JOIN customer ON entity_id = 'entity-' || c_nationkey GROUP BY 1, 2",

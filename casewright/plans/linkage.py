@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import correlation as C, graph as G, matching as M
+from ..operators import correlation as C, graph as G, matching as M, overlap as O
 from ..operators.components import connected_components
 from ..operators.scratch import Scratch
 from ..sources import domain as D
@@ -13,8 +13,10 @@ from ..sources.domain import with_views
 from ..sources.tables import table
 
 
-#: Strength that the made-up evidence of the graph queries must reach.
-THRESHOLD = 0.2
+#: Strength that the made-up evidence of the graph queries needs to be a lead, and to make a member.
+LEAD, THRESHOLD = 0.92, 0.95
+#: Network score that the pairs of ``network_lead_pairs`` need.
+NETWORK = 0.12
 
 
 def _scored(s, d):
@@ -30,9 +32,21 @@ def _kept_pairs(s, d):
 
 
 def _edges(s, d):
-    """Edges with made-up evidence, for the graph queries: pairs sharing a node; leads share three or more."""
-    shared = C.network_overlap(D.connections(s, d))
-    return shared.select("a", "b", F.round("score", 6).alias("strength"), (F.col("shared") >= 3).alias("is_lead"), ((F.col("a") + F.col("b")) % 7 == 0).alias("has_contradiction"))
+    """Edges with made-up evidence, for the graph queries: pairs with a purchase in common, by prefixes."""
+    shared = O.overlapping(D.purchases(s, d))
+    strength = F.round(F.least(F.lit(1.0), 10 * F.col("score")), 6)
+    return shared.select("a", "b", strength.alias("strength"), (strength >= LEAD).alias("is_lead"), ((F.col("a") + F.col("b")) % 7 == 0).alias("has_contradiction"))
+
+
+def _start(edges):
+    """The node with the most edges, the smallest of several."""
+    most = G.incidences(edges).groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").first()
+    return most.node if most else -1
+
+
+def _paths(s, d, **limits):
+    edges = Scratch(s, "edges").keep(_edges(s, d), "edges")
+    return edges, G.shortest_paths(edges, _start(edges), **limits)
 
 
 def _nodes(s, d):
@@ -83,19 +97,22 @@ def _handle_pairs(s, d):
 
 _ENTROPY = "(SELECT -sum(n / t * log2(n / t)) FROM (SELECT count(*)::DOUBLE AS n, length({0})::DOUBLE AS t FROM unnest(string_split({0}, '')) u(ch) WHERE ch <> '' GROUP BY ch))"
 _WEIGHT = "CASE WHEN h BETWEEN 18 AND 22 THEN 0.2 WHEN h BETWEEN 9 AND 17 THEN 0.4 WHEN h BETWEEN 0 AND 5 THEN 1.0 ELSE 0.6 END::DOUBLE"
-_NET = with_views("connections", "avatars") + """,
- deg AS (SELECT node, count(*) AS degree FROM connections GROUP BY 1), w AS (SELECT profile_id, node, degree, CASE WHEN degree <= 1 THEN 1.0 ELSE 1 / log2(degree + 1) END::DOUBLE AS weight FROM connections JOIN deg USING (node)),
- sz AS (SELECT profile_id, count(*) AS size FROM connections GROUP BY 1),
+_OVERLAP = """,
+ deg AS (SELECT node, count(*) AS degree FROM {0} GROUP BY 1), w AS (SELECT profile_id, node, degree, CASE WHEN degree <= 1 THEN 1.0 ELSE 1 / log2(degree + 1) END::DOUBLE AS weight FROM {0} JOIN deg USING (node)),
+ sz AS (SELECT profile_id, count(*) AS size FROM {0} GROUP BY 1),
  met AS (SELECT l.profile_id AS a, r.profile_id AS b, count(*) AS shared, count(*) FILTER (WHERE l.degree <= 20) AS distinctive, sum(l.weight) AS evidence FROM w l JOIN w r ON l.node = r.node AND l.profile_id < r.profile_id GROUP BY 1, 2),
- net AS (SELECT a, b, shared, distinctive, x.size + y.size - shared AS together, least(1.0::DOUBLE, evidence / log2(x.size + y.size - shared + 1)) AS score FROM met JOIN sz x ON x.profile_id = a JOIN sz y ON y.profile_id = b),
- edges AS (SELECT a, b, round(score, 6) AS strength, shared >= 3 AS is_lead, (a + b) % 7 = 0 AS has_contradiction FROM net),
+ net AS (SELECT a, b, shared, distinctive, x.size + y.size - shared AS together, least(1.0::DOUBLE, evidence / log2(x.size + y.size - shared + 1)) AS score FROM met JOIN sz x ON x.profile_id = a JOIN sz y ON y.profile_id = b)"""
+_NET = with_views("connections", "avatars") + _OVERLAP.format("connections") + " "
+_GRAPH = with_views("purchases") + _OVERLAP.format("purchases") + f""",
+ edges AS (SELECT a, b, strength, strength >= {LEAD} AS is_lead, (a + b) % 7 = 0 AS has_contradiction FROM (SELECT a, b, round(least(1.0::DOUBLE, 10 * score), 6) AS strength FROM net)),
  ends AS (SELECT a AS node, b AS other, strength, is_lead, has_contradiction FROM edges UNION ALL SELECT b, a, strength, is_lead, has_contradiction FROM edges),
+ begin_at AS (SELECT node FROM ends GROUP BY 1 ORDER BY count(*) DESC, node LIMIT 1),
  nodes AS (SELECT c_custkey AS node, c_nationkey AS entity, c_mktsegment AS platform FROM customer)
 """
-_REACH = _NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk(node, root) AS (SELECT node, node FROM ends WHERE is_lead UNION SELECT e.other, w.root FROM walk w JOIN ends e ON e.node = w.node AND e.is_lead),
+_REACH = _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk(node, root) AS (SELECT node, node FROM ends WHERE is_lead UNION SELECT e.other, w.root FROM walk w JOIN ends e ON e.node = w.node AND e.is_lead),
  labels AS (SELECT node AS profile_id, min(root) AS component_id FROM walk GROUP BY 1), groups AS (SELECT node AS profile_id, coalesce(component_id, node) AS component_id FROM nodes LEFT JOIN labels ON profile_id = node),
  inside AS (SELECT e.* FROM ends e JOIN groups x ON x.profile_id = e.node JOIN groups y ON y.profile_id = e.other WHERE x.component_id = y.component_id),
- seen AS (SELECT node, count(*) FILTER (WHERE is_lead AND NOT has_contradiction AND strength >= 0.2) AS clean, count(*) FILTER (WHERE has_contradiction) AS contradicted, max(strength) FILTER (WHERE is_lead AND NOT has_contradiction AND strength >= 0.2) AS best_strength, sum(strength) FILTER (WHERE is_lead AND NOT has_contradiction AND strength >= 0.2) AS total FROM inside GROUP BY 1),
+ seen AS (SELECT node, count(*) FILTER (WHERE is_lead AND NOT has_contradiction AND strength >= 0.95) AS clean, count(*) FILTER (WHERE has_contradiction) AS contradicted, max(strength) FILTER (WHERE is_lead AND NOT has_contradiction AND strength >= 0.95) AS best_strength, sum(strength) FILTER (WHERE is_lead AND NOT has_contradiction AND strength >= 0.95) AS total FROM inside GROUP BY 1),
  big AS (SELECT component_id FROM groups GROUP BY 1 HAVING count(*) >= 2)
 """
 _BITS = "bit_count(xor(concat('0x', {0})::UBIGINT, concat('0x', {1})::UBIGINT))"
@@ -107,6 +124,7 @@ QUERIES = {
     "style_vector": _styles,
     "hour_overlap_pairs": lambda s, d: C.hour_overlap(D.hours(s, d)).withColumn("score", F.round("score", 9)),
     "network_overlap_pairs": lambda s, d: C.network_overlap(D.connections(s, d)).withColumn("score", F.round("score", 9)),
+    "network_lead_pairs": lambda s, d: O.overlapping(D.connections(s, d), 2, NETWORK).withColumn("score", F.round("score", 9)),
     "avatar_hamming_pairs": _avatar_pairs,
     "hash_match_first": _matched,
     "semantic_knn": _knn,
@@ -116,12 +134,12 @@ QUERIES = {
     "identity_components": _components,
     "graph_neighbours": lambda s, d: G.neighbours(_edges(s, d)),
     "graph_risk_inputs": lambda s, d: G.graph_summary(_edges(s, d), _nodes(s, d)),
-    "entity_subgraph": lambda s, d: G.entity_subgraph(_edges(s, d), _nodes(s, d), 3),
+    "entity_subgraph": lambda s, d: G.entity_subgraph(_edges(s, d), _nodes(s, d).select("node", F.col("platform").alias("entity")), "BUILDING"),
     "entity_members": lambda s, d: G.propose(_groups(s, d), _edges(s, d), THRESHOLD).select("component_id", "profile_id", "kept", "best_strength", "reason"),
     "entity_candidates": lambda s, d: G.candidates(G.propose(_groups(s, d), _edges(s, d), THRESHOLD)).withColumn("mean_strength", F.round("mean_strength", 9)),
     "entity_promotion": lambda s, d: G.promote(G.candidates(G.propose(_groups(s, d), _edges(s, d), THRESHOLD)), "A. Analyst").withColumn("mean_strength", F.round("mean_strength", 9)),
-    "shortest_path": lambda s, d: G.shortest_paths(_edges(s, d), 1).select("node", F.col("hops").cast("long").alias("hops"), "via"),
-    "shortest_path_bounded": lambda s, d: G.shortest_paths(_edges(s, d), 1, max_hops=3).select("node", F.col("hops").cast("long").alias("hops"), "via"),
+    "shortest_path": lambda s, d: _paths(s, d)[1].select("node", F.col("hops").cast("long").alias("hops"), "via"),
+    "shortest_path_bounded": lambda s, d: _paths(s, d, max_hops=3)[1].select("node", F.col("hops").cast("long").alias("hops"), "via"),
 }
 
 ORACLE_SQL = {
@@ -129,14 +147,15 @@ ORACLE_SQL = {
     "handle_rarity": with_views("handles") + ", e AS (SELECT handle, " + _ENTROPY.format("handle") + " AS ent, " + " + ".join(f"contains(lower(handle), '{p}')::INT" for p in X.COMMON_PARTS) + " AS parts FROM (SELECT lower(handle) AS handle FROM handles)) SELECT handle, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.6::DOUBLE * least(1.0::DOUBLE, ent / 4) + 0.4::DOUBLE * least(1.0::DOUBLE, length(handle) / 12)) * (1 - least(0.85::DOUBLE, parts * 0.4::DOUBLE)) * CASE WHEN regexp_matches(handle, '[0-9]{3,}') THEN 0.75 ELSE 1.0 END::DOUBLE)), 9) AS rarity FROM e",
     "hour_overlap_pairs": with_views("hours") + f", sets AS (SELECT profile_id, sum(1 << hour)::BIGINT AS mask FROM hours GROUP BY 1), m AS (SELECT mask, count(*) AS profiles FROM sets GROUP BY 1), hr AS (SELECT range AS h, {_WEIGHT.replace('h BETWEEN', 'range BETWEEN')} AS wt FROM range(24)) SELECT a.mask AS mask_a, b.mask AS mask_b, a.profiles AS profiles_a, b.profiles AS profiles_b, round(sum(wt) FILTER (WHERE (a.mask & b.mask & (1::BIGINT << h)) > 0) / sum(wt) FILTER (WHERE ((a.mask | b.mask) & (1::BIGINT << h)) > 0), 9) AS score FROM m a JOIN m b ON a.mask < b.mask AND (a.mask & b.mask) > 0, hr GROUP BY ALL",
     "network_overlap_pairs": _NET + "SELECT a, b, shared, distinctive, together, round(score, 9) AS score FROM net",
+    "network_lead_pairs": _NET + f"SELECT a, b, shared, distinctive, together, round(score, 9) AS score FROM net WHERE shared >= 2 AND score >= {NETWORK}",
     "avatar_hamming_pairs": _NET + f"SELECT x.profile_id AS a, y.profile_id AS b, {_BITS.format('x.phash', 'y.phash')} AS phash_bits, {_BITS.format('x.dhash', 'y.dhash')} AS dhash_bits FROM avatars x JOIN avatars y ON x.profile_id < y.profile_id WHERE {_BITS.format('x.phash', 'y.phash')} <= 8 OR {_BITS.format('x.dhash', 'y.dhash')} <= 8",
     "hash_match_first": _NET + f", q AS (SELECT DISTINCT phash AS query_hash FROM avatars), st AS (SELECT phash AS hash, 'stored-' || profile_id AS label, profile_id AS position FROM avatars), m AS (SELECT query_hash, label, {_BITS.format('query_hash', 'hash')}::INT AS distance, row_number() OVER (PARTITION BY query_hash ORDER BY position) AS rn FROM q JOIN st ON {_BITS.format('query_hash', 'hash')} <= 10) SELECT query_hash, label, distance, round(1 - distance / 64, 3) AS confidence, label IS NOT NULL AS requires_human_review, CASE WHEN label IS NULL THEN 'none' ELSE 'local' END AS layer, 'disabled' AS external_adapters FROM q LEFT JOIN (SELECT * FROM m WHERE rn = 1) USING (query_hash)",
     "semantic_knn": "WITH p AS (SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 5",
     "identity_components": _REACH + "SELECT * FROM labels WHERE profile_id <> component_id",
-    "graph_neighbours": _NET + "SELECT node, count(*) AS degree, string_agg(other::VARCHAR, ',' ORDER BY other) AS neighbours FROM ends GROUP BY 1",
-    "graph_risk_inputs": _NET + ", i AS (SELECT x.entity, x.platform AS pa, y.platform AS pb, e.*, is_lead AND NOT has_contradiction AS clean FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = y.entity), pl AS (SELECT entity, count(DISTINCT p) AS n FROM (SELECT entity, pa AS p FROM i WHERE clean UNION ALL SELECT entity, pb FROM i WHERE clean) GROUP BY 1) SELECT i.entity, count(*) AS edges, count(*) FILTER (WHERE clean) AS lead_edges, coalesce(any_value(n), 0) AS lead_platforms, max(strength) FILTER (WHERE clean) AS max_lead_strength, bool_or(has_contradiction) AS has_contradictions FROM i LEFT JOIN pl USING (entity) GROUP BY 1",
-    "entity_subgraph": _NET + "SELECT e.* FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = 3 AND y.entity = 3",
+    "graph_neighbours": _GRAPH + "SELECT node, count(*) AS degree, string_agg(other::VARCHAR, ',' ORDER BY other) AS neighbours FROM ends GROUP BY 1",
+    "graph_risk_inputs": _GRAPH + ", i AS (SELECT x.entity, x.platform AS pa, y.platform AS pb, e.*, is_lead AND NOT has_contradiction AS clean FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = y.entity), pl AS (SELECT entity, count(DISTINCT p) AS n FROM (SELECT entity, pa AS p FROM i WHERE clean UNION ALL SELECT entity, pb FROM i WHERE clean) GROUP BY 1) SELECT i.entity, count(*) AS edges, count(*) FILTER (WHERE clean) AS lead_edges, coalesce(any_value(n), 0) AS lead_platforms, max(strength) FILTER (WHERE clean) AS max_lead_strength, bool_or(has_contradiction) AS has_contradictions FROM i LEFT JOIN pl USING (entity) GROUP BY 1",
+    "entity_subgraph": _GRAPH + "SELECT e.* FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.platform = 'BUILDING' AND y.platform = 'BUILDING'",
     "entity_members": _REACH + "SELECT component_id, profile_id, coalesce(clean > 0, false) AS kept, best_strength, CASE WHEN clean > 0 THEN 'supported by an uncontradicted lead' WHEN contradicted > 0 THEN 'every supporting edge is contradicted' ELSE 'no lead edge reaches the threshold' END AS reason FROM groups JOIN big USING (component_id) LEFT JOIN seen ON node = profile_id",
     "entity_candidates": _REACH + "SELECT component_id, count(*) FILTER (WHERE clean > 0) AS members, count(*) FILTER (WHERE coalesce(clean, 0) = 0) AS excluded, round(sum(total) / sum(clean), 9) AS mean_strength, min(profile_id) FILTER (WHERE clean > 0) AS first_member FROM groups JOIN big USING (component_id) LEFT JOIN seen ON node = profile_id GROUP BY 1 HAVING count(*) FILTER (WHERE clean > 0) >= 2",
-    "shortest_path_bounded": _NET.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs(node, hops) AS (SELECT 1::BIGINT, 0::BIGINT FROM (SELECT 1 FROM ends WHERE node = 1 LIMIT 1) UNION SELECT e.other, hops + 1 FROM bfs JOIN ends e ON e.node = bfs.node WHERE hops < 3), d AS (SELECT node, min(hops) AS hops FROM bfs GROUP BY 1) SELECT d.node, d.hops, min(p.node) AS via FROM d LEFT JOIN ends e ON e.other = d.node LEFT JOIN d p ON p.node = e.node AND p.hops = d.hops - 1 GROUP BY 1, 2",
+    "shortest_path_bounded": _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs(node, hops) AS (SELECT node, 0::BIGINT FROM begin_at UNION SELECT e.other, hops + 1 FROM bfs JOIN ends e ON e.node = bfs.node WHERE hops < 3), d AS (SELECT node, min(hops) AS hops FROM bfs GROUP BY 1) SELECT d.node, d.hops, min(p.node) AS via FROM d LEFT JOIN ends e ON e.other = d.node LEFT JOIN d p ON p.node = e.node AND p.hops = d.hops - 1 GROUP BY 1, 2",
 }

@@ -107,6 +107,13 @@ def connections(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("profile_id"), F.col("l_partkey").alias("node")).distinct()
 
 
+def purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles (customers) and what hardly anyone else has: a part of one supplier in a band of quantities."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.floor(F.col("l_quantity") / 3).cast("string")).alias("node"))
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("profile_id"), "node").distinct()
+
+
 def handles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_name").alias("handle")).agg(F.min("p_partkey").alias("profile_id"))
 
@@ -174,6 +181,7 @@ SQL = {
     "probed": f"SELECT conv_id AS profile_id, turn AS message_index, CASE WHEN turn % 3 = 0 THEN concat_ws(' ', text, coalesce({list(PROBES)}[conv_id % 4 + turn % 2 + 1], '')) ELSE text END AS text FROM conversations",
     "hours": "SELECT DISTINCT user_id AS profile_id, hour(ts) AS hour FROM events",
     "connections": "SELECT DISTINCT o_custkey AS profile_id, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    "purchases": "SELECT DISTINCT o_custkey AS profile_id, concat_ws(':', l_partkey, l_suppkey, floor(l_quantity / 3)::BIGINT) AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "handles": "SELECT min(p_partkey) AS profile_id, p_name AS handle FROM part GROUP BY p_name",
     "signals": "SELECT c_custkey AS case_id, CASE WHEN c_custkey % 6 <> 0 THEN (c_custkey % 10) / 10.0::DOUBLE END AS classifier_score, CASE WHEN c_custkey % 10 >= 6 THEN 'escalate' ELSE 'allow' END AS decision, c_custkey % 25 AS message_count, c_custkey % 4 AS flagged_count, c_custkey % 5 + 1 AS platform_count, c_custkey % 7 = 0 AS is_tor, c_custkey % 5 = 0 AS is_vpn, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 120 END AS account_age_days, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey * 3 % 400 END AS friend_count, c_custkey % 4 = 0 AS late_night_activity, c_custkey % 3 AS game_history_flags, c_custkey % 5 - 1 AS prior_case_flags, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END AS graph_lead_platforms, c_custkey % 3 = 1 AS graph_has_contradictions FROM customer",
     "avatars": f"SELECT e.vec_id AS profile_id, {_P} || substr('0123456789abcdef', e.vec_id % 16 + 1, 1) AS phash, {_D} AS dhash FROM embeddings e JOIN embeddings b ON b.vec_id = e.vec_id - e.vec_id % 3 WHERE len(e.embedding) = 64 AND len(b.embedding) = 64",
