@@ -9,12 +9,11 @@ weights the bound may fail; then ``candidates`` must be given by the caller.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
-from . import blocks
+from . import blocks, overlap
 from .components import connected_components
 from .scratch import Scratch
 
@@ -41,21 +40,27 @@ def profiles(df: DataFrame) -> DataFrame:
 def network_candidates(p: DataFrame) -> DataFrame:
     """Pairs that share a connection and may be a lead by it.
 
-    Style needs messages of both. Without them, handle below ``MIN_USERNAME`` and timing leave a lead only
-    to a full network signal: shared weights of at least log2(connections + 1). A profile without messages
-    therefore leaves out its most popular connections as long as their weights stay below that: the least
-    popular connection of such a pair is then still kept on both sides.
+    What the other signals can add at most leaves a network score that a profile's partners must reach: style
+    by its messages, timing by its hours, the handle by its rarity (near avatars are candidates of their own).
+    That score is a weight to be shared, so pairs meet under prefixes of their connections, the least
+    popular first, and only where enough can follow; very popular connections are split (see ``overlap``).
+    A profile with messages, hours and a rare handle may be a lead by any connection: that is the cost.
     """
-    spoken = F.coalesce(F.size("messages") > 0, F.lit(False))
+    n = F.coalesce(F.greatest(F.size("messages"), F.lit(0)), F.lit(0))
+    style = F.when(n >= MIN_MESSAGES, 1.0).otherwise(n / F.lit(float(MIN_MESSAGES)) * 0.5)
+    timing = F.when(F.coalesce(F.size("active_hours") > 0, F.lit(False)), 1.0).otherwise(0.0)
+    handle = F.when(F.coalesce(F.length("username") > 0, F.lit(False)), (X.handle_rarity(F.col("username")) + 1) / 2).otherwise(0.0)
+    left = (F.lit(LEAD) - WEIGHTS["stylometry"] * style - WEIGHTS["timing"] * timing - WEIGHTS["username"] * handle) / WEIGHTS["network"]
     own = F.coalesce(F.try_element_at("connection_degrees", F.col("node")), F.lit(1))
-    side = p.select("profile_id", spoken.alias("spoken"), F.size("connections").alias("size"), "connection_degrees", F.explode("connections").alias("node"))
-    side = side.select("profile_id", "spoken", "size", "node", own.alias("degree"))
-    popular = side.groupBy("node").agg(F.max("degree").alias("most"))
-    upto = Window.partitionBy("profile_id").orderBy(F.desc("most"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum(X.degree_weight(F.col("degree"))).over(upto)
-    kept = side.join(popular, "node").withColumn("running", running).where(F.col("spoken") | (F.col("running") >= 0.999 * F.log2(F.col("size") + 1)))
-    side = kept.select("profile_id", "node")
-    return _pairs(side, side, ["node"])
+    side = p.withColumn("least", F.greatest(F.lit(0.0), left)).where("least <= 1.000000001").select("profile_id", "least", F.size("connections").alias("size"), "connection_degrees", F.explode("connections").alias("node"))
+    side = side.select("profile_id", "least", "size", "node", X.degree_weight(own).alias("weight"), own.alias("degree"))
+    popular = side.groupBy("node").agg(F.max("degree").alias("rank"))
+    need = F.col("least") * F.log2(F.col("size") + 1)
+    entries = overlap.prefixes(side.join(popular, "node").select("profile_id", "node", "rank", "weight", "size", "least", need.alias("need")))
+    most = F.least("l.rest", "r.rest")
+    # of a network score, capped at 1, no more than the weight that may follow over the least union
+    together = F.col("l.size") + F.col("r.size") - F.least("l.rest_n", "r.rest_n")
+    return overlap.meetings(entries.select("profile_id", "node", "size", "least", "rest_n", "rest"), most >= F.greatest("l.least", "r.least") * F.log2(together + 1) * overlap.SLACK)
 
 
 def avatar_candidates(p: DataFrame) -> DataFrame:
@@ -116,35 +121,36 @@ def username_candidates(p: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None = None) -> DataFrame:
-    l, r = left.alias("l"), right.alias("r")
-    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]) & (F.col("l.profile_id") < F.col("r.profile_id"))
-    joined = l.join(r, on if more is None else on & more)
-    return joined.select(F.col("l.profile_id").alias("a"), F.col("r.profile_id").alias("b")).distinct()
-
-
 def lead_candidates(p: DataFrame) -> DataFrame:
     """A superset of all leads under the default weights."""
     return network_candidates(p).unionByName(avatar_candidates(p)).unionByName(username_candidates(p)).distinct()
 
 
+def features(p: DataFrame) -> DataFrame:
+    """What the signals need of each profile, computed once: no message travels with a pair."""
+    number = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    return p.select(
+        "profile_id", F.lower("username").alias("name"), X.handle_rarity(F.col("username")).alias("rarity"), number("messages").alias("n_messages"), X.style_vector(F.col("messages")).alias("style"), "embedding",
+        "active_hours", "connections", "connection_degrees", "avatar_phash", "avatar_dhash",
+    )
+
+
 def _signal(name: str, raw: Column, confidence: Column, rationale: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), raw.cast("double").alias("raw"), confidence.cast("double").alias("confidence"), rationale.alias("rationale"))
 
 
 def signals(default_avatars: tuple[str, ...] = ()) -> dict[str, Column]:
-    """The five signals of a row with structs ``x`` and ``y``; absent data has confidence 0, disjoint
-    data score 0 at confidence 1."""
+    """The five signals of a row with structs ``x`` and ``y`` of ``features``; absent data has confidence 0,
+    disjoint data score 0 at confidence 1."""
     x, y = (lambda c: F.col("x")[c]), (lambda c: F.col("y")[c])
     zero, one = F.lit(0.0), F.lit(1.0)
     empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
-    named = (F.coalesce(x("username"), F.lit("")) != "") & (F.coalesce(y("username"), F.lit("")) != "")
-    rarity = (X.handle_rarity(x("username")) + X.handle_rarity(y("username"))) / 2
-    username = F.when(named, X.indel_ratio(F.lower(x("username")), F.lower(y("username"))) * rarity).otherwise(zero)
+    named = (F.coalesce(x("name"), F.lit("")) != "") & (F.coalesce(y("name"), F.lit("")) != "")
+    username = F.when(named, X.indel_ratio(x("name"), y("name")) * (x("rarity") + y("rarity")) / 2).otherwise(zero)
 
-    messages = F.least(F.size(x("messages")), F.size(y("messages")))
-    spoken = ~empty(x("messages")) & ~empty(y("messages"))
-    style = X.cosine(X.style_vector(x("messages")), X.style_vector(y("messages")))
+    messages = F.least(x("n_messages"), y("n_messages"))
+    spoken = messages > 0
+    style = X.cosine(x("style"), y("style"))
     meaning = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (X.cosine(x("embedding"), y("embedding")) + 1) / 2))
     blended = F.when(x("embedding").isNotNull() & y("embedding").isNotNull(), STYLE_SHARE * style + (1 - STYLE_SHARE) * meaning).otherwise(style)
     trusted = F.when(messages >= MIN_MESSAGES, 1.0).otherwise(messages / F.lit(float(MIN_MESSAGES)) * 0.5)
@@ -170,7 +176,7 @@ def signals(default_avatars: tuple[str, ...] = ()) -> dict[str, Column]:
     percent = lambda c: F.format_string("%.2f", c)
     return {
         "username": _signal("username", username, F.when(named, one).otherwise(zero), F.concat(F.lit("handle similarity weighted by rarity: "), percent(username))),
-        "stylometry": _signal("stylometry", F.when(spoken, blended).otherwise(zero), F.when(spoken, trusted).otherwise(zero), F.concat(F.lit("writing style similarity over at least "), F.coalesce(messages, F.lit(0)).cast("string"), F.lit(" messages"))),
+        "stylometry": _signal("stylometry", F.when(spoken, blended).otherwise(zero), F.when(spoken, trusted).otherwise(zero), F.concat(F.lit("writing style similarity over at least "), messages.cast("string"), F.lit(" messages"))),
         "timing": _signal("timing", F.when(awake, timing).otherwise(zero), F.when(awake, one).otherwise(zero), F.lit("shared activity hours weighted by how unusual they are")),
         "network": _signal("network", F.when(linked, network).otherwise(zero), F.when(linked, one).otherwise(zero), F.concat(F.coalesce(F.size(F.filter(shared, lambda n: degree(n) <= DISTINCTIVE_DEGREE)), F.lit(0)).cast("string"), F.lit(" distinctive shared connection(s)"))),
         "avatar": _signal("avatar", avatar, avatar_sure, F.lit("perceptual hashes compared by differing bits")),
@@ -183,8 +189,9 @@ def score_pairs(p: DataFrame, pairs: DataFrame, default_avatars: tuple[str, ...]
     ``contradiction_note`` is null for a clean pair. A contradiction lowers the strength by the penalty.
     """
     weights = weights or WEIGHTS
-    row = F.struct(*PROFILE)
-    rows = pairs.join(p.select(F.col("profile_id").alias("a"), row.alias("x")), "a").join(p.select(F.col("profile_id").alias("b"), row.alias("y")), "b")
+    known = Scratch(p.sparkSession, "features").keep(features(p), "features")
+    row = F.struct(*known.columns)
+    rows = pairs.join(known.select(F.col("profile_id").alias("a"), row.alias("x")), "a").join(known.select(F.col("profile_id").alias("b"), row.alias("y")), "b")
     found = signals(default_avatars)
     rows = rows.withColumn("signals", F.array(*(found[n] for n in weights)))
     hours = lambda c: F.coalesce(F.size(F.col(c)["active_hours"]), F.lit(0))
