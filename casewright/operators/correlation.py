@@ -64,13 +64,13 @@ def network_candidates(p: DataFrame) -> DataFrame:
 
 
 def avatar_candidates(p: DataFrame) -> DataFrame:
-    """Pairs with a hash within ``NEAR_BITS``, by blocks of bits that must then agree."""
+    """Pairs with a hash within ``NEAR_BITS``, by an index of pieces of the hashes."""
     every = None
     for kind in ("avatar_phash", "avatar_dhash"):
         hashes = p.select("profile_id", blocks.number(F.col(kind)).alias("hash")).where("hash is not null")
         distinct = hashes.select("hash").distinct()
-        keys = blocks.keyed(distinct, "hash", blocks.masks(NEAR_BITS, blocks.agreeing(distinct.count(), NEAR_BITS)))
-        l, r = keys.alias("l"), keys.alias("r")
+        cut = blocks.pieces(distinct.count(), NEAR_BITS)
+        l, r = blocks.asking(distinct, "hash", cut).alias("l"), blocks.entered(distinct, "hash", cut).alias("r")
         near = F.bit_count(F.col("l.hash").bitwiseXOR(F.col("r.hash"))) <= NEAR_BITS
         met = l.join(r, (F.col("l.which") == F.col("r.which")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.hash") <= F.col("r.hash")) & near).select(F.col("l.hash").alias("x"), F.col("r.hash").alias("y")).distinct()
         one, two = hashes.select(F.col("hash").alias("x"), F.col("profile_id").alias("p")), hashes.select(F.col("hash").alias("y"), F.col("profile_id").alias("q"))

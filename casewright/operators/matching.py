@@ -13,15 +13,15 @@ def match_first(queries: DataFrame, stored: DataFrame, limit: int = LIMIT) -> Da
     """(query_hash, label, distance, confidence, requires_human_review) for each distinct query.
 
     Among stored hashes within ``limit`` bits the one inserted first wins, even if another is nearer.
-    Hashes within reach agree on some blocks of bits, more of them the more hashes are stored, so the join
-    is an equality on blocks. A query without a match has null label and needs no review; any match does.
+    Queries ask an index of pieces of the stored hashes for all pieces that a hash within reach may have (see
+    ``blocks``). A query without a match has null label and needs no review; any match does.
     """
     distinct = queries.select("query_hash").distinct()
     # of equal hashes only the one inserted first can win
     held = stored.withColumn("held", blocks.number(F.col("hash"))).where("held is not null").groupBy("held").agg(F.min(F.struct("position", "label")).alias("e")).select("held", "e.position", "e.label")
-    chosen = blocks.masks(limit, blocks.agreeing(held.count(), limit))
-    asked = blocks.keyed(distinct.withColumn("asked", blocks.number(F.col("query_hash"))).where("asked is not null"), "asked", chosen)
-    near = asked.join(blocks.keyed(held, "held", chosen), ["which", "value"]).withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("held")))).where(F.col("distance") <= limit)
+    cut = blocks.pieces(held.count(), limit)
+    asked = blocks.asking(distinct.withColumn("asked", blocks.number(F.col("query_hash"))).where("asked is not null"), "asked", cut)
+    near = asked.join(blocks.entered(held, "held", cut), ["which", "value"]).withColumn("distance", F.bit_count(F.col("asked").bitwiseXOR(F.col("held")))).where(F.col("distance") <= limit)
     first = near.groupBy("query_hash").agg(F.min(F.struct("position", "distance", "label")).alias("m"))
     out = distinct.join(first, "query_hash", "left")
     return out.select("query_hash", "m.label", F.col("m.distance").cast("int").alias("distance"), F.round(1 - F.col("m.distance") / 64, 3).alias("confidence"), F.col("m").isNotNull().alias("requires_human_review"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import blocks, correlation
+from casewright.operators import blocks, correlation, matching
 
 TEXTS = ["I was there, really!", "You and me... it is.", "So what? No.", "The end.", "Fine, the best!", "It is on.", "WHO knows", "ok"]
 
@@ -31,14 +31,36 @@ def test_no_lead_is_lost(spark, seed):
     assert leads and leads <= found
 
 
-@pytest.mark.parametrize(("near", "agree"), [(8, 1), (8, 3), (10, 2)])
-def test_masks_cover_every_near_pair(near, agree):
+@pytest.mark.parametrize(("near", "n"), [(8, 10), (8, 10**5), (10, 10**3), (10, 10**6), (3, 10**9)])
+def test_pieces_find_every_near_hash_and_no_other_often(spark, near, n):
+    """Every hash within reach meets a query, whatever the cut; pieces asked for come once."""
     rng = random.Random(near)
-    chosen = blocks.masks(near, agree)
-    for _ in range(300):
-        flips = sum(1 << b for b in rng.sample(range(64), near))
-        assert any(not flips & m for m in chosen)
+    cut = blocks.pieces(n, near)
+    asked = [rng.getrandbits(64) for _ in range(8)]
+    stored = [(q, q ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(near + 1)))) for q in asked for _ in range(60)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    q = spark.createDataFrame([(signed(x),) for x in asked], "asked long")
+    s = spark.createDataFrame([(signed(a), signed(b)) for a, b in stored], "of long, held long")
+    rows = blocks.asking(q, "asked", cut)
+    assert rows.count() == rows.distinct().count() == len(asked) * sum(blocks._ball(bits, radius) for _, bits, radius in cut)
+    met = rows.join(blocks.entered(s, "held", cut), ["which", "value"]).where("asked = of").select("of", "held").distinct().count()
+    assert met == len(set(stored))
 
 
-def test_more_hashes_agree_on_more_blocks():
-    assert blocks.agreeing(10, 8) == 1 < blocks.agreeing(10**5, 8) <= blocks.agreeing(10**9, 8)
+def test_cost_of_a_query_grows_far_slower_than_the_index():
+    cost = {n: blocks.cost(n, blocks.pieces(n, 10)) for n in (10**3, 10**6, 10**9)}
+    assert cost[10**6] < 6_000 and cost[10**9] < 10**6 and cost[10**3] < 600
+    assert all(blocks.pieces(10**3, near)[0][1] <= blocks.pieces(10**9, near)[0][1] for near in (0, 1, 8, 10))
+
+
+def test_first_stored_hash_wins_among_many(spark):
+    """Against all stored hashes, with crowds of near ones and equal ones."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    stored = [(f"{flip(rng.choice(base), rng.randrange(14)):016x}", f"s{k}", k) for k in range(3000)]
+    asked = [f"{flip(x, rng.randrange(6)):016x}" for x in base for _ in range(3)] + ["0" * 16, "bad"]
+    got = {r.query_hash: (r.label, r.distance) for r in matching.match_first(spark.createDataFrame([(x,) for x in asked], "query_hash string"), spark.createDataFrame(stored, "hash string, label string, position long")).collect()}
+    bits = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = {x: next(((label, bits(x, h)) for h, label, _ in stored if bits(x, h) <= 10), (None, None)) if x != "bad" else (None, None) for x in asked}
+    assert got == want
