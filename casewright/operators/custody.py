@@ -71,24 +71,41 @@ def build_chain(log: DataFrame, chain: str = "case_id", known: DataFrame | None
     return rows.mapInArrow(run, schema)
 
 
-def verify_chain(log: DataFrame, chain: str = "case_id") -> DataFrame:
+#: Entries that a range of log_id holds when a log is cut for verification.
+RANGE = 50_000
+
+
+def verify_chain(log: DataFrame, chain: str = "case_id", entries: int = RANGE) -> DataFrame:
     """One row per chain: intact, entries checked, the first broken entry and why.
 
     At each entry the link is tested first, then the content. Rows without a hash are older than the
     chain and are left out.
+
+    The log is cut into ranges of log_id of about ``entries`` rows. Links within a range are tested there, so one
+    chain of any length spreads over all tasks; what a range needs from others, the last hash before it and
+    the number of entries before it, comes from a table of one row per chain and range.
     """
-    w = Window.partitionBy(chain).orderBy("log_id")
     rows = log.where("entry_hash is not null")
-    # contents are hashed before the rows are sorted, and only the verdict travels with them
+    span = rows.agg(F.min("log_id").alias("low"), F.max("log_id").alias("high"), F.count("*").alias("n")).first()
+    ranges = max(1, span.n // entries)
+    width = 1 if span.n == 0 else (span.high - span.low) // ranges + 1
+    # contents are hashed before the rows are dealt, and only the verdict travels with them
     head, tail = canonical(rows)
     content = F.sha2(F.concat(head, F.coalesce(json_text(F.col("previous_hash")), F.lit("null")), tail), 256) == F.col("entry_hash")
-    rows = rows.select(chain, "log_id", "previous_hash", "entry_hash", content.alias("same"))
-    rows = rows.withColumn("expected", F.lag("entry_hash", 1, GENESIS).over(w)).withColumn("position", F.row_number().over(w))
-    link = F.col("previous_hash").eqNullSafe(F.col("expected"))
-    rows = rows.withColumn("broken", F.when(~link, "broken link").when(~F.col("same"), "content does not match its hash"))
-    first = F.min(F.when(F.col("broken").isNotNull(), F.struct("position", "log_id", "broken")))
-    out = rows.groupBy(chain).agg(F.count("*").alias("entries"), first.alias("first"))
-    return out.select(chain, F.col("first").isNull().alias("intact"), F.coalesce(F.col("first.position") - 1, F.col("entries")).cast("long").alias("entries_checked"), F.col("first.log_id").alias("broken_log_id"), F.col("first.broken").alias("reason"))
+    rows = rows.select(F.col(chain).alias("chain"), F.expr(f"(log_id - {span.low or 0}) div {width}").alias("part"), "log_id", "previous_hash", "entry_hash", content.alias("same"))
+    within = Window.partitionBy("chain", "part").orderBy("log_id")
+    rows = rows.withColumn("expected", F.lag("entry_hash").over(within)).withColumn("position", F.row_number().over(within))
+    broken = F.when((F.col("position") > 1) & ~F.col("previous_hash").eqNullSafe(F.col("expected")), "broken link").when(~F.col("same"), "content does not match its hash")
+    found = rows.groupBy("chain", "part").agg(
+        F.count("*").alias("n"), F.min(F.struct("position", "log_id", "previous_hash")).alias("first"), F.max_by("entry_hash", "position").alias("last"),
+        F.min(F.when(broken.isNotNull(), F.struct("position", "log_id", broken.alias("why")))).alias("bad"),
+    )
+    along = Window.partitionBy("chain").orderBy("part")
+    found = found.withColumn("expected", F.lag("last", 1, GENESIS).over(along)).withColumn("before", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bad = F.when(~F.col("first.previous_hash").eqNullSafe(F.col("expected")), F.struct(F.col("first.position").alias("position"), F.col("first.log_id").alias("log_id"), F.lit("broken link").alias("why"))).otherwise(F.col("bad"))
+    placed = found.select("chain", "n", F.when(bad.isNotNull(), F.struct((F.col("before") + bad["position"]).alias("position"), bad["log_id"].alias("log_id"), bad["why"].alias("why"))).alias("bad"))
+    out = placed.groupBy("chain").agg(F.sum("n").alias("entries"), F.min("bad").alias("bad"))
+    return out.select(F.col("chain").alias(chain), F.col("bad").isNull().alias("intact"), F.coalesce(F.col("bad.position") - 1, F.col("entries")).cast("long").alias("entries_checked"), F.col("bad.log_id").alias("broken_log_id"), F.col("bad.why").alias("reason"))
 
 
 def uuid5(name: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:

@@ -28,10 +28,19 @@ def _scored_targets(s, d):
     """Targets scored from what was collected of them; descriptions go through the classifier."""
     rows = _signals(s, d)
     said = rows.select(F.col("target_id").alias("profile_id"), F.posexplode("messages").alias("message_index", "text"))
-    verdict = C.classify(said).select(F.col("profile_id").alias("target_id"), F.col("score").alias("classifier_score"), "decision", "message_count", "flagged_count")
+    accounts = rows.select(F.col("target_id").alias("profile_id"), "account_age_days", "friend_count")
+    verdict = C.classify(said, accounts).select(F.col("profile_id").alias("target_id"), F.col("score").alias("classifier_score"), "decision", "message_count", "flagged_count")
     return K.score(rows.join(verdict, "target_id", "left"))
 
 
+def _explained(s, d):
+    """Explanation objects of targets, with the evidence ids of their artifacts."""
+    artifacts = S.artifacts(s, d).where("module_name = 'A'").select("target_id", V.evidence_id(F.col("artifact_id"), F.col("sha256")).alias("evidence_id"))
+    found = K.explanation_objects(_scored_targets(s, d), artifacts, "target_id")
+    last = F.element_at("reasoning", -1)
+    return found.select("target_id", "source_component", "confidence", F.array_join("evidence_refs", ",").alias("evidence_refs"), last.startswith(K.NO_STORE).alias("without_store"), (F.length("finding") > 0).alias("found"))
+
+
 def _findings(s, d):
     found = A.findings(_scored_targets(s, d))
     return found.select("target_id", "analysis_type", "risk_score", "tier", F.get_json_object("findings", "$.engine").alias("engine"), (F.instr("analyst_notes", "For review by a person") > 0).alias("names_leads"))
@@ -144,6 +153,7 @@ QUERIES = {
     "target_signals": _signal_rows,
     "target_scores": lambda s, d: _scored_targets(s, d).select("target_id", F.round("synergy", 9).alias("synergy"), "risk_score", "tier", "confidence"),
     "target_findings": _findings,
+    "explanation_objects": _explained,
     "artifact_profiles": _profiles,
     "sealed_correlation": lambda s, d: _sealed(s, d).select("case_id", "artifact_type", F.size(F.from_json("raw_data", "groups array<array<bigint>>")["groups"]).cast("long").alias("groups"), F.sha2("raw_data", 256).alias("sha256")),
     "pair_evidence": lambda s, d: A.normalised_pairs(_avatar_scored(s, d)[1]).select("a", "b", F.round("strength", 9).alias("strength"), "is_lead", "contradiction_note", F.size("top_signals").cast("long").alias("top_signals")),
@@ -171,7 +181,7 @@ _COLLECTED = with_views("targets", "collected").replace("AS raw_data FROM lineit
  sig AS (SELECT target_id, case_id, (coalesce(trim(p->>'$.description'), '') <> '')::INT::BIGINT AS messages, greatest(1, coalesce(found, 1)) AS platform_count, greatest(0, floor((epoch(TIMESTAMP '{_AS_OF}') - epoch(replace(replace(p->>'$.created', 'T', ' '), 'Z', '')::TIMESTAMP)) / 86400))::INT AS account_age_days,
   (p->>'$.friend_count')::INT AS friend_count, list_filter([p->>'$.groups[0].name', p->>'$.games[0].name'], lambda n: n IS NOT NULL AND regexp_matches(lower(n), 'condo|scented con|vibe|18\\+|nsfw')) AS leads FROM targets LEFT JOIN prof USING (target_id) LEFT JOIN scan USING (target_id))
 """
-_SIGNALS = _COLLECTED + """, signals AS (SELECT target_id AS case_id, CASE WHEN messages > 0 THEN 0.0::DOUBLE END AS classifier_score, 'allow' AS decision, CASE WHEN messages > 0 THEN 1 END AS message_count, 0 AS flagged_count, platform_count, false AS is_tor, false AS is_vpn, CASE WHEN p_known THEN account_age_days END AS account_age_days, friend_count,
+_SIGNALS = _COLLECTED + """, signals AS (SELECT target_id AS case_id, CASE WHEN messages > 0 THEN (CASE WHEN p_known AND account_age_days < 30 AND friend_count > 200 THEN 0.12 + 0.08 WHEN p_known AND account_age_days < 30 AND friend_count > 100 THEN 0.12 ELSE 0 END)::DOUBLE END AS classifier_score, 'allow' AS decision, CASE WHEN messages > 0 THEN 1 END AS message_count, 0 AS flagged_count, platform_count, false AS is_tor, false AS is_vpn, CASE WHEN p_known THEN account_age_days END AS account_age_days, friend_count,
   false AS late_night_activity, len(leads) AS game_history_flags, 0 AS prior_case_flags, NULL::INT AS graph_lead_platforms, false AS graph_has_contradictions, leads FROM (SELECT sig.*, target_id IN (SELECT target_id FROM prof) AS p_known FROM sig))
 """ + _RISK[_RISK.index(",\n raw AS"):]
 _LOOKUPS = """WITH ev AS (SELECT event_id, event_id % 6 = 5 AS six, event_id * 997 % 20000000 AS n FROM events),
@@ -198,6 +208,9 @@ ORACLE_SQL = {
     "case_referral": with_views("cases", "targets", "analyses", "artifacts") + ", l AS (SELECT target_id, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY analyzed_at DESC, result_id DESC, risk_score DESC NULLS LAST) AS n FROM analyses) WHERE n = 1), h AS (SELECT case_id, count(*) AS subjects, max(risk_score) AS highest FROM targets LEFT JOIN l USING (target_id) GROUP BY 1), e AS (SELECT case_id, count(*) AS n FROM artifacts JOIN targets USING (target_id) GROUP BY 1) SELECT case_id, analyst_name AS analyst, status, highest AS highest_risk_score, coalesce(subjects, 0) AS subjects, coalesce(n, 0) AS artifacts, 'no sealed package' AS sealed_package FROM cases LEFT JOIN h USING (case_id) LEFT JOIN e USING (case_id)",
     "target_signals": _COLLECTED + "SELECT target_id, case_id, messages, platform_count, account_age_days, friend_count, len(leads)::INT AS game_history_flags, array_to_string(leads, '|') AS review_leads FROM (SELECT sig.* REPLACE (CASE WHEN target_id IN (SELECT target_id FROM prof) THEN account_age_days END AS account_age_days) FROM sig)",
     "target_scores": _SIGNALS + f"SELECT case_id AS target_id, round(synergy, 9) AS synergy, risk_score, {_TIER} AS tier, CASE WHEN cg = 'high' AND low = 0 THEN 'high' WHEN cg = 'low' OR low >= 2 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",
+    "explanation_objects": _SIGNALS.replace("WITH ", f"WITH artifacts AS ({S.SQL['artifacts']}), ", 1) + f""", ev AS (SELECT target_id, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS refs FROM (SELECT target_id, {_UUID5.format(chr(40) + 'artifact_id || ' + chr(39) + ':' + chr(39) + ' || sha256)')} AS evidence_id FROM artifacts WHERE module_name = 'A') GROUP BY 1),
+ x AS (SELECT case_id AS target_id, unnest([{{'c': 'grooming_classifier', 's': cg}}, {{'c': 'cross_platform_correlation', 's': cx}}, {{'c': 'anonymization_ip', 's': ca}}, {{'c': 'behavioral_velocity', 's': cv}}, {{'c': 'historical_signals', 's': 'high'}}, {{'c': 'overall_assessment', 's': CASE WHEN cg = 'high' AND low = 0 THEN 'high' WHEN cg = 'low' OR low >= 2 THEN 'low' ELSE 'medium' END}}]) AS u FROM scored)
+ SELECT target_id, u.c AS source_component, u.s AS confidence, coalesce(refs, '') AS evidence_refs, refs IS NULL AS without_store, true AS found FROM x LEFT JOIN ev USING (target_id)""",
     "target_findings": _SIGNALS + f"SELECT case_id AS target_id, 'risk_engine_v1' AS analysis_type, risk_score, {_TIER} AS tier, 'RiskEngine' AS engine, len(leads) > 0 AS names_leads FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",
     "artifact_profiles": _COLLECTED + ", ok AS (SELECT target_id, artifact_id, trim(raw_data->>'$.description') AS text, raw_data->>'$.avatar_phash' AS ph FROM collected WHERE module_name = 'RobloxOSINT' AND raw_data IS NOT NULL), g AS (SELECT target_id, count(*) FILTER (WHERE text <> '') AS messages, arg_min(text, (artifact_id, text)) FILTER (WHERE text <> '') AS first_message, arg_max(ph, (artifact_id, ph)) AS avatar_phash FROM ok GROUP BY 1) SELECT target_id, platform || ':' || username AS profile_key, coalesce(messages, 0) AS messages, coalesce(first_message, '') AS first_message, avatar_phash, NULL::VARCHAR AS avatar_dhash FROM targets LEFT JOIN g USING (target_id)",
     "address_lookups": _LOOKUPS,

@@ -115,7 +115,7 @@ ORACLE_SQL = {
     "classifier_profile_neutral": _profile_sql(NEUTRAL),
     "risk_score": _RISK + f"SELECT case_id, round(synergy, 9) AS synergy, risk_score, {_TIER} AS tier, CASE WHEN cg = 'high' AND low = 0 THEN 'high' WHEN cg = 'low' OR low >= 2 THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT *, round(s, 2) AS risk_score FROM scored)",
     "risk_components": _RISK + " UNION ALL ".join(f"SELECT case_id, '{n}' AS name, round({c}, 9) AS raw, round({c} * {w}::DOUBLE, 9) AS weighted, {k} AS confidence FROM scored" for n, c, w, k in _COMPONENTS),
-    "attack_map": _RISK + "SELECT case_id, 'grooming_classifier' AS component, 'unmapped' AS technique, 'none' AS grade FROM scored WHERE g > 0 UNION ALL SELECT case_id, 'historical_signals', 'unmapped', 'none' FROM scored WHERE h > 0 UNION ALL SELECT case_id, 'cross_platform_correlation', 'T1585.001', 'direct' FROM scored WHERE x > 0 UNION ALL SELECT case_id, 'behavioral_velocity', 'T1585.001', 'direct' FROM scored WHERE v > 0 UNION ALL SELECT case_id, 'anonymization_ip', 'T1090.003', 'analogue' FROM scored WHERE is_tor UNION ALL SELECT case_id, 'anonymization_ip', 'T1090', 'analogue' FROM scored WHERE is_vpn",
+    "attack_map": _RISK + ", m(component, needs, technique, technique_name, tactic, grade, justification, reason, documented_in) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in (*((*t, None, None) for t in K.TECHNIQUES), *((n, "", "unmapped", None, None, "none", None, r, w) for n, r, w in K.UNMAPPED))) + f"), act AS (SELECT case_id, is_tor, is_vpn, unnest([{{'c': 'grooming_classifier', 'v': g}}, {{'c': 'historical_signals', 'v': h}}, {{'c': 'cross_platform_correlation', 'v': x}}, {{'c': 'behavioral_velocity', 'v': v}}, {{'c': 'anonymization_ip', 'v': a}}]) AS u FROM scored) SELECT case_id, component, technique, technique_name, tactic, grade, justification, reason, documented_in, '{K.SCOPE}' AS scope FROM act JOIN m ON u.c = component AND u.v > 0 AND (needs = '' OR (needs = 'is_tor' AND is_tor) OR (needs = 'is_vpn' AND is_vpn))",
     "confusion_matrix": _LABELLED + f", m AS (SELECT count(*) FILTER (WHERE score >= 2 AND toxic = 1) AS tp, count(*) FILTER (WHERE score >= 2 AND toxic = 0) AS fp, count(*) FILTER (WHERE score < 2 AND toxic = 0) AS tn, count(*) FILTER (WHERE score < 2 AND toxic = 1) AS fn FROM l), r AS (SELECT *, {_RATES}, ((tp + tn) / (tp + fp + tn + fn))::DOUBLE AS accuracy FROM m), f AS (SELECT *, {_F1} FROM r) SELECT *, fpr <= 0.15 AND fnr <= 0.15 AND f1 >= 0.7 AND precision >= 0.75 AND recall >= 0.8 AS targets_met FROM f",
     "threshold_sweep": _SWEEP + "SELECT * FROM f",
     "best_threshold": _SWEEP + "SELECT * FROM f WHERE fpr <= 0.15 AND recall >= 0.8 AND f1 >= 0.7 ORDER BY f1 DESC, threshold LIMIT 1",

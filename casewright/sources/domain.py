@@ -43,7 +43,7 @@ def collected(spark: SparkSession, d: str) -> DataFrame:
     k, p = F.col("l_linenumber"), F.col("l_partkey")
     quoted = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
     profile = quoted(
-        '{"created": "', F.date_format("l_shipdate", "yyyy-MM-dd"), 'T08:00:00Z", "friend_count": ', F.col("l_quantity").cast("int"), ', "description": "', F.when(p % 5 != 0, quoted(" hello ", p)).otherwise(" "), '", "groups": [{"name": "',
+        '{"created": "', F.date_format("l_shipdate", "yyyy-MM-dd"), 'T08:00:00Z", "friend_count": ', (F.col("l_quantity") * 6).cast("int"), ', "description": "', F.when(p % 5 != 0, quoted(" hello ", p)).otherwise(" "), '", "groups": [{"name": "',
         F.when(p % 7 == 0, "Vibe Club").otherwise("Builders"), '"}], "games": [{"name": "', F.when(F.col("l_suppkey") % 9 == 0, "Condo 3").otherwise("Obby"), '"}], "avatar_phash": "', F.substring(F.md5(p.cast("string")), 1, 16), '"}',
     )
     raw = F.when(p % 11 == 0, '{"created": ').when(k % 3 == 1, profile).when((k % 3 == 2) & (p % 13 == 0), '{"platforms_found": "9"}').when(k % 3 == 2, quoted('{"platforms_found": ', p % 6, "}")).otherwise("[1, 2]")
@@ -173,7 +173,7 @@ SQL = {
     "targets": "SELECT o_orderkey AS target_id, o_custkey AS case_id, lower(o_orderpriority) AS platform, 'user' || o_custkey AS username, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS added_at FROM orders",
     "analyses": "SELECT l_orderkey * 10 + l_linenumber AS result_id, l_orderkey AS target_id, CASE WHEN l_returnflag <> 'A' THEN l_quantity / 5 END AS risk_score, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS analyzed_at FROM lineitem",
     "artifacts": "SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS target_id, l_returnflag AS module_name, l_linestatus AS artifact_type, sha256(l_orderkey || '|' || l_linenumber) AS sha256, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS collected_at FROM lineitem",
-    "collected": """SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS target_id, CASE l_linenumber % 3 WHEN 1 THEN 'RobloxOSINT' WHEN 2 THEN 'SherlockIntegration' ELSE 'other' END AS module_name, CASE WHEN l_partkey % 11 = 0 THEN '{"created": ' WHEN l_linenumber % 3 = 1 THEN '{"created": "' || strftime(l_shipdate, '%Y-%m-%d') || 'T08:00:00Z", "friend_count": ' || l_quantity::INT || ', "description": "' || CASE WHEN l_partkey % 5 <> 0 THEN ' hello ' || l_partkey ELSE ' ' END || '", "groups": [{"name": "' || CASE WHEN l_partkey % 7 = 0 THEN 'Vibe Club' ELSE 'Builders' END || '"}], "games": [{"name": "' || CASE WHEN l_suppkey % 9 = 0 THEN 'Condo 3' ELSE 'Obby' END || '"}], "avatar_phash": "' || substr(md5(l_partkey::VARCHAR), 1, 16) || '"}' WHEN l_linenumber % 3 = 2 AND l_partkey % 13 = 0 THEN '{"platforms_found": "9"}' WHEN l_linenumber % 3 = 2 THEN '{"platforms_found": ' || l_partkey % 6 || '}' ELSE '[1, 2]' END AS raw_data FROM lineitem""",
+    "collected": """SELECT l_orderkey * 10 + l_linenumber AS artifact_id, l_orderkey AS target_id, CASE l_linenumber % 3 WHEN 1 THEN 'RobloxOSINT' WHEN 2 THEN 'SherlockIntegration' ELSE 'other' END AS module_name, CASE WHEN l_partkey % 11 = 0 THEN '{"created": ' WHEN l_linenumber % 3 = 1 THEN '{"created": "' || strftime(l_shipdate, '%Y-%m-%d') || 'T08:00:00Z", "friend_count": ' || (l_quantity * 6)::INT || ', "description": "' || CASE WHEN l_partkey % 5 <> 0 THEN ' hello ' || l_partkey ELSE ' ' END || '", "groups": [{"name": "' || CASE WHEN l_partkey % 7 = 0 THEN 'Vibe Club' ELSE 'Builders' END || '"}], "games": [{"name": "' || CASE WHEN l_suppkey % 9 = 0 THEN 'Condo 3' ELSE 'Obby' END || '"}], "avatar_phash": "' || substr(md5(l_partkey::VARCHAR), 1, 16) || '"}' WHEN l_linenumber % 3 = 2 AND l_partkey % 13 = 0 THEN '{"platforms_found": "9"}' WHEN l_linenumber % 3 = 2 THEN '{"platforms_found": ' || l_partkey % 6 || '}' ELSE '[1, 2]' END AS raw_data FROM lineitem""",
     "custody": "SELECT event_id AS log_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS action, user_id AS case_id, props AS notes, CASE WHEN event_id % 3 = 0 THEN event_id * 10 + 1 END AS artifact_id, CASE WHEN event_id % 4 = 1 THEN event_id END AS target_id, 'analyst-' || user_id % 25 AS analyst, CASE WHEN event_id % 3 = 0 THEN sha256('artifact ' || event_id) END AS sha256 FROM events",
     "notes": "SELECT doc_id AS note_id, doc_id % 150 AS case_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS target_id, CASE WHEN toxic = 1 THEN 'finding-' || doc_id END AS finding_ref, 'analyst-' || doc_id % 25 AS analyst, CASE WHEN doc_id % 10 = 7 THEN '  ' ELSE ' quality ' || quality || ' ' END AS note, strftime(DATE '2024-01-01' + (doc_id % 300)::INT, '%Y-%m-%d %H:%M:%S') AS created_at FROM labels",
     "entities": "SELECT 'entity-' || s_suppkey AS entity_id, s_suppkey AS case_id, s_name AS canonical_handle, 'analyst-' || s_nationkey AS promoted_by, strftime(DATE '2024-01-01' + (s_suppkey % 300)::INT, '%Y-%m-%d %H:%M:%S') AS promoted_at FROM supplier",
