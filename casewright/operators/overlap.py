@@ -23,26 +23,33 @@ SLACK = 1 - 1e-9
 
 def prefixes(members: DataFrame, least_shared: int = 1) -> DataFrame:
     """The entries of sets: members (profile_id, node, rank, weight, size, need) with ``rest_n`` and ``rest``,
-    the number and weight of members from this one on.
+    the number and weight of members from this one on, and ``tail_n`` and ``tail``, those of members left out.
 
     ``rank`` orders the members alike in all sets, ``need`` is the weight that any partner must share with
     the set, at least; its own weights must not be below those of the pair.
     """
     behind = Window.partitionBy("profile_id").orderBy(F.desc("rank"), F.desc("node")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = members.withColumn("rest_n", F.row_number().over(Window.partitionBy("profile_id").orderBy(F.desc("rank"), F.desc("node")))).withColumn("rest", F.sum("weight").over(behind))
-    return ranked.where((F.col("rest_n") >= least_shared) & (F.col("rest") >= F.col("need") * SLACK))
+    ranked = ranked.withColumn("kept", (F.col("rest_n") >= least_shared) & (F.col("rest") >= F.col("need") * SLACK))
+    left = lambda name: F.coalesce(F.max(F.when(~F.col("kept"), F.col(name))).over(Window.partitionBy("profile_id")), F.lit(0))
+    return ranked.withColumn("tail_n", left("rest_n")).withColumn("tail", left("rest")).where("kept").drop("kept")
 
 
-def meetings(entries: DataFrame, suffices: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) with a < b that meet under a member and pass ``suffices`` (over structs ``l`` and ``r``)."""
+def _met(entries: DataFrame, block: int) -> DataFrame:
+    """The meetings of entries under their members: structs ``l`` and ``r`` of two profiles, each two once."""
     crowded = entries.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
     dealt = entries.join(crowded, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("profile_id"), F.col("parts")).cast("int"))
-    row = F.struct(*entries.columns)
+    row = F.struct(*(c for c in entries.columns if c != "node"))
     # each two parts of a member meet in the cell of the lower and the higher one
     left = dealt.select("node", F.col("part").alias("low"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("high"), row.alias("l"))
     right = dealt.select("node", F.col("part").alias("high"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("low"), row.alias("r"))
-    met = left.join(right, ["node", "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("l.profile_id") < F.col("r.profile_id")))
+    return left.join(right, ["node", "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("l.profile_id") < F.col("r.profile_id")))
+
+
+def meetings(entries: DataFrame, suffices: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) with a < b that meet under a member and pass ``suffices`` (over structs ``l`` and ``r``)."""
+    met = _met(entries, block)
     if suffices is not None:
         met = met.where(suffices)
     return met.select(F.least("l.profile_id", "r.profile_id").alias("a"), F.greatest("l.profile_id", "r.profile_id").alias("b")).distinct()
@@ -60,9 +67,15 @@ def candidates(rows: DataFrame, least_shared: int = 1, least_score: float = 0.0,
     """Pairs of ``weighed`` sets that may share ``least_shared`` members and score ``least_score``."""
     need = lambda together: F.lit(float(least_score)) * F.log2(together + 1)
     entries = prefixes(rows.select("profile_id", "node", F.col("degree").alias("rank"), "weight", "size", need(F.col("size")).alias("need")), least_shared)
-    common = F.least("l.rest_n", "r.rest_n")
-    suffices = F.least("l.rest", "r.rest") >= need(F.col("l.size") + F.col("r.size") - common) * SLACK
-    return meetings(entries.select("profile_id", "node", "size", "rest_n", "rest"), suffices if least_score > 0 else None, block)
+    met = _met(entries.select("profile_id", "node", "size", "weight", "rest_n", "rest", "tail_n", "tail"), block)
+    # at the first common member enough must follow; what two prefixes share is known, what may come to it lies
+    # behind the earlier end of the two
+    follows = F.least("l.rest", "r.rest") >= need(F.col("l.size") + F.col("r.size") - F.least("l.rest_n", "r.rest_n")) * SLACK
+    pairs = met.groupBy(F.least("l.profile_id", "r.profile_id").alias("a"), F.greatest("l.profile_id", "r.profile_id").alias("b")).agg(
+        F.bool_or(follows).alias("follows"), (F.count("*") + F.max(F.greatest("l.tail_n", "r.tail_n"))).alias("n"), (F.sum("l.weight") + F.max(F.greatest("l.tail", "r.tail"))).alias("weight"), F.max(F.col("l.size") + F.col("r.size")).alias("both")
+    )
+    enough = (F.col("n") >= least_shared) & (F.col("weight") >= need(F.greatest(F.lit(0), F.col("both") - F.col("n"))) * SLACK)
+    return pairs.where(F.col("follows") & enough).select("a", "b")
 
 
 def overlapping(connections: DataFrame, least_shared: int = 1, least_score: float = 0.0, block: int = BLOCK) -> DataFrame:
