@@ -57,3 +57,49 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
 def _tracked(df: DataFrame, kept: DataFrame) -> DataFrame:
     df._casewright_path = kept._casewright_path
     return df
+
+
+class GrowingComponents:
+    """Components of edges that come in batches.
+
+    State is a forest that is only appended to: one row (node, up) for each node that has stopped being the
+    smallest of its component, in a partition of the batch in which it did. A batch looks up the roots of its own
+    ends, contracts the edges between roots and writes the roots that lost; components without a new edge
+    are neither read beyond that lookup nor written. Batches in any order give the same components.
+    """
+
+    def __init__(self, scratch: Scratch, kind: str = "long"):
+        self._scratch, self._kind = scratch, kind
+        self._spark = scratch.spark
+        self._path, self._batches = scratch.path("forest"), 0
+
+    def _forest(self) -> DataFrame:
+        schema = f"node {self._kind}, up {self._kind}, batch int"
+        return self._spark.read.schema(schema).parquet(self._path) if self._batches else self._spark.createDataFrame([], schema)
+
+    def _roots(self, nodes: DataFrame) -> DataFrame:
+        """(node, root) of distinct nodes; a chain of the forest has at most one step for each batch."""
+        here = self._scratch.keep(nodes.withColumn("root", F.col("node")), "roots")
+        step = self._forest().select(F.col("node").alias("root"), "up")
+        while self._batches:
+            moved = self._scratch.keep(here.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "roots")
+            self._scratch.drop(here)
+            here = moved
+            if here.where("moved").isEmpty():
+                break
+        return here.select("node", "root")
+
+    def add(self, edges: DataFrame, src: str = "src", dst: str = "dst") -> int:
+        """Take a batch of undirected edges; the number of rows that it wrote."""
+        kept = self._scratch.keep(edges.select(F.col(src).cast(self._kind).alias("a"), F.col(dst).cast(self._kind).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "batch")
+        roots = self._roots(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        between = kept.join(roots.select(F.col("node").alias("a"), F.col("root").alias("src")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("dst")), "b")
+        lost = connected_components(between.select("src", "dst"), self._scratch)
+        at = f"{self._path}/batch={self._batches}"
+        lost.select("node", F.col("component").alias("up")).write.parquet(at)
+        self._batches += 1
+        return self._spark.read.parquet(at).count()
+
+    def labels(self) -> DataFrame:
+        """(node, component) for every node that is not the smallest of its component."""
+        return self._roots(self._forest().select("node")).select("node", F.col("root").alias("component"))

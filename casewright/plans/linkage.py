@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import correlation as C, graph as G, matching as M, overlap as O
-from ..operators.components import connected_components
+from ..operators.components import GrowingComponents, connected_components
 from ..operators.scratch import Scratch
 from ..sources import domain as D
 from ..sources.domain import with_views
@@ -58,6 +58,15 @@ def _components(s, d):
     return labels.select(F.col("node").alias("profile_id"), F.col("component").alias("component_id"))
 
 
+def _components_in_batches(s, d):
+    """The same components from leads that come in three batches."""
+    leads = Scratch(s, "leads").keep(_edges(s, d).where("is_lead").select(F.col("a").alias("src"), F.col("b").alias("dst")), "leads")
+    growing = GrowingComponents(Scratch(s, "growing"))
+    for batch in range(3):
+        growing.add(leads.where((F.col("src") + F.col("dst")) % 3 == batch))
+    return growing.labels().select(F.col("node").alias("profile_id"), F.col("component").alias("component_id"))
+
+
 def _groups(s, d):
     every = _nodes(s, d).select(F.col("node").alias("profile_id"))
     return every.join(_components(s, d), "profile_id", "left").select("profile_id", F.coalesce("component_id", "profile_id").alias("component_id"))
@@ -132,6 +141,7 @@ QUERIES = {
     "correlation_top_signal": lambda s, d: C.top_signal(_scored(s, d)[1]),
     "correlation_clusters": lambda s, d: C.clusters(*_kept_pairs(s, d)),
     "identity_components": _components,
+    "identity_components_in_batches": _components_in_batches,
     "graph_neighbours": lambda s, d: G.neighbours(_edges(s, d)),
     "graph_risk_inputs": lambda s, d: G.graph_summary(_edges(s, d), _nodes(s, d)),
     "entity_subgraph": lambda s, d: G.entity_subgraph(_edges(s, d), _nodes(s, d).select("node", F.col("platform").alias("entity")), "BUILDING"),
@@ -152,6 +162,7 @@ ORACLE_SQL = {
     "hash_match_first": _NET + f", q AS (SELECT DISTINCT phash AS query_hash FROM avatars), st AS (SELECT phash AS hash, 'stored-' || profile_id AS label, profile_id AS position FROM avatars), m AS (SELECT query_hash, label, {_BITS.format('query_hash', 'hash')}::INT AS distance, row_number() OVER (PARTITION BY query_hash ORDER BY position) AS rn FROM q JOIN st ON {_BITS.format('query_hash', 'hash')} <= 10) SELECT query_hash, label, distance, round(1 - distance / 64, 3) AS confidence, label IS NOT NULL AS requires_human_review, CASE WHEN label IS NULL THEN 'none' ELSE 'local' END AS layer, 'disabled' AS external_adapters FROM q LEFT JOIN (SELECT * FROM m WHERE rn = 1) USING (query_hash)",
     "semantic_knn": "WITH p AS (SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 5",
     "identity_components": _REACH + "SELECT * FROM labels WHERE profile_id <> component_id",
+    "identity_components_in_batches": _REACH + "SELECT * FROM labels WHERE profile_id <> component_id",
     "graph_neighbours": _GRAPH + "SELECT node, count(*) AS degree, string_agg(other::VARCHAR, ',' ORDER BY other) AS neighbours FROM ends GROUP BY 1",
     "graph_risk_inputs": _GRAPH + ", i AS (SELECT x.entity, x.platform AS pa, y.platform AS pb, e.*, is_lead AND NOT has_contradiction AS clean FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.entity = y.entity), pl AS (SELECT entity, count(DISTINCT p) AS n FROM (SELECT entity, pa AS p FROM i WHERE clean UNION ALL SELECT entity, pb FROM i WHERE clean) GROUP BY 1) SELECT i.entity, count(*) AS edges, count(*) FILTER (WHERE clean) AS lead_edges, coalesce(any_value(n), 0) AS lead_platforms, max(strength) FILTER (WHERE clean) AS max_lead_strength, bool_or(has_contradiction) AS has_contradictions FROM i LEFT JOIN pl USING (entity) GROUP BY 1",
     "entity_subgraph": _GRAPH + "SELECT e.* FROM edges e JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE x.platform = 'BUILDING' AND y.platform = 'BUILDING'",
