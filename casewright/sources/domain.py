@@ -145,7 +145,7 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation profiles of customers: handle of every tenth, connections, hours, avatars, messages."""
+    """Correlation profiles of customers: the first part name of their number, if any, as handle; connections, hours, avatars, messages."""
     linked = connections(spark, d)
     degree = linked.groupBy("node").agg(F.count("*").alias("degree"))
     own = linked.join(degree, "node").groupBy("profile_id").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("connections"), F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "degree"))).alias("connection_degrees"))
