@@ -80,7 +80,7 @@ def tier_histogram(cases: DataFrame, targets: DataFrame, analyses: DataFrame) ->
     """Number of cases in each tier of their latest score; all four buckets are present."""
     scored = cases.select("case_id").join(latest_signal(targets, analyses), "case_id", "left")
     found = scored.select(F.coalesce(F.concat(F.lit("tier"), tier(F.col("latest_risk")).cast("string")), F.lit("unscored")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    every = cases.sparkSession.createDataFrame([(x,) for x in TIERS], "bucket string")
+    every = cases.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in TIERS) + " AS t(bucket)")
     return every.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

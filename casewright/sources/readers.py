@@ -15,16 +15,20 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def authority(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a network authority file, an object with ``asns`` or a bare list, with their position."""
-    entry = "asn string, organization string, category string, source string, confidence string"
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.coalesce(F.from_json("value", f"asns array<struct<{_fields(entry)}>>")["asns"], F.from_json("value", f"array<struct<{_fields(entry)}>>"))
-    return whole.select(F.posexplode(listed).alias("position", "e")).select("position", "e.*")
+#: Keys that an entry of the network authority may have.
+ENTRY_KEYS = ("asn", "organization", "category", "source", "confidence")
 
 
-def _fields(ddl: str) -> str:
-    return ", ".join(x.strip().replace(" ", ": ", 1) for x in ddl.split(","))
+def authority(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a network authority file, an object with ``asns`` or a bare list, with their position and
+    ``extra_keys``, the keys that an entry should not have."""
+    whole = spark.read.text(path, wholetext=True)
+    # entries stay texts at first, so that unknown keys are seen
+    listed = F.coalesce(F.from_json("value", "asns array<string>")["asns"], F.from_json("value", "array<string>"))
+    rows = whole.select(F.posexplode(listed).alias("position", "raw"))
+    entry = F.from_json("raw", ", ".join(f"{k} string" for k in ENTRY_KEYS))
+    extra = F.array_except(F.json_object_keys("raw"), F.array(*map(F.lit, ENTRY_KEYS)))
+    return rows.select("position", entry.alias("e"), F.coalesce(extra, F.array().cast("array<string>")).alias("extra_keys")).select("position", "e.*", "extra_keys")
 
 
 def file_records(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import addresses
+from casewright.operators import addresses, enrichment
+from casewright.sources import readers
 
 SPELT = [
     "8.8.8.8", "08.8.8.8", "8.8.8", "256.1.1.1", "1.2.3.4 ", "0.0.0.0", "255.255.255.255", "::", "::1", "1::", "2001:DB8:0:0::1", "2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8",
@@ -97,3 +98,14 @@ def test_one_row_out_for_each_row(spark):
     spans = spark.createDataFrame([(134744072, 134744072, "a"), (134744073, 5, "b")], "ip_start long, ip_end long, name string")
     assert sorted((r.name for r in addresses.with_ranges(numbers, spans, "name").collect()), key=str) == sorted(["a", None, None], key=str)
     assert addresses.with_ranges(rows.where("false"), networks, "asn").collect() == [] and {r.asn for r in addresses.with_ranges(rows, networks.where("false"), "asn").collect()} == {None}
+
+
+def test_authority_files_with_unknown_keys(spark, tmp_path):
+    """A key that an entry should not have is seen in a file, and refuses it under strict."""
+    (tmp_path / "a.json").write_text('{"asns": [{"asn": 5, "organization": "o", "category": "known-vpn", "source": "s"}, {"asn": "6", "organization": "o", "category": "known-vpn", "source": "s", "note": {"x": 1}}, 7]}')
+    entries = readers.authority(spark, str(tmp_path / "a.json"))
+    assert [(r.position, r.asn, r.extra_keys) for r in entries.orderBy("position").collect()] == [(0, "5", []), (1, "6", ["note"]), (2, None, [])]
+    assert [(r.asn, r.problem) for r in enrichment.validate_authority(entries).orderBy("position").collect()] == [("5", None), ("6", "unexpected field"), (None, "missing field")]
+    assert [r.asn for r in enrichment.accepted_authority(entries).collect()] == ["5"]
+    with pytest.raises(ValueError):
+        enrichment.accepted_authority(entries, strict=True)
