@@ -252,13 +252,15 @@ def clusters(p: DataFrame, scored: DataFrame, scratch: Scratch | None = None) ->
     return p.select("profile_id").join(labels.select(F.col("node").alias("profile_id"), "component"), "profile_id", "left").select("profile_id", F.coalesce("component", "profile_id").alias("component_id"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 100_000) -> DataFrame:
-    """The ``k`` nearest rows by cosine for each row of ``queries``, within the same label.
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 100_000, predicate: Column | None = None) -> DataFrame:
+    """The ``k`` nearest rows by cosine for each row of ``queries``, within the same label, among the rows whose
+    other columns fulfil ``predicate``, if there is one; it is applied before anything is compared or moved.
 
     The stated queries meet all rows of their label, dealt into blocks of about ``block`` rows, so a label
     of any size spreads over many tasks; the rank filter is pushed below the shuffle, so each task passes
     on at most ``k`` rows a query.
     """
+    rows = rows if predicate is None else rows.where(predicate)
     sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     q = queries.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")).join(sizes, "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     dealt = rows.select("vec_id", "label", "embedding").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
