@@ -7,6 +7,7 @@ inside one projection; profiles are then aggregated once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +99,9 @@ SILENCED = (
     r"\btraining\b",
 )
 _UNICODE = "(?iuU)"
+# What RE2 takes for a word, its borders, spaces and digits, and for the letters that fold with others.
+_WORD = "(?-i:[0-9A-Za-z_])"
+_RE2 = {r"\b": f"(?:(?={_WORD})(?<!{_WORD})|(?!{_WORD})(?<={_WORD}))", r"\s": r"[\t\n\f\r ]", r"\d": "[0-9]", "s": "[s\u017f]", "k": "[k\u212a]"}
 
 
 @dataclass(frozen=True)
@@ -111,6 +115,16 @@ class RulePack:
     #: Sets of categories that together raise the score; the first that applies counts.
     sequences: tuple[tuple[frozenset[str], float], ...] = ()
     many_categories: tuple[int, float] = (4, 0.10)
+    #: Words, spaces and digits are ASCII, as in the regular expressions of SQL engines; else Unicode's.
+    ascii: bool = False
+
+    def pattern(self, p: str) -> str:
+        """A pattern (whose character classes hold no s, k or escapes) with its flags, for Spark."""
+        return "(?id)" + re.sub(r"\\.|[sk]", lambda m: _RE2.get(m[0], m[0]), p) if self.ascii else _UNICODE + p
+
+    def compiled(self, p: str) -> re.Pattern[str]:
+        """The same for Python."""
+        return re.compile(self.pattern(p).removeprefix("(?id)"), re.IGNORECASE | re.ASCII) if self.ascii else re.compile(p, re.IGNORECASE)
 
 
 #: Registered rule packs by name; the first one registered is the default.
@@ -132,12 +146,12 @@ def message_hits(messages: DataFrame, rules: RulePack | None = None) -> DataFram
     """profile_id, message_index, silenced and one hit count for each category."""
     rules = rules or pack()
     text = F.coalesce(F.col("text"), F.lit(""))
-    silenced = text.rlike(_UNICODE + "(" + "|".join(rules.silenced) + ")") if rules.silenced else F.lit(False)
+    silenced = text.rlike(rules.pattern("(" + "|".join(rules.silenced) + ")")) if rules.silenced else F.lit(False)
 
     def hits(patterns: tuple[str, ...]) -> Column:
         total = F.lit(0)
         for p in patterns:
-            total = total + F.regexp_count(text, F.lit(_UNICODE + p))
+            total = total + F.regexp_count(text, F.lit(rules.pattern(p)))
         return F.when(F.col("silenced"), 0).otherwise(total).cast("long")
 
     return messages.select("profile_id", "message_index", "text", silenced.alias("silenced")).select("profile_id", "message_index", "silenced", *(hits(x[2]).alias(name) for name, x in rules.rules.items()))
@@ -201,10 +215,8 @@ def match_details(messages: DataFrame, rules: RulePack | None = None) -> DataFra
     silenced = rules.silenced
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        compiled = [(c, re.compile(p, re.IGNORECASE)) for c, p in patterns]
-        quiet = [re.compile(p, re.IGNORECASE) for p in silenced]
+        compiled = [(c, rules.compiled(p)) for c, p in patterns]
+        quiet = [rules.compiled(p) for p in silenced]
         for batch in batches:
             rows = [
                 (pid, index, c, m[0], m.start())
