@@ -75,3 +75,15 @@ def test_handle_pairs_keep_every_possible_lead(spark, sf_dir):
     got = {(r.a, r.b): r.ratio for r in QUERIES["handle_similarity_pairs"](spark, sf_dir).collect()}
     assert got.keys() == want and any(x < 0.6 for x in got.values())
     assert all(x == pytest.approx(ratios[p], abs=1e-8) for p, x in got.items())
+def test_graph_queries_take_all_connections(spark, sf_dir):
+    """Neighbours, groups and inner edges rest on every two customers with a part in common."""
+    nodes = parts_of_customers(spark, sf_dir)
+    want = {(a, b) for a, b in combinations(sorted(nodes), 2) if nodes[a] & nodes[b]}
+    got = {(r.node, int(other)) for r in QUERIES["graph_neighbours"](spark, sf_dir).collect() for other in r.neighbours.split(",")}
+    assert got == want | {(b, a) for a, b in want}
+    nation = {r.node: r.entity for r in table(spark, sf_dir, "customer").selectExpr("c_custkey AS node", "c_nationkey AS entity").collect()}
+    inside = {(a, b) for a, b in want if nation[a] == nation[b]}
+    assert {(r.source, r.target) for r in QUERIES["graph_links"](spark, sf_dir).collect()} == inside
+    assert sum(r.edges for r in QUERIES["graph_risk_inputs"](spark, sf_dir).collect()) == sum(r.edges for r in QUERIES["canonical_graph"](spark, sf_dir).collect()) == len(inside)
+    first = min(nodes, key=lambda k: (-sum(k in pair for pair in want), k))
+    assert {r.node for r in QUERIES["shortest_path_bounded"](spark, sf_dir).where("hops = 1").collect()} == {a + b - first for a, b in want if first in (a, b)}
