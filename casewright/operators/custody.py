@@ -127,9 +127,9 @@ def valid_evidence(sha256: Column, source: Column, collector: Column) -> Column:
 
 def manifest(targets: DataFrame, artifacts: DataFrame, custody: DataFrame) -> DataFrame:
     """One row per artifact with its evidence id, case, hash and the number and last time of the case's
-    custody events."""
+    custody events. Events meet the targets, so artifacts with their hashes move once, to their targets."""
     events = custody.groupBy("case_id").agg(F.count("*").alias("custody_events"), F.max("timestamp").alias("last_event"))
-    rows = artifacts.join(targets.select("target_id", "case_id", "platform"), "target_id").join(events, "case_id", "left")
+    rows = artifacts.join(targets.select("target_id", "case_id", "platform").join(events, "case_id", "left"), "target_id")
     return rows.select("case_id", "artifact_id", evidence_id(F.col("artifact_id"), F.col("sha256")).alias("evidence_id"), "platform", "sha256", F.coalesce("custody_events", F.lit(0).cast("long")).alias("custody_events"), "last_event")
 
 
