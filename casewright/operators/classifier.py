@@ -142,6 +142,26 @@ def pack(name: str = "conversation_safety") -> RulePack:
 register("conversation_safety", RulePack(RULES, SILENCED, sequences=((frozenset({"age_probing", "platform_migration", "secrecy_solicitation"}), 0.15), (frozenset({"compliment_escalation", "trust_building", "identity_probing"}), 0.08))))
 
 
+def _bounded(p: str) -> bool:
+    """Whether all of a pattern stands behind the border of a word that it begins with."""
+    plain = re.sub(r"\\.", "", p)
+    depth = 0
+    for c in plain:
+        depth += (c == "(") - (c == ")")
+        if c == "[" or (c == "|" and depth == 0):
+            return False
+    return p.startswith(r"\b")
+
+
+def _any(patterns: tuple[str, ...]) -> str | None:
+    """A pattern that is found where one of ``patterns`` is; borders of words, which are few, are looked for first.
+    None if patterns refer to groups by number or name, or to none at all."""
+    if not patterns or any(re.search(r"\\[1-9kQ]|\(\?P?<[A-Za-z]|\(\?[a-zA-Z-]+\)", p) for p in patterns):
+        return None
+    inner = [f"(?:{p[2:]})" for p in patterns if _bounded(p)]
+    return "|".join([*([r"\b(?:" + "|".join(inner) + ")"] if inner else []), *(f"(?:{p})" for p in patterns if not _bounded(p))])
+
+
 def message_hits(messages: DataFrame, rules: RulePack | None = None) -> DataFrame:
     """profile_id, message_index, silenced and one hit count for each category."""
     rules = rules or pack()
@@ -152,9 +172,12 @@ def message_hits(messages: DataFrame, rules: RulePack | None = None) -> DataFram
         total = F.lit(0)
         for p in patterns:
             total = total + F.regexp_count(text, F.lit(rules.pattern(p)))
-        return F.when(F.col("silenced"), 0).otherwise(total).cast("long")
+        return F.when(F.col("silenced") | ~F.col("__some"), 0).otherwise(total).cast("long")
 
-    return messages.select("profile_id", "message_index", "text", silenced.alias("silenced")).select("profile_id", "message_index", "silenced", *(hits(x[2]).alias(name) for name, x in rules.rules.items()))
+    # most messages match nothing, which one scan tells
+    every = _any(tuple(p for x in rules.rules.values() for p in x[2]))
+    some = F.lit(True) if every is None else text.rlike(rules.pattern(every))
+    return messages.select("profile_id", "message_index", "text", silenced.alias("silenced"), some.alias("__some")).select("profile_id", "message_index", "silenced", *(hits(x[2]).alias(name) for name, x in rules.rules.items()))
 
 
 def category_hits(messages: DataFrame, rules: RulePack | None = None) -> DataFrame:
